@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import simhash
+from traitloom.llm import linededup, simhash
 from traitloom.llm.common import table
 
 
@@ -14,8 +14,35 @@ def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "_deduped.n_lines", "_deduped.n_dropped", F.sha2("_deduped.text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op4_simhash_vptree": op4_simhash_vptree,
+    "op8_line_dedup": op8_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
+            FROM documents
+        ), keyed AS (
+            SELECT doc_id, n, line,
+                   translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines
+        ), common AS (
+            SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+        )
+        SELECT k.doc_id, count(*) AS n_lines,
+               count(*) FILTER (WHERE c.key IS NOT NULL AND c.keeper <> k.doc_id) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE c.key IS NULL OR c.keeper = k.doc_id), '')) AS kept_sha256
+        FROM keyed k LEFT JOIN common c ON k.key = c.key
+        GROUP BY k.doc_id
+    """,
+}
