@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import linededup, simhash
+from traitloom.llm import decontaminate, linededup, simhash
 from traitloom.llm.common import table
 
 
@@ -19,9 +19,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "_deduped.n_lines", "_deduped.n_dropped", F.sha2("_deduped.text", 256).alias("kept_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op4_simhash_vptree": op4_simhash_vptree,
     "op8_line_dedup": op8_line_dedup,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -45,4 +50,25 @@ ORACLE_SQL: dict[str, str] = {
         FROM keyed k LEFT JOIN common c ON k.key = c.key
         GROUP BY k.doc_id
     """,
+    "op9_decontamination": r"""
+        WITH texts AS (
+            SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+        ), split AS (
+            SELECT kind, id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM texts
+        ), shingles AS (
+            SELECT DISTINCT kind, id, array_to_string(w[n : n + 4], ' ') AS shingle
+            FROM (SELECT kind, id, w, unnest(range(1, greatest(2, len(w) - 3))) AS n FROM split WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT id, count(*) AS n_shingles FROM shingles WHERE kind = 'i' GROUP BY id
+        ), met AS (
+            SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_found
+            FROM shingles d JOIN shingles i ON d.shingle = i.shingle WHERE d.kind = 'd' AND i.kind = 'i'
+            GROUP BY d.id, i.id
+        )
+        SELECT doc_id, item_id, CAST(n_shingles AS INTEGER) AS n_shingles, CAST(n_found AS INTEGER) AS n_found,
+               CAST(n_found AS DOUBLE) / n_shingles AS containment
+        FROM met JOIN sizes ON item_id = id WHERE n_found >= 0.8 * n_shingles
+    """,
 }

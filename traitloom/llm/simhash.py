@@ -9,16 +9,14 @@ whole on all 64 bits. Every pair is found; only links that join two classes leav
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.llm.common import materialise, merge_labels
 from traitloom.llm.graph import components
+from traitloom.llm.shingles import shingle_hashes
 
 BITS = 64
 #: Fingerprints that the top of a tree is fitted on (about this many, picked by hash); every row is indexed.
@@ -31,19 +29,6 @@ TASK_QUERIES = 131_072
 BLOCK = 1 << 17
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """XXH64 (seed 42) of every run of ``width`` words, repeats included; fewer words: the whole sequence."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    hash_ = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return np.array([hash_(joined, 42)], np.uint64)
-    return np.array([hash_(joined[s : e - 1], 42) for s, e in zip([0, *ends], ends[width - 1 :])], np.uint64)
-
-
 def fingerprint(text: str | None, width: int = 4) -> int:
     """64-bit SimHash: a bit is 1 if set in over half the shingle hashes; 0 for a text without words."""
     hashes = shingle_hashes(text, width)
