@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import decontaminate, linededup, simhash
+from traitloom.llm import decontaminate, linededup, sentencepiece, simhash
 from traitloom.llm.common import table
 
 
@@ -14,6 +14,17 @@ def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece.tokenise(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        F.size("_pieces.token_ids").alias("n_tokens"),
+        F.xxhash64("_pieces.token_ids").alias("ids_xxh64"),
+        (F.col("_pieces.decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        "_pieces.parity",
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "_deduped.n_lines", "_deduped.n_dropped", F.sha2("_deduped.text", 256).alias("kept_sha256"))
@@ -25,6 +36,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_simhash_vptree": op4_simhash_vptree,
+    "op5_sentencepiece": op5_sentencepiece,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
 }
