@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import decontaminate, linededup, sentencepiece, simhash
+from traitloom.llm import decontaminate, linededup, sentencepiece, simhash, toxicity
 from traitloom.llm.common import table
 
 
@@ -25,6 +25,17 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("_toxicity").alias("score"),
+        (F.col("_toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "_deduped.n_lines", "_deduped.n_dropped", F.sha2("_deduped.text", 256).alias("kept_sha256"))
@@ -37,6 +48,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_simhash_vptree": op4_simhash_vptree,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
 }
