@@ -1,0 +1,77 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from traitloom.llm import editprint as ep
+
+
+def plain_walk(text):
+    """The emitted string, step by step, and the sampled bits from it."""
+    out, i, step = [], 0, 0
+    classes = [((ord(c) * 2654435761) & 0xFFFFFFFF) >> 24 for c in text]
+    while i < len(text):
+        for _ in range(int(ep.HELD[classes[i], step & (ep.PERIOD - 1)])):
+            out.append(text[i])
+            step += 1
+        i += 1
+    slots = []
+    for slot in range(ep.SLOTS):
+        records = [s for k, s in zip(ep.RECORD_SLOT, ep.RECORD_STEP) if k == slot and s < len(out)]
+        slots.append((((ord(out[records[-1]]) + 1) * int(ep.SALT[slot])) & (2**64 - 1)) >> 60 if out else 0)
+    return slots
+
+
+def test_fingerprint_follows_the_walk():
+    draw = random.Random(1)
+    texts = ["".join(draw.choice("abc dé😀") for _ in range(n)) for n in (0, 1, 2, 9, 60, 400)] * 6
+    assert [list(map(int, p)) for p in ep.fingerprints(texts)] == [plain_walk(t) for t in texts]
+    assert (ep.fingerprints([texts[4]]) == ep.fingerprints(texts)[4]).all()
+
+
+def test_likeness_falls_with_edits():
+    draw = random.Random(2)
+    texts = ["".join(draw.choice("abcdefghijklmnop ") for _ in range(2000)) for _ in range(60)]
+
+    def edit(text, times):
+        text = list(text)
+        for _ in range(times):
+            at = draw.randrange(len(text))
+            text[at : at + draw.randrange(2)] = draw.choice(["", "q", "rs"])
+        return "".join(text)
+
+    prints = ep.fingerprints(texts)
+    near = [np.median(ep.likeness(prints, ep.fingerprints([edit(t, n) for t in texts]))) for n in (0, 2, 40)]
+    assert near[0] == 1 and near[1] > 0.85 > near[2] > np.median(ep.likeness(prints, prints[::-1]))
+
+
+@pytest.mark.parametrize("bucket", [200, 10**7])
+def test_next_edits_against_plain_python(spark, monkeypatch, bucket):
+    monkeypatch.setattr(ep, "BUCKET_CHARS", bucket)
+    draw = random.Random(3)
+    rows = [(d * 3, "".join(draw.choice("abcé ") for _ in range(draw.randrange(80)))) for d in range(90)]
+    rows += [(6, None), (6, "twice"), (None, "no id"), (500, "x" * 50_000), (-4, "")]
+    docs = spark.createDataFrame([(d, t, "f") for d, t in rows], "doc_id long, text string, fingerprint string").repartition(3)
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for n, (d, t) in enumerate(order):
+        after = order[(n + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, changed, following = ep.fingerprints([t, edited, after])
+        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), *ep.as_hex(np.stack([own, changed])), ep.likeness(own[None], changed[None])[0], ep.likeness(own[None], following[None])[0]))
+    assert sorted((tuple(r) for r in ep.next_edits(docs).collect()), key=str) == sorted(want, key=str)
+    assert ep.next_edits(docs.limit(0)).count() == 0
+    assert [r.n_chars for r in ep.next_edits(docs.where("doc_id = 500")).collect()] == [50_000]
+
+
+def test_search_finds_what_brute_force_finds(spark):
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abcdefghij ") for _ in range(300)) for _ in range(120)]
+    texts += [t[:150] + "zz" + t[152:] for t in texts[:60]] + texts[:30]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "a"), (999, None)], "doc_id long, text string")
+    queries = docs.where("doc_id % 10 = 0")
+    found = {(r.query_id, r.doc_id) for r in ep.search(queries, docs, 0.5).collect()}
+    prints = ep.fingerprints(texts)
+    want = {(q, d) for q in range(0, len(texts), 10) for d in np.flatnonzero(ep.likeness(np.repeat(prints[q : q + 1], len(prints), 0), prints) >= 0.5)}
+    assert found <= want and len(found & want) >= 0.9 * len(want) and len(want) > len(texts) // 10

@@ -49,11 +49,11 @@ def test_held_out_is_the_crc(spark):
 def test_label_model_finds_accuracies_and_copies():
     draw = np.random.default_rng(7)
     truth = draw.random(4000) < 0.3
-    votes = np.zeros((4000, 5), np.int8)
+    fired = np.zeros((4000, 4), bool)
     for j, (hit, miss) in enumerate([(0.5, 0.002), (0.4, 0.01), (0.5, 0.15)]):
-        votes[:, j] = draw.random(4000) < np.where(truth, hit, miss)
-    votes[:, 3] = votes[:, 0]
-    votes[:, 4] = -(votes[:, :4] == 0).all(1).astype(np.int8)
-    posterior, accuracy, weight = tox.label_model(votes)
-    assert accuracy[0] > accuracy[2] and weight[0] < weight[1]
-    assert ((posterior > 0.5) == truth)[(votes != 0)[:, :2].any(1)].mean() > 0.95
+        fired[:, j] = draw.random(4000) < np.where(truth, hit, miss)
+    fired[:, 3] = fired[:, 0]
+    votes = np.column_stack([fired, -(~fired.any(1)).astype(np.int8)]).astype(np.int8)
+    posterior, accuracy, weight = tox.label_model(votes, np.array([0.9, 0.9, 0.6, 0.9, 0.9]), trust=2000)
+    assert accuracy[0] > 0.85 > accuracy[2] and weight[0] < weight[1]
+    assert ((posterior > 0.5) == truth)[fired[:, :2].any(1)].mean() > 0.95

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import decontaminate, linededup, sentencepiece, simhash, toxicity
+from traitloom.llm import decontaminate, editprint, linededup, sentencepiece, simhash, toxicity
 from traitloom.llm.common import table
 
 
+def op1_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.next_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_classes(table(spark, sf_dir, "documents"), width=4, radius=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,6 +50,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_edit_fingerprint": op1_edit_fingerprint,
     "op4_simhash_vptree": op4_simhash_vptree,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_toxicity": op7_toxicity,

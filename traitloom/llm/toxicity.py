@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
-Many weak voters, each a lexicon word or a word-beginning pattern, vote "toxic" or abstain; one more votes "clean" where
-none of them spoke. A generative label model estimates by expectation maximisation how often each voter is right and,
-from their correlation inside the estimated classes, how much of a vote repeats others. Its posterior labels train a
-linear classifier, which scores every text.
+Many weak voters, each a lexicon word or a word-beginning pattern, vote "toxic" or stay silent; one more votes "clean"
+where all of them are silent. A generative label model estimates by expectation maximisation how often each voter is right
+and, from their correlation inside the estimated classes, how much of a vote repeats others. Its posterior labels train
+a linear classifier, which scores every text.
 
 Voters are found in labelled rows of the learning part only (crc32 of the id modulo ``FOLDS`` is not ``HELD_OUT``).
 """
@@ -83,20 +83,21 @@ def choose_voters(fired: np.ndarray, toxic: np.ndarray) -> list[int]:
     return chosen
 
 
-def label_model(votes: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, believed: np.ndarray, trust: float = 20, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of "toxic" of each row, and each voter's accuracy and weight.
 
-    ``votes``: rows by voters, 1 toxic, -1 clean, 0 abstain. A voter's log-odds count in full if it is independent of
-    the others and in shares where it moves with them inside a class.
+    ``votes``: rows by voters, 1 toxic, -1 clean, 0 silent; silence is no evidence. ``believed``: the voters' accuracy
+    before anything is seen, which counts as much as ``trust`` votes. A voter's log-odds count in full if it is
+    independent of the others and in shares where it moves with them inside a class.
     """
     n, m = votes.shape
-    spoke = votes != 0
+    spoke = (votes != 0).astype(np.float64)
+    accuracy, weight = believed, np.ones(m)
     posterior = np.where((votes == 1).any(1), 0.9, 0.1)
-    accuracy, weight = np.full(m, 0.8), np.ones(m)
     for _ in range(rounds):
         prior = np.clip(posterior.mean(), 0.02, 0.98)
         right = np.where(votes == 1, posterior[:, None], 1 - posterior[:, None]) * spoke
-        accuracy = np.clip((right.sum(0) + 1) / (spoke.sum(0) + 1.25), 0.5, 0.995)
+        accuracy = np.clip((right.sum(0) + trust * believed) / (spoke.sum(0) + trust), 0.02, 0.995)
         inside = np.zeros((m, m))
         for q in (posterior, 1 - posterior):
             centred = (spoke - (q @ spoke) / max(q.sum(), 1e-9)) * np.sqrt(q)[:, None]
@@ -106,13 +107,13 @@ def label_model(votes: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.nda
         together = np.clip(inside, 0, 1)
         np.fill_diagonal(together, 0)
         weight = 1 / (1 + together.sum(1))
-        odds = np.log(accuracy / (1 - accuracy))
-        base = np.log(prior / (1 - prior))
-        logit = base + (votes * weight * (odds - np.where(votes == 1, base, -base)) * spoke).sum(1)
+        odds, base = np.log(accuracy / (1 - accuracy)), np.log(prior / (1 - prior))
+        logit = base + (votes * (odds - votes * base)) @ weight
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - posterior).max(initial=0) < 1e-6:
-            break
+        moved = np.abs(new - posterior).max(initial=0)
         posterior = new
+        if moved < 1e-6:
+            break
     return posterior, accuracy, weight
 
 
@@ -193,12 +194,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         x[i, r.found] = 1
     x, names = without_twins(x, names)
     voters = choose_voters(x > 0, np.array([r.toxic == 1 for r in taken]))
+    toxic = np.array([r.toxic == 1 for r in taken])
     votes = x[:, voters].astype(np.int8)
     votes = np.column_stack([votes, -(~votes.any(1)).astype(np.int8)])
-    posterior, accuracy, weight = label_model(votes)
+    agreed = ((votes == 1) & toxic[:, None]) | ((votes == -1) & ~toxic[:, None])
+    posterior, accuracy, weight = label_model(votes, (agreed.sum(0) + 1) / ((votes != 0).sum(0) + 1.25))
     weights, bias = fit_linear(x, posterior)
-    told = [*(names[v] for v in voters), "none"]
-    return Model(names, weights, bias, list(zip(told, accuracy.tolist(), weight.tolist())))
+    return Model(names, weights, bias, list(zip([*(names[v] for v in voters), "none"], accuracy.tolist(), weight.tolist())))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
