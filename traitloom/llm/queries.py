@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import decontaminate, editprint, linededup, sentencepiece, simhash, toxicity
+from traitloom.llm import decontaminate, editprint, langid, linededup, sentencepiece, simhash, toxicity
 from traitloom.llm.common import table
 
 
@@ -49,6 +49,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.fit(docs))
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "_language.lang_pred", "_language.score")
+
+
 QUERIES = {
     "op1_edit_fingerprint": op1_edit_fingerprint,
     "op4_simhash_vptree": op4_simhash_vptree,
@@ -56,6 +62,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
