@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import decontaminate, editprint, langid, linededup, sentencepiece, simhash, toxicity
+from traitloom.llm import decontaminate, editprint, langid, linededup, sentencepiece, simhash, sitetext, toxicity
 from traitloom.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_site_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sitetext.main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_edit_fingerprint": op1_edit_fingerprint,
     "op4_simhash_vptree": op4_simhash_vptree,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_site_text": op6_site_text,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
