@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import decontaminate, editprint, langid, linededup, sentencepiece, simhash, sitetext, toxicity
+from traitloom.llm import decontaminate, editprint, kdshards, langid, linededup, sentencepiece, simhash, sitetext, toxicity
 from traitloom.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.next_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdshards.assign(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_classes(table(spark, sf_dir, "documents"), width=4, radius=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -62,6 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_edit_fingerprint": op1_edit_fingerprint,
+    "op3_kd_shards": op3_kd_shards,
     "op4_simhash_vptree": op4_simhash_vptree,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_site_text": op6_site_text,
