@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import decontaminate, editprint, kdshards, langid, linededup, sentencepiece, simhash, sitetext, toxicity
+from traitloom.llm import decontaminate, editprint, kdshards, langid, linededup, secretscan, sentencepiece, simhash, sitetext, toxicity
 from traitloom.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.next_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshards.assign(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_edit_fingerprint": op1_edit_fingerprint,
+    "op2_secret_scan": op2_secret_scan,
     "op3_kd_shards": op3_kd_shards,
     "op4_simhash_vptree": op4_simhash_vptree,
     "op5_sentencepiece": op5_sentencepiece,
