@@ -21,3 +21,12 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(root, made, ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(str(Path(folder, "traitloom")), "zip", made.parent))
     context._traitloom_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and the executors reach: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = tempfile.mkdtemp(prefix="traitloom-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
