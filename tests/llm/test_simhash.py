@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -21,7 +22,7 @@ def plain_fingerprint(text, width=4):
 
 @pytest.mark.parametrize("text", [None, "", " \t\n", "One", "a b c d", "É Ü a b C\x0bd e f G h", "x " * 5000])
 def test_fingerprint_follows_the_definition(text):
-    assert simhash.fingerprint(text) == plain_fingerprint(text)
+    assert simhash.fingerprint(text) == [plain_fingerprint(text)] == simhash.fingerprint(text, 4, 3)[:1]
 
 
 @pytest.mark.parametrize("radius", [4, 8])
@@ -65,3 +66,24 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 100), (None, 3), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 200: 100}
+
+
+def test_near_copies_are_verified(spark):
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    base = [[word() for _ in range(300)] for _ in range(25)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(base)]
+    for k, w in enumerate(base[:15]):  # one word in sixty changed
+        w = list(w)
+        for at in range(30, 300, 60):
+            w[at] = word()
+        rows.append((100 + k, " ".join(w)))
+    for k, w in enumerate(base[15:]):  # half of it shared
+        rows.append((200 + k, " ".join(w[:150] + [word() for _ in range(150)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    near = {k for k in range(100, 115)}
+    assert kept >= set(range(25)) | set(range(200, 210))
+    assert len(near - kept) >= 12  # their similarity is about 0.84; three fingerprints find most of them
+    pairs = spark.createDataFrame([(0, 100), (15, 200), (0, 1)], "a long, b long")
+    assert [(r.a, r.b) for r in simhash.alike(docs, pairs, 5, 0.8).collect()] == [(0, 100)]

@@ -11,7 +11,7 @@ import numpy as np
 GAMMA, LEVELS = 2, 48
 
 
-def _mix(keys: np.ndarray, level: int) -> np.ndarray:
+def mix(keys: np.ndarray, level: int) -> np.ndarray:
     """SplitMix64 finaliser over the key and the level."""
     with np.errstate(over="ignore"):
         z = keys + np.uint64(0x9E3779B97F4A7C15) * np.uint64(level + 1)
@@ -34,7 +34,7 @@ class PerfectHash:
             if not len(keys):
                 break
             size = -(-max(GAMMA * len(keys), 64) // 64) * 64
-            at = (_mix(keys, level) % np.uint64(size)).astype(np.int64)
+            at = (mix(keys, level) % np.uint64(size)).astype(np.int64)
             alone = np.bincount(at, minlength=size) == 1
             sizes.append(size)
             bits.append(alone)
@@ -49,7 +49,7 @@ class PerfectHash:
         out = np.full(len(keys), -1, np.int64)
         open_ = np.arange(len(keys))
         for level, (size, start) in enumerate(zip(self.sizes, self.starts)):
-            bit = start + (_mix(keys[open_], level) % np.uint64(size)).astype(np.int64)
+            bit = start + (mix(keys[open_], level) % np.uint64(size)).astype(np.int64)
             word, low = self.words[bit >> 6], (bit & 63).astype(np.uint64)
             hit = (word >> low & np.uint64(1)).astype(bool)
             under = np.bitwise_count(word & ((np.uint64(1) << low) - np.uint64(1)))

@@ -9,6 +9,8 @@ whole on all 64 bits. Every pair is found; only links that join two classes leav
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from traitloom.llm.common import materialise, merge_labels
 from traitloom.llm.graph import components
+from traitloom.llm.mphf import mix
 from traitloom.llm.shingles import shingle_hashes
 
 BITS = 64
@@ -29,25 +32,32 @@ TASK_QUERIES = 131_072
 BLOCK = 1 << 17
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """64-bit SimHash: a bit is 1 if set in over half the shingle hashes; 0 for a text without words."""
+def fingerprint(text: str | None, width: int = 4, variants: int = 1) -> list[int]:
+    """64-bit SimHash: a bit is 1 if set in over half the shingle hashes; 0 for a text without words.
+
+    Further ``variants`` are made from the same hashes mixed anew, so that a pair which misses in one may meet in another.
+    """
     hashes = shingle_hashes(text, width)
-    count = np.zeros(BITS, np.int64)
+    count = np.zeros((variants, BITS), np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = hashes[at : at + (1 << 16)]
-        count += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+        for v in range(variants):
+            bits = mix(block, v) if v else block
+            count[v] += np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(count * 2 > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, width: int = 4, text: str = "text") -> DataFrame:
-    """doc_id and the fingerprint ``fp`` (signed long) of every row. Null and blank texts: 0."""
+def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", variants: int = 1) -> DataFrame:
+    """doc_id and the fingerprint ``fp`` (signed long) of every row, and ``fp1`` and so on for further variants. Null and
+    blank texts: 0."""
+    names = ["fp", *(f"fp{v}" for v in range(1, variants))]
 
-    @F.pandas_udf("long")
-    def simhash(texts: pd.Series) -> pd.Series:
-        out = np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts))
-        return pd.Series(out.view(np.int64))
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    def simhash(texts: pd.Series) -> pd.DataFrame:
+        out = np.array([fingerprint(t, width, variants) for t in texts], np.uint64).reshape(len(texts), variants)
+        return pd.DataFrame(out.view(np.int64), columns=names)
 
-    return docs.select("doc_id", simhash(F.col(text)).alias("fp"))
+    return docs.select("doc_id", simhash(F.col(text)).alias("_s")).select("doc_id", "_s.*")
 
 
 # ---------------------------------------------------------------- trees
@@ -121,10 +131,11 @@ def near_pairs(queries: np.ndarray, members: np.ndarray, quarter: int, radius: i
                 yield some[i], m[j]
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, every_pair: bool = False) -> DataFrame:
     """Links (a, b) between node ids that join all pairs within ``radius`` bits into their classes.
 
-    ``fps``: distinct fingerprints ``fp`` with a node id ``node``. Each shard gives at most one link a fingerprint.
+    ``fps``: distinct fingerprints ``fp`` with a node id ``node``. Each shard gives at most one link a fingerprint, or
+    with ``every_pair`` all pairs a < b.
     """
     total = fps.count()
     depth = int(np.clip(np.ceil(np.log2(max(total, 1) / SHARD_MEMBERS)), 0, MAX_DEPTH))
@@ -162,6 +173,11 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         fp, node, member = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy(), pdf["member"].to_numpy(bool)
         nodes, place = np.unique(node, return_inverse=True)
         q, m = np.flatnonzero(~member), np.flatnonzero(member)
+        if every_pair:
+            found = [np.stack([place[q[i]], place[m[j]]]) for i, j in near_pairs(fp[q], fp[m], int(key[0]) % 4, radius)]
+            both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            both = np.unique(np.sort(both[:, both[0] != both[1]], axis=0), axis=1)
+            return pd.DataFrame({"a": nodes[both[0]], "b": nodes[both[1]]})
         labels, held, size = np.arange(len(nodes)), [], 0
         for i, j in near_pairs(fp[q], fp[m], int(key[0]) % 4, radius):
             u, v = place[q[i]], place[m[j]]
@@ -195,10 +211,48 @@ def near_classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
-    """Documents that are the smallest doc_id of their class, with all their columns.
+def alike(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.unique(shingle_hashes(t, width)).view(np.int64))
 
-    Rows with a null doc_id are kept: nothing orders them among a class.
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "simhash-asked")
+    sets = docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", shingles("text").alias("s"))
+    sets = materialise(sets, "simhash-sets")
+    side = lambda n: sets.select(F.col("doc_id").alias(n), F.col("s").alias(f"s{n}"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    share = F.try_divide(common, F.size("sa") + F.size("sb") - common)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(share >= least).select("a", "b")
+
+
+def near_copies(docs: DataFrame, width: int = 5, sure: int = 3, reach: int = 8, least: float = 0.8, variants: int = 3) -> DataFrame:
+    """(node, root) of the documents that are near copies of one with a smaller doc_id.
+
+    Fingerprints within ``sure`` bits are near copies. Among the smallest ids of the classes that this gives, all pairs
+    within ``reach`` bits in any of the fingerprint's ``variants`` are compared on their shingle sets and linked at a
+    similarity of ``least`` or more.
+    """
+    fps = materialise(fingerprints(docs, width, variants=variants), "simhash")
+    more = [f"fp{v}" for v in range(1, variants)]
+    known = fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", *more)).alias("m"))
+    nodes = materialise(known.select("fp", F.col("m.doc_id").alias("node"), *(f"m.{c}" for c in more)), "simhash-nodes")
+    plain = materialise(links(nodes, sure), "simhash-links")
+    first = nodes.join(components(plain), "node", "left_anti")
+    first = materialise(first, "simhash-first")
+    found = [links(first.select("node", F.col(c).alias("fp")), reach, every_pair=True) for c in ("fp", *more)]
+    pairs = materialise(reduce(DataFrame.unionAll, found).distinct(), "simhash-pairs")
+    roots = components(plain.unionByName(alike(docs, pairs, width, least)))
+    classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    return fps.join(classes, "fp").where("doc_id <> root").select(F.col("doc_id").alias("node"), "root")
+
+
+def keep_one(docs: DataFrame, width: int = 5, sure: int = 3, reach: int = 8, least: float = 0.8) -> DataFrame:
+    """Documents that are the smallest doc_id of their class of ``near_copies``, with all their columns.
+
+    Rows with a null doc_id are kept: nothing orders them among a class. Rows without words are one class. Repeated rows
+    stay or go together. The ids that go are written first, so that Spark broadcasts them only if they are few.
     """
-    gone = near_classes(docs, width, radius).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = materialise(near_copies(docs, width, sure, reach, least).select(F.col("node").alias("doc_id")).distinct(), "simhash-gone")
     return docs.join(gone, "doc_id", "left_anti")
