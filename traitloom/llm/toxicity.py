@@ -27,6 +27,8 @@ TOXIC_ROWS, CLEAN_ROWS = 2_500, 4_500
 VOTERS, FEATURES = 96, 1_536
 #: A voter speaks in this many labelled rows at least, of which this share is toxic at least.
 LEAST_ROWS, LEAST_SHARE = 4, 0.85
+#: Log-odds ratio of a feature over its standard error, at least.
+LEAST_STRENGTH = 2.5
 BEGINNINGS = (3, 4, 5, 6, 7)
 WORD = re.compile(r"\w+")
 
@@ -178,8 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not toxic_rows or toxic_rows == rows:
         return Model([], np.zeros(0, np.float32), -30.0, [])
     a, b = (F.col("toxic") + 0.5) / (toxic_rows + 1), (F.col("rows") - F.col("toxic") + 0.5) / (rows - toxic_rows + 1)
-    strength = F.abs(F.log(a / b)) * F.sqrt("rows")
-    best = counted.where(F.col("rows") >= LEAST_ROWS).orderBy(strength.desc(), "marker").limit(FEATURES)
+    strength = F.abs(F.log(a / b)) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("rows") - F.col("toxic") + 0.5))
+    best = counted.where((F.col("rows") >= LEAST_ROWS) & (strength >= LEAST_STRENGTH)).orderBy(strength.desc(), "marker").limit(FEATURES)
     names = [r.marker for r in best.collect()]
     look = spark.sparkContext.broadcast(names)
 
