@@ -22,7 +22,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (shingles of five words) the smallest doc_id stays."""
+    """Of each class of near copies (shingles of five words, similarity of 0.8 or more) the smallest doc_id stays."""
     return simhash.keep_one(docs)
 
 
