@@ -30,7 +30,7 @@ def nodes(model: RandomForestRegressionModel, spark: SparkSession, folder: str)
         n["leftChild"].alias("left"),
         n["rightChild"].alias("right"),
         n["split"]["featureIndex"].alias("feature"),
-        n["split"]["leftCategoriesOrThreshold"][0].alias("threshold"),
+        F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
         n["gain"].alias("gain"),
         n["impurityStats"][0].alias("cover"),
         n["prediction"].alias("value"),
