@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from traitloom.llm.shingles import shingle_hashes
 
 WIDTH, THRESHOLD, PERMUTATIONS = 5, 0.8, 32
-#: Items that one pass over the documents holds (broadcast); more items take more passes.
-ITEM_BLOCK = 20_000
+#: Items, and bytes of their texts, that one pass over the documents holds (broadcast); more items take more passes.
+ITEM_BLOCK, ITEM_BYTES = 20_000, 16_000_000
 #: Shingles of the documents that are worked on at once.
 CHUNK = 1 << 20
 FOUND = "array<struct<item_id: long, n_shingles: int, n_found: int>>"
@@ -84,13 +84,14 @@ class ItemIndex:
 
 
 def _blocks(items: DataFrame, width: int):
-    """Indexes of the items, at most about ``ITEM_BLOCK`` each; blank and null texts have no shingles and are left out."""
+    """Indexes of the items, about ``ITEM_BLOCK`` items or ``ITEM_BYTES`` at most each; blank and null texts have no shingles and are left out."""
 
     @F.pandas_udf("array<long>")
     def hashed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingle_hashes(t, width).view(np.int64))
 
-    count = max(1, -(-items.count() // ITEM_BLOCK))
+    size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    count = max(1, -(-size[0] // ITEM_BLOCK), -(-(size[1] or 0) // ITEM_BYTES))
     for n in range(count):
         here = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == n)
         rows = here.select("item_id", hashed("text").alias("shingles")).where(F.size("shingles") > 0).collect()
