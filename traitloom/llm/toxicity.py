@@ -69,13 +69,13 @@ class Lookup:
 
 
 def choose_voters(fired: np.ndarray, toxic: np.ndarray) -> list[int]:
-    """Columns that cover the toxic rows: greedily the column with most toxic rows not yet covered twice."""
+    """Columns that cover the toxic rows: greedily the column with most toxic rows not yet covered, precise ones first."""
     share = (fired[toxic].sum(0) + 0.0) / np.maximum(fired.sum(0), 1)
     usable = np.flatnonzero((fired.sum(0) >= LEAST_ROWS) & (share >= LEAST_SHARE))
-    need = np.full(int(toxic.sum()), 2.0)
+    need = np.ones(int(toxic.sum()))
     chosen: list[int] = []
     while len(chosen) < VOTERS and len(usable):
-        gain = (np.minimum(need, 1)[:, None] * fired[toxic][:, usable]).sum(0) * share[usable] ** 4
+        gain = (need[:, None] * fired[toxic][:, usable]).sum(0) * share[usable] ** 8
         best = int(np.argmax(gain))
         if gain[best] < 1:
             break
@@ -85,16 +85,16 @@ def choose_voters(fired: np.ndarray, toxic: np.ndarray) -> list[int]:
     return chosen
 
 
-def label_model(votes: np.ndarray, believed: np.ndarray, trust: float = 20, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, believed: np.ndarray, trust: float = 50, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of "toxic" of each row, and each voter's accuracy and weight.
 
     ``votes``: rows by voters, 1 toxic, -1 clean, 0 silent; silence is no evidence. ``believed``: the voters' accuracy
-    before anything is seen, which counts as much as ``trust`` votes. A voter's log-odds count in full if it is
-    independent of the others and in shares where it moves with them inside a class.
+    before anything is seen, which counts as much as ``trust`` votes. A voter's log-odds count in full where it speaks
+    alone, and in a row's shares where voters speak that move with it inside a class. The weight given back is its mean.
     """
     n, m = votes.shape
     spoke = (votes != 0).astype(np.float64)
-    accuracy, weight = believed, np.ones(m)
+    accuracy, weight = believed, spoke
     posterior = np.where((votes == 1).any(1), 0.9, 0.1)
     for _ in range(rounds):
         prior = np.clip(posterior.mean(), 0.02, 0.98)
@@ -108,15 +108,15 @@ def label_model(votes: np.ndarray, believed: np.ndarray, trust: float = 20, roun
             inside += cov / np.outer(scale, scale) * (q.sum() / max(n, 1))
         together = np.clip(inside, 0, 1)
         np.fill_diagonal(together, 0)
-        weight = 1 / (1 + together.sum(1))
+        weight = spoke / (1 + spoke @ together)
         odds, base = np.log(accuracy / (1 - accuracy)), np.log(prior / (1 - prior))
-        logit = base + (votes * (odds - votes * base)) @ weight
+        logit = base + (votes * weight * (odds - votes * base)).sum(1)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         moved = np.abs(new - posterior).max(initial=0)
         posterior = new
         if moved < 1e-6:
             break
-    return posterior, accuracy, weight
+    return posterior, accuracy, weight.sum(0) / np.maximum(spoke.sum(0), 1)
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5, steps: int = 600) -> tuple[np.ndarray, float]:
