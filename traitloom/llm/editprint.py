@@ -190,8 +190,8 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _in_order(docs: DataFrame) -> DataFrame:
-    """doc_id, text, bucket and guest: ids in descending order (nulls last) cut into buckets, each row in its own
+def _in_order(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text, bucket and guest, and the number of buckets: ids in descending order (nulls last) cut into buckets, each row in its own
     bucket, and the first row of a bucket also, as guest, at the end of the bucket before it (the very first at the end
     of the last). Only the buckets' borders, a few numbers each, reach the driver."""
     spark = docs.sparkSession
@@ -205,11 +205,12 @@ def _in_order(docs: DataFrame) -> DataFrame:
     placed = docs.withColumn("bucket", bucket.cast("int"))
     tops = sorted((r.bucket, r.top) for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
     if not tops:
-        return placed.withColumn("guest", F.lit(False))
+        return placed.withColumn("guest", F.lit(False)), 1
     goes_to = {tops[n][0]: tops[n - 1][0] for n in range(len(tops))}  # the first bucket's top goes to the last
     visits = spark.createDataFrame([(b, t, goes_to[b]) for b, t in tops], "at int, top long, to int")
     guests = placed.join(F.broadcast(visits), (F.col("bucket") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    return placed.withColumn("guest", F.lit(False)).unionByName(guests.select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("guest")))
+    guests = guests.select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("guest"))
+    return placed.withColumn("guest", F.lit(False)).unionByName(guests), len(tops)
 
 
 def next_edits(docs: DataFrame) -> DataFrame:
@@ -220,7 +221,8 @@ def next_edits(docs: DataFrame) -> DataFrame:
     as many, or all, of the next text. Null texts are empty; a lone row is its own next. Other columns are ignored;
     an empty table gives no rows. Likeness is that of the fingerprints, 0 to 1.
     """
-    ordered = _in_order(docs).repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
+    placed, buckets = _in_order(docs)
+    ordered = placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
 
     def measure(rows: list[tuple], following: list[str]):
         texts = [r[1] for r in rows]
