@@ -55,12 +55,35 @@ def gram(rows: DataFrame, key: str, column: str = "x") -> DataFrame:
     return cells.groupBy(key, "i", "j").agg(F.sum("v").alias("v"))
 
 
+#: Individuals of a block; a task compares two blocks.
+BLOCK = 256
+
+
 def distances(geno: DataFrame, by: list[str]) -> DataFrame:
-    """(by, i, j, d), i <= j: squared Euclidean distance of individuals over their markers."""
-    left = geno.select(*by, "marker", F.col("id").alias("i"), F.col("dosage").alias("a"))
-    right = geno.select(*by, "marker", F.col("id").alias("j"), F.col("dosage").alias("b"))
-    gap = F.col("a") - F.col("b")
-    return left.join(right, [*by, "marker"]).where("i <= j").groupBy(*by, "i", "j").agg(F.sum(gap * gap).cast("double").alias("d"))
+    """(by, i, j, d), i <= j: squared Euclidean distance of individuals over their markers.
+
+    All individuals of a group have the same markers. They are dealt to blocks, and every two blocks meet in one task as
+    matrices: an individual's vector travels once for each block, not its every dosage once for each other individual.
+    """
+    rows = vectors(geno, keys=["id", *by])
+    most = geno.select("id", *by).distinct().groupBy(*by).count().agg(F.max("count")).first()[0] or 1
+    blocks = -(-most // BLOCK)
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    met = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.withColumn("_a", F.least("_own", "_other")).withColumn("_b", F.greatest("_own", "_other"))
+
+    def compare(key, pdf):
+        x, ids = np.stack(pdf["x"].to_numpy()), pdf["id"].to_numpy()
+        first, second = (pdf["_own"] == key[-2]).to_numpy(), (pdf["_own"] == key[-1]).to_numpy()
+        a, b, i, j = x[first], x[second], ids[first], ids[second]
+        d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+        low, high = np.minimum(i[:, None], j[None, :]), np.maximum(i[:, None], j[None, :])
+        use = (low == i[:, None]) if key[-2] == key[-1] else np.ones(d.shape, bool)
+        out = {c: key[n] for n, c in enumerate(by)} | {"i": low[use], "j": high[use], "d": np.maximum(d[use], 0)}
+        return pd.DataFrame(out)
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*by])
+    return met.groupBy(*by, "_a", "_b").applyInPandas(compare, f"{kinds}, i long, j long, d double")
 
 
 def gaussian_kernel(pairs: DataFrame, by: list[str], h: float = 1.0) -> DataFrame:

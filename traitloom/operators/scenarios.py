@@ -41,25 +41,38 @@ def complete(geno: DataFrame, pheno: DataFrame) -> DataFrame:
     return pheno.where("y IS NOT NULL").join(missing.select("id", "population"), ["id", "population"])
 
 
+def hashed_rank(rows: DataFrame, by: list[str], *seed) -> DataFrame:
+    """``rank`` from 1 of each row in its group, in the order of a hash of the seed columns, then the id.
+
+    Rows are ranked inside the slices that the hash's first digits make, and a slice's offset comes from the slices'
+    counts: no task sorts a whole group.
+    """
+    hashed = rows.withColumn("_h", hashed_order(*seed)).withColumn("_slice", F.substring("_h", 1, 3))
+    counts = hashed.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*by, "_slice", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h", "id"))
+    ranked = hashed.withColumn("_in", inside).join(offsets, [*by, "_slice"])
+    return ranked.withColumn("rank", F.col("_before") + F.col("_in")).drop("_h", "_slice", "_in", "_before")
+
+
 def split(rows: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Rows joined with the scenarios of their population and phenotype, with a fold.
 
     floor(ratio * n) rows of a scenario are ``train``, in the order of a hash of id and sample; the rest are ``test``.
     """
     joined = rows.join(F.broadcast(scenarios), ["population", "phenotype"])
-    by = Window.partitionBy("scenario_id")
-    order = by.orderBy(hashed_order("id", "sample"), "id")
-    ranked = joined.withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(by))
-    fold = F.when(F.col("rank") <= F.floor(F.col("ratio") * F.col("n")), "train").otherwise("test")
-    return ranked.withColumn("fold", fold).drop("rank", "n")
+    sizes = joined.groupBy("scenario_id").agg(F.count("*").alias("_n"))
+    ranked = hashed_rank(joined, ["scenario_id"], "id", "sample").join(F.broadcast(sizes), "scenario_id")
+    fold = F.when(F.col("rank") <= F.floor(F.col("ratio") * F.col("_n")), "train").otherwise("test")
+    return ranked.withColumn("fold", fold).drop("rank", "_n")
 
 
 def sample_rows(rows: DataFrame, count: int | None, by: list[str], seed: str = "explain") -> DataFrame:
     """``count`` rows of each group in hashed order (all if there are fewer, or if count is None)."""
     if count is None:
         return rows
-    order = Window.partitionBy(*by).orderBy(hashed_order(F.lit(seed), "id"), "id")
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= count).drop("_rank")
+    return hashed_rank(rows, by, F.lit(seed), "id").where(F.col("rank") <= count).drop("rank")
 
 
 def resolve_all(rows: DataFrame, count: int | None) -> DataFrame:
