@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.llm.common import materialise, merge_labels
@@ -131,11 +131,11 @@ def near_pairs(queries: np.ndarray, members: np.ndarray, quarter: int, radius: i
                 yield some[i], m[j]
 
 
-def links(fps: DataFrame, radius: int = 4, every_pair: bool = False) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, more: tuple[str, ...] = (), most: int = 0) -> DataFrame:
     """Links (a, b) between node ids that join all pairs within ``radius`` bits into their classes.
 
-    ``fps``: distinct fingerprints ``fp`` with a node id ``node``. Each shard gives at most one link a fingerprint, or
-    with ``every_pair`` all pairs a < b.
+    ``fps``: fingerprints ``fp`` with a node id ``node`` each. With ``more`` (columns of further fingerprints) a pair must
+    also differ in ``most`` bits at most over all of them and ``fp`` together. Each shard gives at most one link a row.
     """
     total = fps.count()
     depth = int(np.clip(np.ceil(np.log2(max(total, 1) / SHARD_MEMBERS)), 0, MAX_DEPTH))
@@ -166,20 +166,20 @@ def links(fps: DataFrame, radius: int = 4, every_pair: bool = False) -> DataFram
                         "member": np.arange(len(every_row)) >= len(row),
                         "fp": fp[every_row].view(np.int64),
                         "node": node[every_row],
+                        **{c: pdf[c].to_numpy()[every_row] for c in more},
                     }
                 )
 
     def search(key, pdf):
         fp, node, member = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy(), pdf["member"].to_numpy(bool)
+        others = [pdf[c].to_numpy().view(np.uint64) for c in more]
         nodes, place = np.unique(node, return_inverse=True)
         q, m = np.flatnonzero(~member), np.flatnonzero(member)
-        if every_pair:
-            found = [np.stack([place[q[i]], place[m[j]]]) for i, j in near_pairs(fp[q], fp[m], int(key[0]) % 4, radius)]
-            both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-            both = np.unique(np.sort(both[:, both[0] != both[1]], axis=0), axis=1)
-            return pd.DataFrame({"a": nodes[both[0]], "b": nodes[both[1]]})
         labels, held, size = np.arange(len(nodes)), [], 0
         for i, j in near_pairs(fp[q], fp[m], int(key[0]) % 4, radius):
+            if more:
+                near = sum(np.bitwise_count(w[q[i]] ^ w[m[j]]).astype(np.int16) for w in (fp, *others)) <= most
+                i, j = i[near], j[near]
             u, v = place[q[i]], place[m[j]]
             apart = labels[u] != labels[v]
             held.append((u[apart], v[apart]))
@@ -191,7 +191,8 @@ def links(fps: DataFrame, radius: int = 4, every_pair: bool = False) -> DataFram
         moved = np.flatnonzero(labels != np.arange(len(labels)))
         return pd.DataFrame({"a": nodes[moved], "b": nodes[labels[moved]]})
 
-    dealt = fps.select("fp", "node").mapInPandas(deal, "shard int, salt int, member boolean, fp long, node long")
+    schema = "shard int, salt int, member boolean, fp long, node long" + "".join(f", {c} long" for c in more)
+    dealt = fps.select("fp", "node", *more).mapInPandas(deal, schema)
     return dealt.groupBy("shard", "salt").applyInPandas(search, "a long, b long")
 
 
@@ -211,48 +212,30 @@ def near_classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def alike(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
-
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: np.unique(shingle_hashes(t, width)).view(np.int64))
-
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "simhash-asked")
-    sets = docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", shingles("text").alias("s"))
-    sets = materialise(sets, "simhash-sets")
-    side = lambda n: sets.select(F.col("doc_id").alias(n), F.col("s").alias(f"s{n}"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    share = F.try_divide(common, F.size("sa") + F.size("sb") - common)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(share >= least).select("a", "b")
-
-
-def near_copies(docs: DataFrame, width: int = 5, sure: int = 3, reach: int = 8, least: float = 0.8, variants: int = 3) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, variants: int = 4, reach: int = 7, most: int = 38) -> DataFrame:
     """(node, root) of the documents that are near copies of one with a smaller doc_id.
 
-    Fingerprints within ``sure`` bits are near copies. Among the smallest ids of the classes that this gives, all pairs
-    within ``reach`` bits in any of the fingerprint's ``variants`` are compared on their shingle sets and linked at a
-    similarity of ``least`` or more.
+    Each document has ``variants`` fingerprints. Two are near copies if one of these is within ``reach`` bits and all
+    together differ in ``most`` bits at most. Shingle sets of one size and Jaccard similarity 0.8 differ in acos(8 / 9) / pi of
+    the bits, 39 of 256 on average.
     """
+    more = tuple(f"fp{v}" for v in range(1, variants))
     fps = materialise(fingerprints(docs, width, variants=variants), "simhash")
-    more = [f"fp{v}" for v in range(1, variants)]
-    known = fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", *more)).alias("m"))
-    nodes = materialise(known.select("fp", F.col("m.doc_id").alias("node"), *(f"m.{c}" for c in more)), "simhash-nodes")
-    plain = materialise(links(nodes, sure), "simhash-links")
-    first = nodes.join(components(plain), "node", "left_anti")
-    first = materialise(first, "simhash-first")
-    found = [links(first.select("node", F.col(c).alias("fp")), reach, every_pair=True) for c in ("fp", *more)]
-    pairs = materialise(reduce(DataFrame.unionAll, found).distinct(), "simhash-pairs")
-    roots = components(plain.unionByName(alike(docs, pairs, width, least)))
-    classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    return fps.join(classes, "fp").where("doc_id <> root").select(F.col("doc_id").alias("node"), "root")
-
-
-def keep_one(docs: DataFrame, width: int = 5, sure: int = 3, reach: int = 8, least: float = 0.8) -> DataFrame:
+    nodes = materialise(fps.groupBy("fp", *more).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "simhash-nodes")
+    turns = [("fp", *more)[v:] + ("fp", *more)[:v] for v in range(variants)]  # each fingerprint leads once
+    found = [links(nodes.select("node", *(F.col(c).alias(n) for c, n in zip(turn, ("fp", *more)))), reach, more, most) for turn in turns]
+    roots = components(reduce(DataFrame.unionAll, found))
+    same = [F.col(f"n.{c}") == F.col(f"f.{c}") for c in ("fp", *more)]
+    classes = nodes.join(roots, "node", "left").select(*("fp", *more), F.coalesce("root", "node").alias("root"))
+    told = fps.alias("f").join(classes.alias("n"), reduce(Column.__and__, same)).where("doc_id <> root")
+    return told.select(F.col("doc_id").alias("node"), "root")
+
+
+def keep_one(docs: DataFrame, width: int = 5, variants: int = 4, reach: int = 7, most: int = 38) -> DataFrame:
     """Documents that are the smallest doc_id of their class of ``near_copies``, with all their columns.
 
     Rows with a null doc_id are kept: nothing orders them among a class. Rows without words are one class. Repeated rows
     stay or go together. The ids that go are written first, so that Spark broadcasts them only if they are few.
     """
-    gone = materialise(near_copies(docs, width, sure, reach, least).select(F.col("node").alias("doc_id")).distinct(), "simhash-gone")
+    gone = materialise(near_copies(docs, width, variants, reach, most).select(F.col("node").alias("doc_id")).distinct(), "simhash-gone")
     return docs.join(gone, "doc_id", "left_anti")
