@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from traitloom.plans import fixtures as fx
 from traitloom.plans import study as st
 from traitloom.plans.sql import with_parts
 from traitloom.session import shared_dir
+from traitloom.sources import wide_predictions, write_table
 
 STUDY = scenarios.Study(("P0", "P1", "P2", "P3", "P4"), ("DTA", "PLH"), (0.8, 0.5), 2)
 FITTED = scenarios.Study(STUDY.populations, STUDY.phenotypes, (0.8,), 1)
@@ -530,6 +532,48 @@ def attention_aggregate(spark, sf):
     return _rounded(explain.attention_sum(edges, skip), "h")
 
 
+# ---------------------------------------------------------------- sinks, read back
+
+
+def _written(df, form="parquet", by=None):
+    """The table as a later job finds it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    write_table(df, path, form, by)
+    reader = spark.read.schema(df.schema)
+    return reader.parquet(path) if form == "parquet" else reader.option("header", True).option("sep", "," if form == "csv" else "\t").csv(path)
+
+
+@query(ORACLE_SQL["metrics_by_model"])
+def sink_metrics(spark, sf):
+    return _written(metrics_by_model(spark, sf), "csv")
+
+
+@query(ORACLE_SQL["marker_bands_located"])
+def sink_bands(spark, sf):
+    return _written(marker_bands_located(spark, sf), "tsv", ["phenotype", "model"]).select(*BY, "marker", "level", "colour", "chromosome", "start", "end")
+
+
+@query(ORACLE_SQL["interaction_links"])
+def sink_interactions(spark, sf):
+    return _written(interaction_links(spark, sf), by=["population"])
+
+
+@query(
+    f"""SELECT id, population, phenotype, ratio, sample, y AS actual, round(1.5 + sum({_B} * dosage), 6) + 0 AS "rrBLUP", round(1.5 - sum({_B} * dosage), 6) + 0 AS "BayesB"
+    FROM (SELECT * FROM split WHERE fold = 'test') s JOIN geno USING (id, population) GROUP BY id, population, phenotype, ratio, sample, y""",
+    "split",
+)
+def sink_predictions_wide(spark, sf):
+    """Test predictions of two models, one column a model."""
+    rows = _rows(spark, sf, STUDY)
+    pos, sign = F.col("pos"), F.when(F.col("model") == "rrBLUP", 1).otherwise(-1)
+    fits = rows.select("scenario_id").distinct().select("scenario_id", F.explode(F.array(F.lit("rrBLUP"), F.lit("BayesB"))).alias("model"), F.lit(1.5).alias("intercept"))
+    fits = fits.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("effect", sign * ((pos * 37) % 11 - 5) / 10)
+    told = linear.predict(rows, fits).withColumn("predicted", F.round("predicted", 6) + 0)
+    return _written(wide_predictions(told, ["rrBLUP", "BayesB"], "test"))
+
+
 # ---------------------------------------------------------------- end to end
 
 

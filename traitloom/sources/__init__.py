@@ -76,7 +76,5 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", by: list[str] |
 
 def wide_predictions(predictions: DataFrame, models: list[str], fold: str) -> DataFrame:
     """One row a scenario and individual, one column a model."""
-    keys = [c for c in ("population", "phenotype", "ratio", "sample", "id") if c in predictions.columns]
-    return predictions.where(F.col("fold") == fold).groupBy(*keys).pivot("model", models).agg(F.first("predicted")).join(
-        predictions.where(F.col("fold") == fold).groupBy(*keys).agg(F.first("actual").alias("actual")), keys
-    )
+    keys = [c for c in ("population", "phenotype", "ratio", "sample", "id", "actual") if c in predictions.columns]
+    return predictions.where(F.col("fold") == fold).groupBy(*keys).pivot("model", models).agg(F.first("predicted"))
