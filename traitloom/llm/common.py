@@ -36,6 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of texts that reach a Python worker at once.
+BATCH_BYTES = "16m"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same table, in a session whose Arrow batches hold ``BATCH_BYTES`` at most, so that a worker's memory does not
+    depend on how long the texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def merge_labels(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Smallest-index labels after joining the classes of ``u[i]`` and ``v[i]``; labels are roots on entry."""
     while True:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traitloom.llm.common import bounded_batches
+
 from traitloom.llm.shingles import shingle_hashes
 
 WIDTH, THRESHOLD, PERMUTATIONS = 5, 0.8, 32
@@ -126,12 +128,12 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: floa
     parts = []
     for index in _blocks(items, width):
         find = _finder(spark, index, width, threshold)
-        parts.append(docs.select("doc_id", F.explode(find("text")).alias("hit")))
+        parts.append(bounded_batches(docs).select("doc_id", F.explode(find("text")).alias("hit")))
     return reduce(DataFrame.unionAll, parts).select("doc_id", "hit.*", (F.col("hit.n_found") / F.col("hit.n_shingles")).alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, in which no item is contained to ``threshold`` or more."""
     for index in _blocks(items, width):
-        docs = docs.where(F.size(_finder(docs.sparkSession, index, width, threshold)("text")) == 0)
+        docs = bounded_batches(docs).where(F.size(_finder(docs.sparkSession, index, width, threshold)("text")) == 0)
     return docs

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traitloom.llm.common import bounded_batches
+
 SLOTS, SLOT_BITS = 128, 4
 #: Slots of a band, and bands that candidates come from.
 BAND_SLOTS, BANDS = 4, 32
@@ -136,7 +138,7 @@ def add_fingerprint(docs: DataFrame, text: str = "text", to: str = "fingerprint"
     def walked(texts: pd.Series) -> pd.Series:
         return pd.Series(as_hex(fingerprints(texts.tolist())))
 
-    return docs.withColumn(to, walked(text))
+    return bounded_batches(docs).withColumn(to, walked(text))
 
 
 def likeness_of(a: Column, b: Column) -> Column:
@@ -221,7 +223,7 @@ def next_edits(docs: DataFrame) -> DataFrame:
     as many, or all, of the next text. Null texts are empty; a lone row is its own next. Other columns are ignored;
     an empty table gives no rows. Likeness is that of the fingerprints, 0 to 1.
     """
-    placed, buckets = _in_order(docs)
+    placed, buckets = _in_order(bounded_batches(docs))
     ordered = placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
 
     def measure(rows: list[tuple], following: list[str]):

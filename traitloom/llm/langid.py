@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traitloom.llm.common import bounded_batches
+
 FOLDS, HELD_OUT, UNKNOWN = 5, 0, "und"
 #: Hashed n-grams of one to three characters.
 BUCKETS, LONGEST = 1 << 15, 3
@@ -124,7 +126,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         bucket = np.append(np.flatnonzero(seen), BUCKETS).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.append(seen[seen > 0], rows))], ["bucket", "rows"])
 
-    told = docs.select("text").mapInArrow(count, "bucket int, rows long").groupBy("bucket").agg(F.sum("rows").alias("rows")).collect()
+    told = bounded_batches(docs).select("text").mapInArrow(count, "bucket int, rows long").groupBy("bucket").agg(F.sum("rows").alias("rows")).collect()
     out = np.zeros(BUCKETS + 1, np.int64)
     for r in told:
         out[r.bucket] = r.rows
@@ -185,4 +187,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def told(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_language", told("text"))
+    return bounded_batches(docs).withColumn("_language", told("text"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import materialise
+from traitloom.llm.common import bounded_batches, materialise
 from traitloom.llm.mphf import PerfectHash
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -180,7 +180,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     null doc_id never keeps a recurring line, and lines held only by null ids stay. All columns are passed through,
     whatever their names (``_deduped`` is replaced); an empty table gives no rows.
     """
-    lines = materialise(recurring_lines(docs, min_chars, min_docs), "lines")
+    lines = materialise(recurring_lines(bounded_batches(docs), min_chars, min_docs), "lines")
     count = lines.count()
     shards = max(1, -(-count // SHARD_KEYS))
     index = build_index(lines, shards)

@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import materialise
+from traitloom.llm.common import bounded_batches, materialise
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 #: Labelled findings of either label that the forest is trained on, at most, picked by hash; its size.
@@ -190,7 +190,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
     removed: every score is 1. Null and empty texts have no candidates; null paths are one path; repeated rows give
     their candidates each; other columns are ignored; an empty table gives no rows.
     """
-    found = findings(docs, path)
+    found = findings(bounded_batches(docs), path)
     if labelled is not None:
         known = labelled.select("doc_id", "start", F.col("label").alias("_label")).where("_label IN (0, 1)").dropDuplicates(["doc_id", "start"])
         found = found.join(known, ["doc_id", "start"], "left").withColumn("label", F.col("_label").cast("int")).drop("_label")

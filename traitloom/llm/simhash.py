@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import materialise, merge_labels
+from traitloom.llm.common import bounded_batches, materialise, merge_labels
 from traitloom.llm.graph import components
 from traitloom.llm.mphf import mix
 from traitloom.llm.shingles import shingle_hashes
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", variants:
         out = np.array([fingerprint(t, width, variants) for t in texts], np.uint64).reshape(len(texts), variants)
         return pd.DataFrame(out.view(np.int64), columns=names)
 
-    return docs.select("doc_id", simhash(F.col(text)).alias("_s")).select("doc_id", "_s.*")
+    return bounded_batches(docs).select("doc_id", simhash(F.col(text)).alias("_s")).select("doc_id", "_s.*")
 
 
 # ---------------------------------------------------------------- trees

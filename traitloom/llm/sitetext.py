@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import materialise
+from traitloom.llm.common import bounded_batches, materialise
 
 #: A template stands on this many pages of its host at least, on this share of them, and is this share of a page at most.
 LEAST_PAGES, LEAST_SHARE, MOST_OF_PAGE = 5, 0.3, 0.3
@@ -273,7 +273,7 @@ def site_templates(pages: DataFrame) -> DataFrame:
         signed = lambda h: h - (1 << 64) if h >> 63 else h
         return htmls.map(lambda h: [{"hash": signed(k), "share": s} for k, s in subtrees(h)])
 
-    seen = pages.select(host(F.col("url")).alias("host"), F.explode(hashed("html")).alias("s")).groupBy("host", "s.hash")
+    seen = bounded_batches(pages).select(host(F.col("url")).alias("host"), F.explode(hashed("html")).alias("s")).groupBy("host", "s.hash")
     seen = seen.agg(F.count("*").alias("on"), F.avg("s.share").alias("share")).where((F.col("on") >= LEAST_PAGES) & (F.col("share") <= MOST_OF_PAGE))
     sizes = pages.groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     common = seen.join(sizes, "host").where(F.col("on") >= LEAST_SHARE * F.col("pages"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import materialise
+from traitloom.llm.common import bounded_batches, materialise
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 #: Labelled rows the classifier is fitted on, at most, of either label; picked by the hash of their id.
@@ -219,4 +219,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         logit = np.array([bias + w[made[0](t)].sum() for t in texts], np.float64)
         return pd.Series(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
-    return docs.withColumn("_toxicity", scored("text"))
+    return bounded_batches(docs).withColumn("_toxicity", scored("text"))
