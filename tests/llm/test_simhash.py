@@ -85,3 +85,37 @@ def test_near_copies_of_documents(spark):
     near = {k for k in range(100, 115)}
     assert kept >= set(range(25)) | set(range(200, 210))
     assert len(near - kept) >= 14  # their similarity is 0.9
+
+
+def varied(word, base, at):
+    w = list(base)
+    for k in at:
+        w[k] = word()
+    return " ".join(w)
+
+
+def test_near_copies_are_confirmed_on_shingles(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for k in range(60):
+        base = [word() for _ in range(254)]  # 250 shingles; n changed words far apart change 5 n of them
+        rows += [(k, " ".join(base)), (100 + k, varied(word, base, range(20, 250, 48))), (200 + k, varied(word, base, range(10, 250, 34)))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near, far = set(range(100, 160)), set(range(200, 260))
+    assert len(near - kept) >= 58  # similarity 225 / 275 = 0.82
+    assert far | set(range(60)) <= kept  # similarity 210 / 290 = 0.72, with the other variant less
+
+
+def test_large_class_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEMBERS", 20)
+    rng = np.random.default_rng(3)
+    base, rows = np.arange(100), []
+    for node in range(200):  # similarities around 0.8
+        some = rng.choice(100, rng.integers(86, 97), replace=False)
+        rows.append((node, node % 2, np.unique(np.concatenate([base[some], 1000 + 50 * node + np.arange(rng.integers(0, 9))])).tolist()))
+    sets = spark.createDataFrame([(n, c, 100, s) for n, c, s in rows], "node long, class long, n long, s array<long>")
+    got = {r.node: r.root for r in components(simhash.confirmed_links(sets, 0.88)).collect()}
+    pairs = [(a, b) for a, ca, sa in rows for b, cb, sb in rows if a < b and ca == cb and len({*sa} & {*sb}) / len({*sa} | {*sb}) >= 0.88]
+    want = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == want and 10 < len(want) < 190

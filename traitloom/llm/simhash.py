@@ -13,7 +13,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.llm.common import bounded_batches, materialise, merge_labels
@@ -30,6 +31,10 @@ SHARD_MEMBERS, MAX_DEPTH = 16_384, 12
 TASK_QUERIES = 131_072
 #: Cells of a block that is compared whole.
 BLOCK = 1 << 17
+#: Bits in which the leading fingerprint of a candidate for the shingle comparison may differ (10 on average at 0.8).
+REACH = 22
+#: Rows of a block that is compared on shingle sets, and rows of a larger class that its others meet first, about.
+MEMBERS, HUBS = 512, 8
 
 
 def fingerprint(text: str | None, width: int = 4, variants: int = 1) -> list[int]:
@@ -37,7 +42,10 @@ def fingerprint(text: str | None, width: int = 4, variants: int = 1) -> list[int
 
     Further ``variants`` are made from the same hashes mixed anew, so that a pair which misses in one may meet in another.
     """
-    hashes = shingle_hashes(text, width)
+    return fingerprint_of(shingle_hashes(text, width), variants)
+
+
+def fingerprint_of(hashes: np.ndarray, variants: int = 1) -> list[int]:
     count = np.zeros((variants, BITS), np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = hashes[at : at + (1 << 16)]
@@ -96,8 +104,9 @@ def descend(values: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int,
     return row, node - 2**depth
 
 
-def near_pairs(queries: np.ndarray, members: np.ndarray, quarter: int, radius: int):
-    """Yield (query index, member index) arrays of all pairs within ``radius`` bits that the quarter can show.
+def near_pairs(queries: np.ndarray, members: np.ndarray, quarter: int, radius: int, ball: int):
+    """Yield (query index, member index) arrays of all pairs within ``radius`` bits that differ in ``ball`` bits at most
+    in the quarter.
 
     Splits on the quarter's distance first, then on the whole fingerprint's; a block that no split makes smaller is
     compared in slices of bounded size.
@@ -110,7 +119,7 @@ def near_pairs(queries: np.ndarray, members: np.ndarray, quarter: int, radius: i
             continue
         if len(q) * len(m) > BLOCK and tries < 8:
             whole = tries >= 4
-            x, y, reach = (queries[q], members[m], radius) if whole else (q16[q], m16[m], radius // 4)
+            x, y, reach = (queries[q], members[m], radius) if whole else (q16[q], m16[m], ball)
             spot = y[(tries % 4) * (len(y) - 1) // 3]
             dm, dq = np.bitwise_count(y ^ spot).astype(np.int16), np.bitwise_count(x ^ spot).astype(np.int16)
             mid = int(np.median(dm))
@@ -123,7 +132,7 @@ def near_pairs(queries: np.ndarray, members: np.ndarray, quarter: int, radius: i
             else:
                 stack.append((q, m, tries + 1))
             continue
-        step = max(1, (BLOCK * 16) // len(m))
+        step = max(1, (BLOCK * 4) // len(m))
         for at in range(0, len(q), step):
             some = q[at : at + step]
             i, j = np.nonzero(np.bitwise_count(queries[some][:, None] ^ members[m][None, :]) <= radius)
@@ -131,12 +140,15 @@ def near_pairs(queries: np.ndarray, members: np.ndarray, quarter: int, radius: i
                 yield some[i], m[j]
 
 
-def links(fps: DataFrame, radius: int = 4, more: tuple[str, ...] = (), most: int = 0) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, more: tuple[str, ...] = (), most: int = 0, ball: int | None = None) -> DataFrame:
     """Links (a, b) between node ids that join all pairs within ``radius`` bits into their classes.
 
+    A smaller ``ball`` than a quarter of the radius finds those pairs that differ in so many bits at most in one quarter.
+
     ``fps``: fingerprints ``fp`` with a node id ``node`` each. With ``more`` (columns of further fingerprints) a pair must
     also differ in ``most`` bits at most over all of them and ``fp`` together. Each shard gives at most one link a row.
     """
+    ball = radius // 4 if ball is None else ball
     total = fps.count()
     depth = int(np.clip(np.ceil(np.log2(max(total, 1) / SHARD_MEMBERS)), 0, MAX_DEPTH))
     every = max(1, total // TREE_SAMPLE)
@@ -145,14 +157,14 @@ def links(fps: DataFrame, radius: int = 4, more: tuple[str, ...] = (), most: int
     trees, salts = [], []
     for values in quarters(sample):
         trees.append(fit_tree(values, depth))
-        _, leaf = descend(values, trees[-1], depth, radius // 4)
+        _, leaf = descend(values, trees[-1], depth, ball)
         salts.append(1 + np.bincount(leaf, minlength=2**depth) * every // TASK_QUERIES)
 
     def deal(batches):
         for pdf in batches:
             fp, node = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy()
             for q, values in enumerate(quarters(fp)):
-                row, leaf = descend(values, trees[q], depth, radius // 4)
+                row, leaf = descend(values, trees[q], depth, ball)
                 home, at = descend(values, trees[q], depth, 0)
                 again = salts[q][at]
                 home, at = np.repeat(home, again), np.repeat(at, again)
@@ -176,7 +188,7 @@ def links(fps: DataFrame, radius: int = 4, more: tuple[str, ...] = (), most: int
         nodes, place = np.unique(node, return_inverse=True)
         q, m = np.flatnonzero(~member), np.flatnonzero(member)
         labels, held, size = np.arange(len(nodes)), [], 0
-        for i, j in near_pairs(fp[q], fp[m], int(key[0]) % 4, radius):
+        for i, j in near_pairs(fp[q], fp[m], int(key[0]) % 4, radius, ball):
             if more:
                 near = sum(np.bitwise_count(w[q[i]] ^ w[m[j]]).astype(np.int16) for w in (fp, *others)) <= most
                 i, j = i[near], j[near]
@@ -212,30 +224,126 @@ def near_classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, width: int = 5, variants: int = 4, reach: int = 7, most: int = 38) -> DataFrame:
+# ---------------------------------------------------------------- near copies by their shingles
+
+
+def shingle_sets(docs: DataFrame, width: int, variants: int) -> DataFrame:
+    """doc_id, ``key`` (a digest of the set of word shingles) and the set's fingerprints ``fp``, ``fp1`` and so on."""
+    names = ["fp", *(f"fp{v}" for v in range(1, variants))]
+
+    @F.pandas_udf("key binary, " + ", ".join(f"{n} long" for n in names))
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        keys, fps = [], np.zeros((len(texts), variants), np.uint64)
+        for at, text in enumerate(texts):
+            found = np.unique(shingle_hashes(text, width))
+            keys.append(xxhash.xxh3_128_digest(found.tobytes()))
+            fps[at] = fingerprint_of(found, variants)
+        return pd.DataFrame({"key": keys, **{n: fps[:, v].view(np.int64) for v, n in enumerate(names)}})
+
+    return bounded_batches(docs).select("doc_id", prints("text").alias("_s")).select("doc_id", "_s.*")
+
+
+def with_shingles(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``nodes`` (node, key and other columns) with the shingles ``s`` of the document that has this id and key."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series, keys: pd.Series) -> pd.Series:  # takes the key too: so it runs after the join only
+        sets = (np.unique(shingle_hashes(t, width)) for t in texts)
+        return pd.Series([x.view(np.int64) if xxhash.xxh3_128_digest(x.tobytes()) == k else None for x, k in zip(sets, keys)], dtype=object)
+
+    held = bounded_batches(docs).select(F.col("doc_id").alias("node"), "text").join(nodes, "node")
+    return materialise(held.select(*nodes.columns, shingles("text", "key").alias("s")), "simhash-sets").where("s IS NOT NULL")
+
+
+def confirmed(sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join all pairs of Jaccard similarity ``least`` or more of an asked row and a row of its class.
+
+    ``sets``: node, class, shingles ``s``, ``asked``, and the class's rows ``n`` and asked rows ``n_asked``. A class is cut
+    into blocks of about ``MEMBERS`` rows; each block of asked rows meets each block of rows in one group, which gives at
+    most one link a row.
+    """
+    whole = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / MEMBERS)).cast("int")
+    at = lambda n: F.pmod(F.xxhash64("node", "class"), F.col(n)).cast("int")
+    cut = sets.withColumn("_r", whole("n_asked")).withColumn("_c", whole("n")).withColumn("row", at("_r")).withColumn("col", at("_c"))
+    cell = lambda r, c: F.struct(r.alias("r"), c.alias("c"))
+    met = F.transform(F.sequence(F.lit(0), F.col("_r") - 1), lambda r: cell(r, F.col("col")))
+    asks = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda c: cell(F.col("row"), c))
+    cells = F.array_distinct(F.when(F.col("asked"), F.concat(met, asks)).otherwise(met))
+    dealt = cut.where("n_asked > 0").select("node", "class", "s", "asked", "row", "col", F.explode(cells).alias("_at")).select("*", "_at.r", "_at.c")
+
+    def compare(key, pdf):
+        nodes, place = np.unique(pdf["node"].to_numpy(), return_inverse=True)
+        size = pdf["s"].map(len).to_numpy()
+        _, word = np.unique(np.concatenate(pdf["s"].to_list()), return_inverse=True)
+        start = np.concatenate([[0], np.cumsum(size)])
+        row = np.repeat(np.arange(len(size)), size)
+        in_right = (pdf["col"] == key[2]).to_numpy()[row]
+        right, of = word[in_right], row[in_right]
+        held = np.zeros(len(word), bool)
+        labels = np.arange(len(nodes))
+        for i in np.flatnonzero(pdf["asked"].to_numpy(bool) & (pdf["row"] == key[1]).to_numpy()):
+            own = word[start[i] : start[i + 1]]
+            held[own] = True
+            common = np.bincount(of[held[right]], minlength=len(size))
+            held[own] = False
+            near = np.flatnonzero(common / np.maximum(size[i] + size - common, 1) >= least)
+            labels = merge_labels(labels, np.full(len(near), place[i]), place[near])
+        moved = np.flatnonzero(labels != np.arange(len(labels)))
+        return pd.DataFrame({"a": nodes[moved], "b": nodes[labels[moved]]})
+
+    return dealt.drop("_at").groupBy("class", "r", "c").applyInPandas(compare, "a long, b long")
+
+
+def confirmed_links(sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join all pairs of similarity ``least`` or more inside a class of ``sets`` (node, class, n, s).
+
+    A small class is compared whole. In a large one all rows first meet a few of its rows; what these hold together need
+    not be compared again, so only the other rows are compared with the whole class.
+    """
+    small = sets.where(F.col("n") <= MEMBERS).withColumns({"asked": F.lit(True), "n_asked": F.col("n")})
+    large = sets.where(F.col("n") > MEMBERS)
+    if large.isEmpty():
+        return confirmed(small, least)
+    hub = F.pmod(F.xxhash64("class", "node"), F.ceil(F.col("n") / HUBS)) == 0
+    first = materialise(confirmed(large.withColumns({"asked": hub, "n_asked": F.lit(1)}), least), "simhash-first")
+    told = large.select("node", "class").distinct().join(components(first), "node", "left").select("node", "class", F.coalesce("root", "node").alias("root"))
+    told = materialise(told, "simhash-told")
+    core = told.groupBy("class", "root").count().groupBy("class").agg(F.max_by("root", F.struct("count", "root")).alias("core"))
+    rest = told.join(core, "class").select("node", "class", (F.col("root") != F.col("core")).alias("asked"))
+    rest = materialise(rest, "simhash-rest")
+    many = rest.groupBy("class").agg(F.count_if("asked").alias("n_asked"))
+    return first.unionAll(confirmed(small, least)).unionAll(confirmed(large.join(rest, ["node", "class"]).join(many, "class"), least))
+
+
+def near_copies(docs: DataFrame, width: int = 5, variants: int = 4, least: float = 0.8, most: int = 54) -> DataFrame:
     """(node, root) of the documents that are near copies of one with a smaller doc_id.
 
-    Each document has ``variants`` fingerprints. Two are near copies if one of these is within ``reach`` bits and all
-    together differ in ``most`` bits at most. Shingle sets of one size and Jaccard similarity 0.8 differ in acos(8 / 9) / pi of
-    the bits, 39 of 256 on average.
+    Near copies have sets of word shingles with a Jaccard similarity of ``least`` or more, or are joined by such pairs.
+    Candidates come from ``variants`` fingerprints of the sets: a pair that differs in one bit at most in any 16-bit
+    quarter of these and in ``most`` bits at most over all. Sets of one size and similarity 0.8 differ in acos(8 / 9) / pi of
+    the bits, 39 of 256 on average with a deviation of 6, and a quarter shows 28 % of them, so sixteen show 99 %. The
+    candidates' classes are then compared on the sets themselves.
     """
     more = tuple(f"fp{v}" for v in range(1, variants))
-    fps = materialise(fingerprints(docs, width, variants=variants), "simhash")
-    nodes = materialise(fps.groupBy("fp", *more).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "simhash-nodes")
+    fps = materialise(shingle_sets(docs, width, variants), "simhash")
+    nodes = materialise(fps.groupBy("key", "fp", *more).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "simhash-nodes")
     turns = [("fp", *more)[v:] + ("fp", *more)[:v] for v in range(variants)]  # each fingerprint leads once
-    found = [links(nodes.select("node", *(F.col(c).alias(n) for c, n in zip(turn, ("fp", *more)))), reach, more, most) for turn in turns]
-    roots = components(reduce(DataFrame.unionAll, found))
-    same = [F.col(f"n.{c}") == F.col(f"f.{c}") for c in ("fp", *more)]
-    classes = nodes.join(roots, "node", "left").select(*("fp", *more), F.coalesce("root", "node").alias("root"))
-    told = fps.alias("f").join(classes.alias("n"), reduce(Column.__and__, same)).where("doc_id <> root")
-    return told.select(F.col("doc_id").alias("node"), "root")
-
-
-def keep_one(docs: DataFrame, width: int = 5, variants: int = 4, reach: int = 7, most: int = 38) -> DataFrame:
+    found = [links(nodes.select("node", *(F.col(c).alias(n) for c, n in zip(turn, ("fp", *more)))), REACH, more, most, ball=1) for turn in turns]
+    ends = components(reduce(DataFrame.unionAll, found))
+    classes = materialise(ends.unionByName(ends.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "class"), "simhash-classes")
+    held = materialise(nodes.select("node", "key").join(classes, "node"), "simhash-held")
+    held = held.join(held.groupBy("class").agg(F.count("*").alias("n")), "class")
+    sets = with_shingles(docs, held.select("node", "key", "class", "n"), width)
+    roots = components(confirmed_links(sets, least))
+    told = nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    return fps.join(told, "key").where("doc_id <> root").select(F.col("doc_id").alias("node"), "root")
+
+
+def keep_one(docs: DataFrame, width: int = 5, variants: int = 4, least: float = 0.8, most: int = 54) -> DataFrame:
     """Documents that are the smallest doc_id of their class of ``near_copies``, with all their columns.
 
     Rows with a null doc_id are kept: nothing orders them among a class. Rows without words are one class. Repeated rows
     stay or go together. The ids that go are written first, so that Spark broadcasts them only if they are few.
     """
-    gone = materialise(near_copies(docs, width, variants, reach, most).select(F.col("node").alias("doc_id")).distinct(), "simhash-gone")
+    gone = materialise(near_copies(docs, width, variants, least, most).select(F.col("node").alias("doc_id")).distinct(), "simhash-gone")
     return docs.join(gone, "doc_id", "left_anti")
