@@ -32,11 +32,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and whether they give it back."""
+    """Token ids of every text, whether they give it back, and whether the sentencepiece library gives the same ids."""
     out = sentencepiece.tokenise(docs)
     ids = F.col("_pieces.token_ids")
     back = F.col("_pieces.decoded") == F.coalesce("text", F.lit(""))
-    return out.select("doc_id", "lang", "source", F.size(ids).alias("n_tokens"), ids.alias("token_ids"), back.alias("round_trip"))
+    return out.select("doc_id", "lang", "source", F.size(ids).alias("n_tokens"), ids.alias("token_ids"), back.alias("round_trip"), "_pieces.parity")
 
 
 STAGES = [

@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 import sentencepiece as library
 
+import corpus_pipeline
 from traitloom.llm import sentencepiece as sp
 
 MODEL = Path(sp.MODEL)
@@ -64,3 +65,10 @@ def test_documents(spark):
     assert all(r._pieces.parity for r in got) and [r._pieces.decoded for r in got] == [r.text or "" for r in got]
     assert [len(r._pieces.token_ids) for r in got][:2] == [0, 0]
     assert sp.tokenise(docs.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not MODEL.exists(), reason="no model file here")
+def test_every_text_is_verified(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts(300))], "doc_id long, text string, lang string, source string")
+    assert {r._pieces.parity for r in sp.tokenise(docs).collect()} == {True}
+    assert {r.parity for r in corpus_pipeline.tokenise(spark, docs, "").collect()} == {True}

@@ -21,8 +21,8 @@ from traitloom.llm.common import bounded_batches
 
 MODEL = os.environ.get("TRAITLOOM_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-#: Of this many texts (by hash) one is also encoded by the sentencepiece library.
-PARITY_EVERY = 32
+#: Of this many texts (by hash) one is also encoded by the sentencepiece library; 1: every text.
+PARITY_EVERY = 1
 #: Characters that one call encodes, and its threads.
 CHUNK, THREADS = 1 << 18, 2
 
@@ -175,7 +175,7 @@ def tokenise(docs: DataFrame, model_path: str = MODEL, parity_every: int = PARIT
     """Documents with a struct column ``_pieces``: token_ids, decoded and parity.
 
     ``decoded`` is the text that the ids give back. ``parity`` says whether the sentencepiece library gives the same
-    ids; it is null where that was not asked (all but one of ``parity_every`` texts, picked by hash; 1 asks for all).
+    ids, of every text. With a ``parity_every`` above 1 it is null for all but one of so many texts, picked by hash.
     Null texts count as empty and have no ids. All columns are passed on whatever their names (``_pieces`` is
     replaced); repeated rows are encoded each; an empty table gives no rows. The model file is read on the driver and
     sent to the executors (its size is that of the vocabulary).
