@@ -1,3 +1,7 @@
+import math
+import time
+from collections import Counter, defaultdict
+
 import pytest
 
 from traitloom.llm import sitetext
@@ -16,35 +20,90 @@ CASES = [
     ("<p>unclosed comment <!-- <p>gone", "unclosed comment"),
     ("<ul><li><a href='/a'>x</a></li></ul><p>a < b and c > d</p>", "x\na < b and c > d"),
     ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+    ("<p>one <a title=\"left open>two</a> three</p>", "one two three"),
+    ("<p>one<a href='x", "one"),
+    ("<ul><li>a<ul><li>b<div>c</ul><li>d</ul>e", "a\nb\nc\nd\ne"),
+    ("<i><div>x</i>y</div>z", "xy\nz"),
 ]
 
 
 @pytest.mark.parametrize("html, text", CASES)
 def test_extract(html, text):
-    assert sitetext.extract(html, set()) == text
+    assert sitetext.extract(html, set())[0] == text
+
+
+HOSTILE = ["<a ", '<a x="', "<!--", "<title>", "<p title='", "<div>", "<div></p>", "<b><hr>", "<ul><b><li>", "<article>", "<i></b>", "<a b=c", "< a"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_time_grows_with_the_page(piece):
+    page = piece * (300_000 // len(piece))
+    start = time.perf_counter()
+    sitetext.subtrees(page)
+    sitetext.extract(page, {1})
+    assert time.perf_counter() - start < 8
 
 
 def page(n, host, body):
     return (n, f"https://{host}/p/{n}", body)
 
 
+def site(n):
+    menu = "".join(f"<li><a href='/{n}/{k}'>entry {chr(97 + (n * 7 + k) % 26)}{n % 5}</a></li>" for k in range(4 + n % 2))
+    banner = f"<div class=x>Seen {n} times <span>every day</span></div>"
+    return f"<html><body><div class=y1><ul>{menu}</ul></div>{banner}<div class=y><p>own words of page {chr(97 + n)} {'and more ' * 20}</p></div>"
+
+
 def test_templates_are_found_per_host(spark):
-    banner = "<div class=x>Brought to you by the same people <span>every day</span></div>"
-    body = lambda n: f"<html><body>{banner}<div class=y><p>own words of page {n} {'and more ' * 20}</p><p>a passage quoted by all</p></div><div class=z>tail {n % 2}</div>"
+    body = lambda n: site(n) + f"<div class=z>tail {chr(97 + n % 2)}</div>"
     rows = [page(n, "a.example", body(n)) for n in range(20)] + [page(100 + n, "b.example", body(n)) for n in range(3)]
     rows += [(200, None, "<p>no url</p>"), (201, "https://a.example/", None), (0, "https://a.example/p/0", body(0))]
-    article = f"<article><p>a passage quoted by all</p>{banner}<p>own</p><p>{'long text ' * 30}</p></article>"
-    rows += [page(300 + n, "c.example", article.replace("own", f"own {n}")) for n in range(8)]
-    pages = spark.createDataFrame([(*r, "old") for r in rows], "page_id long, url string, html string, text string")
+    article = "<article><p>a passage quoted by all</p><div class=x>Brought to you</div><p>own</p><p>{'long text ' * 30}</p></article>"
+    rows += [page(300 + n, "c.example", article.replace("own", f"own {'w' * (n + 1)} {'long text ' * 9}")) for n in range(8)]
+    rows += [page(400 + n, "d.example", "<div><p>one page many times</p><p>and again</p></div>") for n in range(30)]
+    pages = spark.createDataFrame([(*r, "old", 1) for r in rows], "page_id long, url string, html string, text string, _deleted int")
     out = sitetext.main_text(pages)
-    assert sorted(out.columns) == ["html", "page_id", "text", "url"]
+    assert sorted(out.columns) == ["_deleted", "html", "page_id", "text", "url"]
     got = {}
     for r in out.collect():
-        got.setdefault(r.page_id, []).append(r.text)
+        got.setdefault(r.page_id, []).append(r)
     assert len(got) == len(rows) - 1 and len(got[0]) == 2 and got[0][0] == got[0][1]
-    own = f"own words of page 7 {'and more ' * 20}".strip()
-    assert got[7] == [own] or got[7] == [own + "\na passage quoted by all"]
-    assert got[102][0].startswith("Brought to you by the same people every day\nown words of page 2") and got[102][0].endswith("tail 0")
-    assert got[303][0].startswith("a passage quoted by all\nown 3\nlong text") and "Brought" not in got[303][0]
-    assert got[200] == ["no url"] and got[201] == [""]
+    for n in range(20):  # no name says what the menu, the banner and the tail are: counts alone delete them
+        assert got[n][0].text == f"own words of page {chr(97 + n)} {'and more ' * 20}".strip()
+        assert got[n][0]._deleted.by_count > 30 and got[n][0]._deleted.by_name == 0
+        assert "Seen" in sitetext.extract(body(n), set())[0]
+    assert got[102][0].text.startswith("entry") and got[102][0].text.endswith("tail a")  # three pages show no template
+    assert got[303][0].text.startswith("a passage quoted by all\nown wwww") and "Brought" not in got[303][0].text
+    assert got[200][0].text == "no url" and got[201][0].text == ""
+    assert {got[n][0].text for n in range(400, 430)} == {"one page many times\nand again"}  # copies of one page are no site
     assert sitetext.main_text(pages.limit(0)).count() == 0
+
+
+def test_counts_are_those_of_brute_force(spark):
+    rows = [page(n, f"{'ab'[n % 3 == 0]}.example", site(n % 23)) for n in range(60)] + [(90, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    on, bits, sizes = Counter(), defaultdict(set), Counter()
+    for _, url, html in rows:
+        name = url.split("/")[2] if url else ""
+        sizes[name] += 1
+        content, keys, lists = sitetext.subtrees(html)
+        for key in [(name, k, False) for k in keys] + [(name, k, True) for k in lists]:
+            on[key] += 1
+            bits[key].add(content)
+    least = sitetext.LEAST_PAGES
+    want = {(*k, n, len(bits[k]), sizes[k[0]]) for k, n in on.items() if n >= least}
+    got = {(r.host, r.key, r.listed, r.on, r.contents, r.pages) for r in sitetext.subtree_counts(pages).collect()}
+    assert got == want and any(k[2] for k in got)
+    kept = defaultdict(set)
+    for host, key, listed, n, contents, size in want:
+        need = max(least, math.sqrt(size))
+        if n >= (max(need, sitetext.LIST_SHARE * size) if listed else need) and contents >= min(need, sitetext.CONTENTS):
+            kept[host].add(key)
+    assert {r.host: set(r.templates) for r in sitetext.site_templates(pages).collect()} == kept and len(kept) == 2
+
+
+def test_site_templates_on_the_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hosts = {r.host for r in pages.groupBy(sitetext.host(pages.url).alias("host")).count().where(f"count >= {sitetext.LEAST_PAGES}").collect()}
+    found = {r.host for r in sitetext.site_templates(pages).collect()}
+    assert found <= hosts and len(found) >= 0.8 * len(hosts)

@@ -39,7 +39,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_site_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sitetext.main_text(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "_deleted.by_count", "_deleted.by_name")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
-Every page's elements are hashed with all they hold. A subtree that many pages of a host share, and that is a small part
-of each, belongs to the site and is deleted from all its pages, unless it is prose of an article: an article may quote
-the same passage as others. What the markup itself names as menu, header, footer, sidebar, notice, advert, form or
-reader comment goes as well. The rest of the article, or of the page if none is marked, is the text.
+Every page's elements are hashed with all they hold; link targets, numbers and the words of link lists are masked, so
+that a menu with another entry marked, a count or a date is still the same subtree. Spark counts the hashes per host.
+A subtree on many pages of a host belongs to the site and is deleted from all its pages, unless it is prose of an
+article: an article may quote the same passage as others. Of what is left, the parts that the markup itself names as
+menu, header, footer, sidebar, notice, advert, form or reader comment go as well: a site with few pages shows no
+templates. The rest of the article, or of the page if none is marked, is the text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import numpy as np
@@ -19,9 +22,14 @@ from pyspark.sql import functions as F
 
 from traitloom.llm.common import bounded_batches, materialise
 
-#: A template stands on this many pages of its host at least, on this share of them, and is this share of a page at most.
-LEAST_PAGES, LEAST_SHARE, MOST_OF_PAGE = 5, 0.3, 0.3
-
+#: A template stands on this many pages of its host at least, and on the square root of their number.
+LEAST_PAGES = 5
+#: A list of links whose words are masked stands on this share of them at least.
+LIST_SHARE = 0.5
+#: Links of such a list, and the share of its characters inside them, at least.
+LIST_LINKS, LINK_SHARE = 3, 0.8
+#: Bits that tell the contents of the pages apart on which a subtree stands, and how many must be told, at most.
+CONTENT_BITS, CONTENTS = 64, 24
 # Element names of HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp noembed noframes".split())
@@ -54,63 +62,107 @@ SIDE = set(
 SIDE_ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MAIN_NAMES = set("article articlebody content entry main maincontent post postbody story text".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]|['\"](?=[^'\"]*\Z))*)>|<[!?/][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'>]+)", re.S)
+#: What follows a tag's name up to its end: quotes count after "=" only, and only where they are closed.
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+TAG_REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""")
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))?+)?+""")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-SPACE = re.compile(r"\s+")
+SPACE, NUMBER = re.compile(r"\s+"), re.compile(r"\d+")
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I) for name in RAW | ESCAPABLE}
 
 
 class Element:
-    __slots__ = ("name", "attributes", "children", "parent", "hash", "chars")
+    __slots__ = ("name", "attributes", "children", "parent", "hash", "shape", "chars", "linked", "links", "own")
 
     def __init__(self, name, attributes, parent):
         self.name, self.attributes, self.parent = name, attributes, parent
         self.children: list[Element | str] = []
 
 
+class _Open:
+    """The open elements, with the depths at which each name, and anything but inline elements, stand."""
+
+    def __init__(self, root: Element):
+        self.stack, self.depths, self.hard = [root], {}, [0]
+
+    def push(self, node: Element) -> None:
+        self.depths.setdefault(node.name, []).append(len(self.stack))
+        if node.name not in INLINE:
+            self.hard.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, depth: int) -> None:
+        """Close the element at a depth with all inside it."""
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            self.depths[node.name].pop()
+            if node.name not in INLINE:
+                self.hard.pop()
+
+    def end(self, name: str) -> None:
+        """An end tag: skipped if nothing of the name is open, or, for an inline element, only outside the block."""
+        at = self.depths.get(name)
+        if at and (name not in INLINE or at[-1] > self.hard[-1]):
+            self.close(at[-1])
+
+    def begin(self, name: str) -> None:
+        """What a start tag ends: an open paragraph before a block; items and cells before the next one."""
+        if name in BLOCK and self.stack[self.hard[-1]].name == "p":
+            self.close(self.hard[-1])
+        if name in ENDS:
+            stop = max((self.depths[x][-1] for x in STOPS[name] if self.depths.get(x)), default=0)
+            ended = [at[k] for x in ENDS[name] if (at := self.depths.get(x)) and (k := bisect_right(at, stop)) < len(at)]
+            if ended:
+                self.close(min(ended))
+
+
 def parse(html: str) -> Element:
-    """A forgiving tree: unknown ends are skipped, missing ones are supplied."""
-    root = here = Element("", {}, None)
-    at = 0
-    for found in iter(lambda: TAG.search(html, at), None):
-        if found.start() > at:
-            here.children.append(unescape(html[at : found.start()]))
-        at = found.end()
-        if not found[2]:
+    """A forgiving tree in one pass: unknown ends are skipped, missing ones are supplied, a tag that never ends is dropped."""
+    root = Element("", {}, None)
+    open_ = _Open(root)
+    at, quotes = 0, True  # whether quotes in tags are still heeded: after one tag that they leave without end they are not
+    size = len(html)
+    while at < size:
+        lt = html.find("<", at)
+        while lt >= 0 and not (lt + 1 < size and (html[lt + 1] in "!?/" or html[lt + 1].isascii() and html[lt + 1].isalpha())):
+            lt = html.find("<", lt + 1)
+        if lt < 0:
+            lt = size
+        if lt > at:
+            open_.stack[-1].children.append(unescape(html[at:lt]))
+        if lt == size:
+            break
+        end_tag = html[lt + 1] == "/"
+        name = TAG_NAME.match(html, lt + 1 + end_tag)
+        if not name:
+            stop, skip = ("-->", 4) if html.startswith("<!--", lt) else ("]]>", 9) if html.startswith("<![CDATA[", lt) else (">", 1)
+            end = html.find(stop, lt + skip)
+            at = size if end < 0 else end + len(stop)
             continue
-        name = found[2].lower()
-        if found[1]:
-            node = here
-            while node.parent and node.name != name:
-                # an inline end does not close the block around it
-                node = root if name in INLINE and node.name in BLOCK else node.parent
-            if node.parent:
-                here = node.parent
+        rest = TAG_REST.match(html, name.end()) if quotes else None
+        if not rest and quotes:
+            quotes = False
+        end = rest.end() if rest else html.find(">", name.end()) + 1
+        if not end:
+            break
+        at, inside, name = end, html[name.end() : end - 1], name[0].lower()
+        if end_tag:
+            open_.end(name)
             continue
-        if name in BLOCK:  # a block ends an open paragraph, with the inline elements left open in it
-            node = here
-            while node.parent and node.name in INLINE:
-                node = node.parent
-            if node.name == "p":
-                here = node.parent
-        if name in ENDS:
-            node = here
-            while node.parent and node.name not in STOPS[name]:
-                if node.name in ENDS[name]:
-                    here = node.parent
-                node = node.parent
-        attributes = {(a[1] or a[5]).lower(): unescape(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(found[3])} if found[3].strip(" /") else {}
-        node = Element(name, attributes, here)
-        here.children.append(node)
-        if name in RAW or name in ESCAPABLE:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
-            inside, at = (html[at : end.start()], end.end()) if end else (html[at:], len(html))
+        open_.begin(name)
+        attributes = {}
+        if inside.strip(" /"):
+            for a in ATTRIBUTE.finditer(inside):
+                attributes.setdefault(a[1].lower(), unescape(a[2] or a[3] or a[4] or ""))
+        node = Element(name, attributes, open_.stack[-1])
+        node.parent.children.append(node)
+        if name in RAW_ENDS:
+            end = RAW_ENDS[name].search(html, at)
+            words, at = (html[at : end.start()], end.end()) if end else (html[at:], size)
             if name in ESCAPABLE:
-                node.children.append(unescape(inside))
+                node.children.append(unescape(words))
         elif name not in VOID:
-            here = node
-    if at < len(html):
-        here.children.append(unescape(html[at:]))
+            open_.push(node)
     return root
 
 
@@ -137,9 +189,12 @@ def is_side(element: Element, inside: bool) -> bool:
     return bool(names & SIDE)
 
 
-def _text_parts(element: Element, inside: bool, out: list[list[str]]) -> None:
-    """Text of an element in blocks; a loop with its own stack, for pages nested very deep."""
+
+def _text_parts(element: Element, inside: bool, out: list[list[str]]) -> int:
+    """Appends the text of an element in blocks and returns the characters of parts left out by their names; a loop with
+    its own stack, for pages nested very deep."""
     stack: list[tuple] = [(element, inside, iter(element.children))]
+    named = 0
     while stack:
         node, within, rest = stack[-1]
         child = next(rest, None)
@@ -151,10 +206,13 @@ def _text_parts(element: Element, inside: bool, out: list[list[str]]) -> None:
             out[-1].append(child)
         elif child.name == "br":
             out[-1].append(" ")
-        elif not is_side(child, within):
+        elif is_side(child, within):
+            named += sum(len(SPACE.sub(" ", t).strip()) for e in _elements(child) for t in e.children if isinstance(t, str) and child.name != "head")
+        else:
             if child.name in BLOCK:
                 out.append([])
             stack.append((child, within or child.name in ("article", "main"), iter(child.children)))
+    return named
 
 
 def _elements(root: Element):
@@ -175,12 +233,12 @@ def articles(root: Element) -> list[Element]:
         found, stack = [], [(root, False)]
         while stack:
             node, inside = stack.pop()
-            for child in reversed([c for c in node.children if not isinstance(c, str)]):
-                if not is_side(child, inside):
-                    stack.append((child, inside or child.name in ("article", "main")))
             if node is not root and match(node):
                 found.append(node)
-                stack = [x for x in stack if x[0].parent is not node]
+                continue
+            for child in reversed(node.children):
+                if not isinstance(child, str) and not is_side(child, inside):
+                    stack.append((child, inside or child.name in ("article", "main")))
         return found
 
     for match in (
@@ -193,117 +251,177 @@ def articles(root: Element) -> list[Element]:
     return [max(named, key=lambda e: e.chars)] if named else [root]
 
 
-def hash_tree(root: Element) -> None:
-    """Sets each element's hash (of its name, class, and all it holds, white space aside) and count of characters."""
+def measure(root: Element) -> Element | None:
+    """Sets each element's hash (name, class, and all it holds, white space and numbers aside), shape (names and classes
+    alone, repeats once), characters, and what of these is links; returns the block with the most words of its own."""
+    best, most = None, 0
     for node in _elements(root):
-        digest, chars = xxhash.xxh64(f"{node.name}\0{node.attributes.get('class', '')}\0"), 0
+        head = f"{node.name}\0{NUMBER.sub('0', node.attributes.get('class', ''))}\0"
+        digest, shape = xxhash.xxh64(head), xxhash.xxh64(head)
+        chars = linked = links = own = last = 0
         for child in node.children:
             if isinstance(child, str):
                 squeezed = SPACE.sub(" ", child).strip()
-                digest.update(squeezed + "\1")
+                digest.update(NUMBER.sub("0", squeezed) + "\1")
                 chars += len(squeezed)
+                own += len(squeezed)
             else:
                 digest.update(child.hash.to_bytes(8, "little"))
-                chars += child.chars
-        node.hash, node.chars = digest.intdigest(), chars
-
-
-def _prose_of_article(element: Element, inside: bool) -> bool:
-    return inside and (element.name in PROSE or element.name in INLINE)
-
-
-def subtrees(html: str | None) -> list[tuple[int, float]]:
-    """(hash, share of the page's characters) of every distinct subtree that could be a template."""
-    root = parse(html or "")
-    hash_tree(root)
-    found: dict[int, float] = {}
-    stack = [(root, False)]
+                if child.shape != last:
+                    shape.update(child.shape.to_bytes(8, "little"))
+                    last = child.shape
+                chars, linked, links = chars + child.chars, linked + child.linked, links + child.links
+                own += child.own if child.name in INLINE else 0
+        if node.name == "a":
+            linked, links, own = chars, 1, 0
+        node.hash, node.shape, node.chars, node.linked, node.links, node.own = digest.intdigest(), shape.intdigest(), chars, linked, links, own
+        if own > most and node.name not in INLINE and node.name not in ESCAPABLE:
+            best, most = node, own
+    return best
+
+
+def _candidates(root: Element):
+    """(element, key of its content or None, key of its list of links or None) of what could be a template. A caller that
+    sends True back gets nothing from inside the element."""
+    stack = [(root, False, 0)]
     while stack:
-        node, inside = stack.pop()
+        node, inside, path = stack.pop()
         for child in node.children:
             if isinstance(child, str) or not child.chars or child.name in RAW or child.name == "head":
                 continue
             whole = child.name in WHOLE and not is_side(child, inside)
-            if not whole and not _prose_of_article(child, inside):
-                found[child.hash] = child.chars / root.chars
-            stack.append((child, inside or (whole and child.name in ("article", "main"))))
-    return list(found.items())
+            prose = inside and (child.name in PROSE or child.name in INLINE) and child.linked < child.chars
+            here = xxhash.xxh64_intdigest(f"{path}/{child.name} {child.attributes.get('class', '')}")
+            listed = None
+            if not inside and child.links >= LIST_LINKS and child.linked >= LINK_SHARE * child.chars:
+                listed = xxhash.xxh64_intdigest(f"{here}:{child.shape}")
+            gone = (yield child, None if prose else child.hash, listed) if not whole else None
+            if not gone:
+                stack.append((child, inside or (whole and child.name in ("article", "main")), here))
 
 
-def prune(root: Element, templates: set[int]) -> None:
-    """Delete the subtrees that are templates."""
-    stack = [(root, False)] if templates else []
-    while stack:
-        node, inside = stack.pop()
-        keep = []
-        for child in node.children:
-            if not isinstance(child, str):
-                whole = child.name in WHOLE and not is_side(child, inside)
-                if child.hash in templates and not whole and not _prose_of_article(child, inside):
-                    continue
-                stack.append((child, inside or (whole and child.name in ("article", "main"))))
-            keep.append(child)
-        node.children = keep
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
 
 
-def extract(html: str | None, templates: set[int]) -> str:
-    """Text of a page without the given subtrees."""
+def subtrees(html: str | None) -> tuple[int, list[int], list[int]]:
+    """What a page adds to the count: a number that tells its content apart, and the keys of its distinct subtrees by
+    content and by their lists of links.
+
+    The content is the block with the most words; what holds that block is no template of this page.
+    """
+    root = parse(html or "")
+    body = node = measure(root)
+    holders = set()
+    while node:
+        holders.add(id(node))
+        node = node.parent
+    by_content, by_list = set(), set()
+    for child, key, listed in _candidates(root):
+        if key is not None and id(child) not in holders:
+            by_content.add(_signed(key))
+        if listed is not None:
+            by_list.add(_signed(listed))
+    return (body.hash if body else 0) % CONTENT_BITS, sorted(by_content), sorted(by_list)
+
+
+def prune(root: Element, templates: set[int]) -> int:
+    """Delete the subtrees that are templates (signed keys); returns the characters deleted."""
+    if not templates:
+        return 0
+    gone, deleted, found = set(), 0, _candidates(root)
+    answer = None
+    while True:
+        try:
+            child, key, listed = found.send(answer)
+        except StopIteration:
+            break
+        answer = key is not None and _signed(key) in templates or listed is not None and _signed(listed) in templates
+        if answer:
+            gone.add(id(child))
+            deleted += child.chars
+    if gone:
+        for node in _elements(root):
+            node.children = [c for c in node.children if isinstance(c, str) or id(c) not in gone]
+    return deleted
+
+
+def extract(html: str | None, templates: set[int]) -> tuple[str, int, int]:
+    """Text of a page without the given subtrees, and the characters that were deleted by counts and by names."""
     root = parse(html or "")
-    hash_tree(root)
-    prune(root, templates)
+    measure(root)
+    counted = prune(root, templates)
     blocks: list[list[str]] = [[]]
     for holder in articles(root):
         _text_parts(holder, holder.name in ("article", "main"), blocks)
         blocks.append([])
-    return "\n".join(x for x in (SPACE.sub(" ", "".join(b)).strip() for b in blocks) if x)
+    named = _text_parts(root, False, [[]])
+    return "\n".join(x for x in (SPACE.sub(" ", "".join(b)).strip() for b in blocks) if x), counted, named
 
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def site_templates(pages: DataFrame) -> DataFrame:
-    """host and the hashes of its templates.
+def subtree_counts(pages: DataFrame) -> DataFrame:
+    """host, key, listed (whether the key is that of a list of links), on (pages of the host it stands on), contents (how
+    many contents of these pages are told apart, at least: copies of one page are one content), pages (of the host).
 
-    A host has few: each stands on ``LEAST_SHARE`` of its pages, so there are no more than a page's elements over that.
+    Null html is a page without subtrees; repeated rows are pages each, of one content; an empty table gives no rows.
     """
 
-    @F.pandas_udf("array<struct<hash: long, share: double>>")
-    def hashed(htmls: pd.Series) -> pd.Series:
-        signed = lambda h: h - (1 << 64) if h >> 63 else h
-        return htmls.map(lambda h: [{"hash": signed(k), "share": s} for k, s in subtrees(h)])
+    @F.pandas_udf("content int, keys array<long>, lists array<long>")
+    def hashed(htmls: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([subtrees(h) for h in htmls], columns=["content", "keys", "lists"])
 
-    seen = bounded_batches(pages).select(host(F.col("url")).alias("host"), F.explode(hashed("html")).alias("s")).groupBy("host", "s.hash")
-    seen = seen.agg(F.count("*").alias("on"), F.avg("s.share").alias("share")).where((F.col("on") >= LEAST_PAGES) & (F.col("share") <= MOST_OF_PAGE))
+    told = bounded_batches(pages).select(host(F.col("url")).alias("host"), hashed("html").alias("s"))
+    keyed = lambda keys, listed: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(listed).alias("listed")))
+    seen = told.select("host", F.expr("shiftleft(1L, s.content)").alias("bit"), F.explode(F.concat(keyed(F.col("s.keys"), False), keyed(F.col("s.lists"), True))).alias("k"))
+    seen = seen.groupBy("host", "k.key", "k.listed").agg(F.count("*").alias("on"), F.bit_count(F.bit_or("bit")).alias("contents")).where(F.col("on") >= LEAST_PAGES)
     sizes = pages.groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    common = seen.join(sizes, "host").where(F.col("on") >= LEAST_SHARE * F.col("pages"))
-    return common.groupBy("host").agg(F.collect_set("hash").alias("templates"))
+    return seen.join(sizes, "host")
+
+
+def site_templates(pages: DataFrame) -> DataFrame:
+    """host and the keys of its templates; hosts without a template, or with fewer than ``LEAST_PAGES`` pages, have no row.
+
+    A template stands on the square root of the host's pages at least (a masked list of links on ``LIST_SHARE`` of them)
+    and on pages of several contents, so a host has no more than a page's elements times that root. Pages with a null or
+    odd url share the host "".
+    """
+    need = F.greatest(F.lit(float(LEAST_PAGES)), F.sqrt("pages"))
+    enough = F.col("on") >= F.when(F.col("listed"), F.greatest(need, LIST_SHARE * F.col("pages"))).otherwise(need)
+    common = subtree_counts(pages).where(enough & (F.col("contents") >= F.least(need, F.lit(CONTENTS))))
+    return common.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("templates"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """Pages with a column ``text``: the main text, blocks joined by one line feed; empty if there is none.
+    """Pages with columns ``text``, the main text, blocks joined by one line feed, empty if there is none, and
+    ``_deleted``: characters deleted by_count and by_name.
 
     Null html is an empty page; pages with a null or odd url share the host "". Repeated rows count as pages each and
-    give a text each. All columns are passed on (``text`` is replaced); an empty table gives no rows. Template lists are
-    written first, so that Spark knows their size and broadcasts them only if that is small; else both sides are
-    dealt by host and one of 32 salts.
+    give a text each. All columns are passed on (``text`` and ``_deleted`` are replaced); an empty table gives no rows.
+    Template lists are written first, so that Spark knows their size and broadcasts them only if that is small; else
+    both sides are dealt by host and one of 32 salts.
     """
     salts = 32
     found = materialise(site_templates(pages), "templates")
     found = found.select(F.col("host").alias("_host"), F.col("templates").alias("_templates"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
 
-    @F.pandas_udf("string")
-    def extracted(htmls: pd.Series, templates: pd.Series) -> pd.Series:
+    @F.pandas_udf("text string, by_count long, by_name long")
+    def extracted(htmls: pd.Series, templates: pd.Series) -> pd.DataFrame:
         sets: dict[bytes, set[int]] = {}
 
         def known(t):
             key = b"" if t is None else np.asarray(t, np.int64).tobytes()
             if key not in sets:
-                sets[key] = {int(h) & (2**64 - 1) for h in np.frombuffer(key, np.int64)}
+                sets[key] = set(np.frombuffer(key, np.int64).tolist())
             return sets[key]
 
-        return pd.Series([extract(h, known(t)) for h, t in zip(htmls, templates)], dtype=object)
+        return pd.DataFrame([extract(h, known(t)) for h, t in zip(htmls, templates)], columns=["text", "by_count", "by_name"])
 
     salt = F.pmod(F.xxhash64("url", "html"), F.lit(salts)).cast("int")
     dealt = pages.select(F.struct("*").alias("_page"), host(F.col("url")).alias("_host"), salt.alias("_salt")).join(found, ["_host", "_salt"], "left")
-    return dealt.select("_page.*", extracted("_page.html", "_templates").alias("_text")).drop("text").withColumnRenamed("_text", "text")
+    done = dealt.select("_page", extracted("_page.html", "_templates").alias("_x"))
+    kept = [F.col("_page").getField(c).alias(c) for c in pages.columns if c.lower() not in ("text", "_deleted")]
+    return done.select(*kept, F.col("_x.text").alias("text"), F.struct("_x.by_count", "_x.by_name").alias("_deleted"))
