@@ -46,6 +46,49 @@ def test_held_out_findings(spark):
     assert secretscan.scan(docs.limit(0)).count() == 0
 
 
+HARD = [
+    (1, "token = \"", lambda d, w: "".join(d.choice("0123456789abcdef") for _ in range(40)), '"'),
+    (1, 'password = "', lambda d, w: w().capitalize()[:6] + d.choice("#!$") + str(d.randrange(1000, 9999)) + "!", '"'),
+    (1, "pwd=", lambda d, w: "x" + "".join(d.choice("abcdefghkmnpqr23456789") for _ in range(9)), ""),
+    (1, "postgres://app:", lambda d, w: "".join(d.choice("abcXYZkmn!$345678") for _ in range(10)), "@host/db"),
+    (1, "Bearer ", lambda d, w: "eyJ" + "".join(d.choice("abcdefXYZ0123456789") for _ in range(20)) + ".eyJ" + "".join(d.choice("ghijKLM0123456789") for _ in range(40)) + ".s1g_n4tur3-xx", ""),
+    (0, "commit ", lambda d, w: "".join(d.choice("0123456789abcdef") for _ in range(40)), ""),
+    (0, "sha256: ", lambda d, w: "".join(d.choice("0123456789abcdef") for _ in range(64)), ""),
+    (0, "id: ", lambda d, w: "-".join("".join(d.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12)), ""),
+    (0, "token: ", lambda d, w: w() + w().capitalize() + w().capitalize(), ""),
+    (0, "secret=", lambda d, w: w() + "_" + w() + "_" + w(), ""),
+    (0, "", lambda d, w: "".join(w() for _ in range(9)), ""),
+]
+
+
+def test_hard_cases_are_decided_by_the_forest(spark):
+    rows, _ = corpus(1500)
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice(["tion", "er", "the", "an", "on", "ing"]) for _ in range(3))
+    truth, docs, names = {}, [], {}
+    for d, text, path in rows:
+        text = " ".join(w for w in text.split() if w.isalpha())
+        kind = draw.randrange(len(HARD))
+        label, before, value, after = HARD[kind]
+        head = text[: draw.randrange(len(text) + 1)] + " "
+        truth[(d, len(head) + len(before))], names[(d, len(head) + len(before))] = label, kind
+        docs.append((d, head + before + value(draw, word) + after + " tail", path))
+    got = {(r.doc_id, r.start): r for r in secretscan.scan(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert len(set(truth) - set(got)) <= 0.01 * len(truth)  # what the patterns do not see
+    held = [k for k in truth if k in got and got[k].held_out]
+    right = [got[k].is_secret == bool(truth[k]) for k in held]
+    by_kind = {HARD[n][1]: [got[k].is_secret for k in held if names[k] == n] for n in range(len(HARD))}
+    assert sum(right) >= 0.92 * len(held), {k: (sum(v), len(v)) for k, v in by_kind.items()}
+    text = {d: t for d, t, _ in docs}
+    rule = [bool(secretscan.ASSIGNED.search(text[k[0]][: k[1]])) for k in held]  # given to a secret's name
+    assert sum(r == bool(truth[k]) for r, k in zip(rule, held)) < 0.85 * len(held)
+
+
+def test_candidates():
+    assert [t[a:b] for t in ["a pwd = 'x y z' and token:abcdef; https://u:pw1@h/ eyJabcdefghi.eyJabcdefghi.sig " + "q" * 16] for a, b in secretscan.candidates(t)] == ["x y z", "abcdef", "pw1", "eyJabcdefghi.eyJabcdefghi.sig", "q" * 16]
+    assert secretscan.candidates("") == [] and secretscan.candidates('token = "' * 20_000)
+
+
 def test_given_labels_decide(spark):
     rows, _ = corpus(300)
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
