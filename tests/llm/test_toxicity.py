@@ -46,14 +46,43 @@ def test_held_out_is_the_crc(spark):
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
 
 
-def test_label_model_finds_accuracies_and_copies():
+def planted_votes(rows=6000):
     draw = np.random.default_rng(7)
-    truth = draw.random(4000) < 0.3
-    fired = np.zeros((4000, 4), bool)
-    for j, (hit, miss) in enumerate([(0.5, 0.002), (0.4, 0.01), (0.5, 0.15)]):
-        fired[:, j] = draw.random(4000) < np.where(truth, hit, miss)
-    fired[:, 3] = fired[:, 0]
-    votes = np.column_stack([fired, -(~fired.any(1)).astype(np.int8)]).astype(np.int8)
-    posterior, accuracy, weight = tox.label_model(votes, np.array([0.9, 0.9, 0.6, 0.9, 0.9]), trust=2000)
-    assert accuracy[0] > 0.85 > accuracy[2] and weight[0] < weight[1]
-    assert ((posterior > 0.5) == truth)[fired[:, :2].any(1)].mean() > 0.95
+    truth = draw.random(rows) < 0.2
+    rates = [(0.5, 0.002), (0.4, 0.01), (0.5, 0.1), (0.3, 0.001), (0.35, 0.004)]
+    fired = np.column_stack([draw.random(rows) < np.where(truth, hit, miss) for hit, miss in rates])
+    copies = np.column_stack([fired[:, 0] & (draw.random(rows) < 0.97) for _ in range(3)])
+    annotators = draw.random(rows) < np.where(truth, 0.93, 0.02)
+    return truth, np.column_stack([fired, copies, annotators]), rates
+
+
+def test_label_model_estimates_accuracies_from_agreement():
+    truth, fired, rates = planted_votes()
+    got = tox.label_model(fired)
+    for j, (hit, miss) in enumerate(rates):
+        assert abs(got.on[j] - hit) < 0.06 and abs(got.off[j] - miss) < 0.02, (j, got.on[j], got.off[j])
+    assert abs(got.on[-1] - 0.93) < 0.04 and abs(got.off[-1] - 0.02) < 0.015  # the annotators' mistakes are found
+    assert got.together[0, 5:8].min() > 0.9 and got.together[:5, :5].max() < 0.15
+    assert ((got.posterior > 0.5) == truth).mean() > (fired[:, -1] == truth).mean()
+    draw = np.random.default_rng(8)
+    for wrong in (np.full(len(truth), 0.5) - 0.3 * ~fired.any(1), draw.random(len(truth)) * 0.3 + 0.5 * fired.any(1)):
+        again = tox.label_model(fired, wrong)
+        assert np.abs(again.on - got.on).max() < 0.01 and np.abs(again.posterior - got.posterior).max() < 0.02
+
+
+def test_copies_of_a_voter_count_once():
+    truth, fired, _ = planted_votes()
+    alone = tox.label_model(np.delete(fired, [5, 6, 7], 1))
+    with_copies = tox.label_model(fired)
+    assert np.abs(alone.posterior - with_copies.posterior).mean() < 0.02
+
+
+def test_scores_are_those_of_brute_force(spark):
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    model = tox.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    weight = dict(zip(model.names, model.weights.astype(float)))
+    for r in tox.score(docs, model).collect():
+        found = {m for w in r.text.lower().split() for m in ["=" + w] + [w[:n] + "*" for n in range(3, 8) if len(w) >= n]}
+        logit = model.bias + sum(weight.get(m, 0.0) for m in found)
+        assert abs(r._toxicity - 1 / (1 + np.exp(-logit))) < 1e-6

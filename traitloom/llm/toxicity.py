@@ -1,9 +1,11 @@
 """Toxicity by weak supervision.
 
-Many weak voters, each a lexicon word or a word-beginning pattern, vote "toxic" or stay silent; one more votes "clean"
-where all of them are silent. A generative label model estimates by expectation maximisation how often each voter is right
-and, from their correlation inside the estimated classes, how much of a vote repeats others. Its posterior labels train
-a linear classifier, which scores every text.
+Many weak voters, each a lexicon word or a word-beginning pattern, vote "toxic" where they find it and are silent
+elsewhere; the annotators of the labels are one voter more, which may err like the others. A generative label model
+estimates by expectation maximisation how often each voter speaks in toxic and in clean texts, so its voice and its
+silence both count as evidence, and how far voters move together inside a class, so repeated evidence counts once. All
+of it follows from how the voters agree: no accuracy is given. The posterior labels train a linear classifier, which
+scores every text.
 
 Voters are found in labelled rows of the learning part only (crc32 of the id modulo ``FOLDS`` is not ``HELD_OUT``).
 """
@@ -23,10 +25,11 @@ from traitloom.llm.common import bounded_batches, materialise
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 #: Labelled rows the classifier is fitted on, at most, of either label; picked by the hash of their id.
 TOXIC_ROWS, CLEAN_ROWS = 2_500, 4_500
-#: Voters, and features of the classifier, at most.
-VOTERS, FEATURES = 96, 1_536
-#: A voter speaks in this many labelled rows at least, of which this share is toxic at least.
-LEAST_ROWS, LEAST_SHARE = 4, 0.85
+#: Voters, and features of the classifier, at most: the strongest. On the 0.1 GB check tables 27 and 1,079 are used.
+VOTERS, FEATURES = 128, 1_536
+#: A voter speaks in this many labelled rows at least, of which this share is toxic at least; voters are added until
+#: this many speak in each toxic row.
+LEAST_ROWS, LEAST_SHARE, COVER = 4, 0.95, 5
 #: Log-odds ratio of a feature over its standard error, at least.
 LEAST_STRENGTH = 2.5
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -69,54 +72,71 @@ class Lookup:
 
 
 def choose_voters(fired: np.ndarray, toxic: np.ndarray) -> list[int]:
-    """Columns that cover the toxic rows: greedily the column with most toxic rows not yet covered, precise ones first."""
+    """Columns that cover the toxic rows ``COVER`` times: greedily the column that speaks in most rows that need it,
+    precise ones first. Labels choose the voters; they do not say how good they are."""
     share = (fired[toxic].sum(0) + 0.0) / np.maximum(fired.sum(0), 1)
     usable = np.flatnonzero((fired.sum(0) >= LEAST_ROWS) & (share >= LEAST_SHARE))
-    need = np.ones(int(toxic.sum()))
+    need = np.full(int(toxic.sum()), COVER)
     chosen: list[int] = []
     while len(chosen) < VOTERS and len(usable):
-        gain = (need[:, None] * fired[toxic][:, usable]).sum(0) * share[usable] ** 8
+        gain = ((need[:, None] > 0) * fired[toxic][:, usable]).sum(0) * share[usable] ** 8
         best = int(np.argmax(gain))
         if gain[best] < 1:
             break
         chosen.append(int(usable[best]))
-        need = np.maximum(0, need - fired[toxic][:, usable[best]])
+        need = need - fired[toxic][:, usable[best]]
         usable = np.delete(usable, best)
     return chosen
 
 
-def label_model(votes: np.ndarray, believed: np.ndarray, trust: float = 50, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of "toxic" of each row, and each voter's accuracy and weight.
+@dataclass
+class Labels:
+    """What the label model estimates: each row's posterior of "toxic", how often each voter speaks in toxic (``on``) and
+    clean rows (``off``), and how far two voters move together inside a class (0 to 1)."""
+
+    posterior: np.ndarray
+    on: np.ndarray
+    off: np.ndarray
+    together: np.ndarray
+
+
+def label_model(fired: np.ndarray, start: np.ndarray | None = None, rounds: int = 300, smooth: float = 1.0) -> Labels:
+    """Estimate from agreement alone. ``fired``: rows by voters, true where a voter says toxic; the last voter is the
+    annotators, whose silence says clean from the start, while that of the others counts only once it is estimated.
 
-    ``votes``: rows by voters, 1 toxic, -1 clean, 0 silent; silence is no evidence. ``believed``: the voters' accuracy
-    before anything is seen, which counts as much as ``trust`` votes. A voter's log-odds count in full where it speaks
-    alone, and in a row's shares where voters speak that move with it inside a class. The weight given back is its mean.
+    Begins at the majority of the votes, or at ``start`` (a belief a row). A voter never speaks more in clean rows than
+    in toxic ones, and toxic rows are not the majority: that tells the two classes apart. Evidence of a voter that
+    speaks is shared with the voters speaking in the same row that move with it, that of a silent one with all such.
     """
-    n, m = votes.shape
-    spoke = (votes != 0).astype(np.float64)
-    accuracy, weight = believed, spoke
-    posterior = np.where((votes == 1).any(1), 0.9, 0.1)
+    n, m = fired.shape
+    spoke = fired.astype(np.float64)
+    rate = np.clip(spoke.mean(0), 1e-6, 1 - 1e-6)
+    lead = spoke[:, :-1].sum(1) + np.where(fired[:, -1], 1, -1)
+    q = 1 / (1 + np.exp(-2.0 * lead)) if start is None else start
+    on = off = rate
+    together = np.zeros((m, m))
     for _ in range(rounds):
-        prior = np.clip(posterior.mean(), 0.02, 0.98)
-        right = np.where(votes == 1, posterior[:, None], 1 - posterior[:, None]) * spoke
-        accuracy = np.clip((right.sum(0) + trust * believed) / (spoke.sum(0) + trust), 0.02, 0.995)
-        inside = np.zeros((m, m))
-        for q in (posterior, 1 - posterior):
-            centred = (spoke - (q @ spoke) / max(q.sum(), 1e-9)) * np.sqrt(q)[:, None]
+        prior = np.clip(q.mean(), 2e-3, 0.5)
+        off = np.clip(((1 - q) @ spoke + smooth * rate) / ((1 - q).sum() + smooth), 1e-6, 1 - 1e-6)
+        on = np.maximum(off, np.clip((q @ spoke + smooth * rate) / (q.sum() + smooth), 1e-6, 1 - 1e-6))
+        together = np.zeros((m, m))
+        for p in (q, 1 - q):
+            centred = (spoke - (p @ spoke) / max(p.sum(), 1e-9)) * np.sqrt(p)[:, None]
             cov = centred.T @ centred
             scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            inside += cov / np.outer(scale, scale) * (q.sum() / max(n, 1))
-        together = np.clip(inside, 0, 1)
+            together += cov / np.outer(scale, scale) * (p.sum() / n)
+        together = np.clip(together, 0, 1)
         np.fill_diagonal(together, 0)
-        weight = spoke / (1 + spoke @ together)
-        odds, base = np.log(accuracy / (1 - accuracy)), np.log(prior / (1 - prior))
-        logit = base + (votes * weight * (odds - votes * base)).sum(1)
+        together[-1] = together[:, -1] = 0  # annotators read the text, not the voters
+        voice = spoke / (1 + spoke @ together)
+        silence = (1 - spoke) / (1 + together.sum(1))
+        logit = np.log(prior / (1 - prior)) + voice @ np.log(on / off) + silence @ np.log((1 - on) / (1 - off))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        moved = np.abs(new - posterior).max(initial=0)
-        posterior = new
+        moved = np.abs(new - q).max(initial=0)
+        q = new
         if moved < 1e-6:
             break
-    return posterior, accuracy, weight.sum(0) / np.maximum(spoke.sum(0), 1)
+    return Labels(q, on, off, together)
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5, steps: int = 600) -> tuple[np.ndarray, float]:
@@ -153,14 +173,14 @@ class Model:
     names: list[str]
     weights: np.ndarray
     bias: float
-    voters: list[tuple[str, float, float]]
+    voters: list[tuple[str, float, float]]  # name, how often it speaks in toxic and in clean rows
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn voters and classifier from labelled rows of the learning part.
 
-    ``docs``: doc_id, text; ``labels``: doc_id, toxic (0/1; other values and nulls are left out). At most
-    ``TOXIC_ROWS`` and ``CLEAN_ROWS`` rows are used. Without a toxic or a clean row the model scores every text 0.
+    ``docs``: doc_id, text; ``labels``: doc_id, toxic (0/1; other values and nulls are left out; repeated rows count
+    once, an id with both labels is a row of each). At most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` rows are used. Without a toxic or a clean row the model scores every text 0.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
@@ -195,14 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for i, r in enumerate(taken):
         x[i, r.found] = 1
     x, names = without_twins(x, names)
-    voters = choose_voters(x > 0, np.array([r.toxic == 1 for r in taken]))
     toxic = np.array([r.toxic == 1 for r in taken])
-    votes = x[:, voters].astype(np.int8)
-    votes = np.column_stack([votes, -(~votes.any(1)).astype(np.int8)])
-    agreed = ((votes == 1) & toxic[:, None]) | ((votes == -1) & ~toxic[:, None])
-    posterior, accuracy, weight = label_model(votes, (agreed.sum(0) + 1) / ((votes != 0).sum(0) + 1.25))
-    weights, bias = fit_linear(x, posterior)
-    return Model(names, weights, bias, list(zip([*(names[v] for v in voters), "none"], accuracy.tolist(), weight.tolist())))
+    voters = choose_voters(x > 0, toxic)
+    told = label_model(np.column_stack([x[:, voters] > 0, toxic]))
+    weights, bias = fit_linear(x, told.posterior)
+    return Model(names, weights, bias, list(zip([*(names[v] for v in voters), "annotators"], told.on.tolist(), told.off.tolist())))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
