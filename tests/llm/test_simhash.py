@@ -25,6 +25,20 @@ def test_fingerprint_follows_the_definition(text):
     assert simhash.fingerprint(text) == [plain_fingerprint(text)] == simhash.fingerprint(text, 4, 3)[:1]
 
 
+def test_near_pairs_are_those_of_brute_force(monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)  # so that the other quarters split too
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    fps[100:] = (fps[100:] & ~np.uint64(0xFFFF)) | (fps[:300] & np.uint64(3))  # few values in one quarter
+    for k in range(200, 400):
+        fps[k] = fps[k - 200] ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, rng.integers(0, 6), replace=False).astype(np.uint64), initial=np.uint64(0))
+    for quarter in range(4):
+        got = {(int(i), int(j)) for a, b in simhash.near_pairs(fps, fps[::2], quarter, 4, 1) for i, j in zip(a, b)}
+        x = np.bitwise_count(fps[:, None] ^ fps[None, ::2])
+        near = (x <= 4) & (np.bitwise_count((fps[:, None] ^ fps[None, ::2]) >> np.uint64(16 * quarter) & np.uint64(0xFFFF)) <= 1)
+        assert got >= {(int(i), int(j)) for i, j in zip(*np.nonzero(near))} and all(x[i, j] <= 4 for i, j in got)
+
+
 @pytest.mark.parametrize("radius", [4, 8])
 def test_links_find_every_class(spark, radius, monkeypatch):
     rng = np.random.default_rng(5)
@@ -107,6 +121,28 @@ def test_near_copies_are_confirmed_on_shingles(spark):
     assert far | set(range(60)) <= kept  # similarity 210 / 290 = 0.72, with the other variant less
 
 
+def jaccard(a, b, width=5):
+    x, y = ({tuple(t.split()[i : i + width]) for i in range(len(t.split()) - width + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_recall_and_precision_around_the_bound(spark):
+    draw = random.Random(18)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    rows, near = [], []
+    for k in range(300):
+        size = draw.randrange(60, 500)
+        base = [word() for _ in range(size)]
+        changes = max(1, round((size - 4) / 5 * draw.uniform(0.06, 0.16)))
+        other = varied(word, base, draw.sample(range(5, size - 5), changes))
+        rows += [(k, " ".join(base)), (1000 + k, other)]
+        near.append(jaccard(rows[-1][1], rows[-2][1]) >= 0.8)
+    gone = {k for k in range(300)} - {r.doc_id - 1000 for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id >= 1000}
+    assert 60 < sum(near) < 240
+    assert all(near[k] for k in gone)  # precision 1
+    assert len(gone) >= 0.95 * sum(near)
+
+
 def test_large_class_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MEMBERS", 20)
     rng = np.random.default_rng(3)

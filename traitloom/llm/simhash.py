@@ -3,8 +3,13 @@
 Two fingerprints within ``radius`` bits agree to within ``radius // 4`` bits in at least one of their four 16-bit
 quarters (pigeonhole). A vantage-point tree per quarter splits the fingerprints by Hamming distance to a vantage
 value at the median; a query goes down every branch that the triangle bound leaves open, so it reaches each shard
-whose region its ball overlaps. Inside a shard the same splitting goes on, down to small blocks that are compared
-whole on all 64 bits. Every pair is found; only links that join two classes leave a shard.
+whose region its ball overlaps (of two shards that a pair lies in, the later one). Inside a shard the same splitting goes
+on; where the quarter's values tell no more apart, one of the other three quarters agrees to within ``radius // 3``
+bits, so a tree of each of them splits further. Small blocks are compared whole on all 64 bits. Every pair is found;
+only links that join two classes leave a shard.
+
+A ball of one bit holds 17 of a quarter's 65,536 values: a fingerprint is dealt at most 4 x 9 times, whatever the table's
+size, and two quarters together keep 17 x 17 x 12 in 2^32 of all pairs for comparison.
 """
 
 from __future__ import annotations
@@ -24,11 +29,11 @@ from traitloom.llm.shingles import shingle_hashes
 
 BITS = 64
 #: Fingerprints that the top of a tree is fitted on (about this many, picked by hash); every row is indexed.
-TREE_SAMPLE = 16_384
-#: Members that a shard should hold, and the deepest top tree.
-SHARD_MEMBERS, MAX_DEPTH = 16_384, 12
+TREE_SAMPLE = 65_536
+#: Members that a shard should hold. A tree is no deeper than a quarter has bits: then a shard is a value.
+SHARD_MEMBERS, MAX_DEPTH = 65_536, 16
 #: Queries of one task; a shard with more is dealt to several tasks that each hold its members.
-TASK_QUERIES = 131_072
+TASK_QUERIES = 262_144
 #: Cells of a block that is compared whole.
 BLOCK = 1 << 17
 #: Bits in which the leading fingerprint of a candidate for the shingle comparison may differ (10 on average at 0.8).
@@ -108,19 +113,18 @@ def near_pairs(queries: np.ndarray, members: np.ndarray, quarter: int, radius: i
     """Yield (query index, member index) arrays of all pairs within ``radius`` bits that differ in ``ball`` bits at most
     in the quarter.
 
-    Splits on the quarter's distance first, then on the whole fingerprint's; a block that no split makes smaller is
-    compared in slices of bounded size.
+    Splits on the quarter's distance. A large block that this makes no smaller is split on each of the other quarters, if
+    the ball is a quarter of the radius; else, and at the end, it is compared in slices of bounded size.
     """
-    stack = [(np.arange(len(queries)), np.arange(len(members)), 0)]
-    q16, m16 = quarters(queries)[quarter], quarters(members)[quarter]
+    asks, holds = quarters(queries), quarters(members)
+    stack = [(np.arange(len(queries)), np.arange(len(members)), quarter, 0)]
     while stack:
-        q, m, tries = stack.pop()
+        q, m, by, tries = stack.pop()
         if not len(q) or not len(m):
             continue
-        if len(q) * len(m) > BLOCK and tries < 8:
-            whole = tries >= 4
-            x, y, reach = (queries[q], members[m], radius) if whole else (q16[q], m16[m], ball)
-            spot = y[(tries % 4) * (len(y) - 1) // 3]
+        if len(q) * len(m) > BLOCK and tries < 4:
+            x, y, reach = asks[by][q], holds[by][m], ball if by == quarter else radius // 3
+            spot = y[tries * (len(y) - 1) // 3]
             dm, dq = np.bitwise_count(y ^ spot).astype(np.int16), np.bitwise_count(x ^ spot).astype(np.int16)
             mid = int(np.median(dm))
             if mid == dm.max():
@@ -128,9 +132,12 @@ def near_pairs(queries: np.ndarray, members: np.ndarray, quarter: int, radius: i
             left, to_left, to_right = dm <= mid, dq - reach <= mid, dq + reach > mid
             parts = [(q[to_left], m[left]), (q[to_right], m[~left])]
             if sum(len(a) * len(b) for a, b in parts) < 0.9 * len(q) * len(m):
-                stack += [(a, b, 4 if whole else 0) for a, b in parts]
+                stack += [(a, b, by, 0) for a, b in parts]
             else:
-                stack.append((q, m, tries + 1))
+                stack.append((q, m, by, tries + 1))
+            continue
+        if by == quarter and ball >= radius // 4 and len(q) * len(m) > 16 * BLOCK:
+            stack += [(q, m, other, 0) for other in range(4) if other != quarter]
             continue
         step = max(1, (BLOCK * 4) // len(m))
         for at in range(0, len(q), step):
@@ -140,13 +147,17 @@ def near_pairs(queries: np.ndarray, members: np.ndarray, quarter: int, radius: i
                 yield some[i], m[j]
 
 
+ASKS, MEMBER = 1, 2
+
+
 def links(fps: DataFrame, radius: int = 4, more: tuple[str, ...] = (), most: int = 0, ball: int | None = None) -> DataFrame:
     """Links (a, b) between node ids that join all pairs within ``radius`` bits into their classes.
 
     A smaller ``ball`` than a quarter of the radius finds those pairs that differ in so many bits at most in one quarter.
 
-    ``fps``: fingerprints ``fp`` with a node id ``node`` each. With ``more`` (columns of further fingerprints) a pair must
-    also differ in ``most`` bits at most over all of them and ``fp`` together. Each shard gives at most one link a row.
+    ``fps``: fingerprints ``fp`` with a node id ``node`` each, neither null; repeated rows are harmless, other columns are
+    ignored, an empty table gives no links. With ``more`` (columns of further fingerprints) a pair must also differ in
+    ``most`` bits at most over all of them and ``fp`` together. Each shard gives at most one link a row.
     """
     ball = radius // 4 if ball is None else ball
     total = fps.count()
@@ -164,29 +175,34 @@ def links(fps: DataFrame, radius: int = 4, more: tuple[str, ...] = (), most: int
         for pdf in batches:
             fp, node = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy()
             for q, values in enumerate(quarters(fp)):
+                home = np.empty(len(values), np.int64)
+                at, leaf = descend(values, trees[q], depth, 0)
+                home[at] = leaf
                 row, leaf = descend(values, trees[q], depth, ball)
-                home, at = descend(values, trees[q], depth, 0)
-                again = salts[q][at]
-                home, at = np.repeat(home, again), np.repeat(at, again)
-                turn = np.arange(len(at)) - np.repeat(np.cumsum(again) - again, again)
-                salt = np.concatenate([(fp[row] % salts[q][leaf].astype(np.uint64)).astype(np.int64), turn])
-                every_row = np.concatenate([row, home])
+                row, leaf = row[leaf >= home[row]], leaf[leaf >= home[row]]
+                member = leaf == home[row]
+                turns = salts[q][leaf]
+                own = (fp[row] % turns.astype(np.uint64)).astype(np.int64)
+                times = np.where(member, turns, 1)  # a member is in every task of its shard, and asks in one
+                back = np.repeat(np.arange(len(row)), times)
+                turn = np.where(member[back], np.arange(len(back)) - np.repeat(np.cumsum(times) - times, times), own[back])
+                rows = row[back]
                 yield pd.DataFrame(
                     {
-                        "shard": (np.concatenate([leaf, at]) * 4 + q).astype(np.int32),
-                        "salt": salt.astype(np.int32),
-                        "member": np.arange(len(every_row)) >= len(row),
-                        "fp": fp[every_row].view(np.int64),
-                        "node": node[every_row],
-                        **{c: pdf[c].to_numpy()[every_row] for c in more},
+                        "shard": (leaf[back] * 4 + q).astype(np.int32),
+                        "salt": turn.astype(np.int32),
+                        "role": (ASKS * (turn == own[back]) + MEMBER * member[back]).astype(np.int8),
+                        "fp": fp[rows].view(np.int64),
+                        "node": node[rows],
+                        **{c: pdf[c].to_numpy()[rows] for c in more},
                     }
                 )
 
     def search(key, pdf):
-        fp, node, member = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy(), pdf["member"].to_numpy(bool)
+        fp, node, role = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy(), pdf["role"].to_numpy()
         others = [pdf[c].to_numpy().view(np.uint64) for c in more]
         nodes, place = np.unique(node, return_inverse=True)
-        q, m = np.flatnonzero(~member), np.flatnonzero(member)
+        q, m = np.flatnonzero(role & ASKS), np.flatnonzero(role & MEMBER)
         labels, held, size = np.arange(len(nodes)), [], 0
         for i, j in near_pairs(fp[q], fp[m], int(key[0]) % 4, radius, ball):
             if more:
@@ -203,7 +219,7 @@ def links(fps: DataFrame, radius: int = 4, more: tuple[str, ...] = (), most: int
         moved = np.flatnonzero(labels != np.arange(len(labels)))
         return pd.DataFrame({"a": nodes[moved], "b": nodes[labels[moved]]})
 
-    schema = "shard int, salt int, member boolean, fp long, node long" + "".join(f", {c} long" for c in more)
+    schema = "shard int, salt int, role byte, fp long, node long" + "".join(f", {c} long" for c in more)
     dealt = fps.select("fp", "node", *more).mapInPandas(deal, schema)
     return dealt.groupBy("shard", "salt").applyInPandas(search, "a long, b long")
 
