@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traitloom.llm.common import bounded_batches
@@ -20,11 +20,12 @@ from traitloom.llm.common import bounded_batches
 FOLDS, HELD_OUT, UNKNOWN = 5, 0, "und"
 #: Hashed n-grams of one to three characters.
 BUCKETS, LONGEST = 1 << 15, 3
-#: Sampled documents of a language (about this many, picked by the hash of id and text), and languages, at most.
-ROWS_A_LANGUAGE, LANGUAGES = 700, 300
+#: Sampled documents of a language (about this many, picked by the hash of id and text), at most, and bytes of all the
+#: sampled documents' n-grams, which the languages share evenly; each keeps one document at least.
+ROWS_A_LANGUAGE, SAMPLE_BYTES = 700, 48 << 20
 #: Follow-the-regularised-leader: learning rate, its offset, penalties, passes; and the share kept for the temperature.
 RATE, OFFSET, L1, L2, PASSES, KEPT = 1.0, 1.0, 1e-3, 1e-4, 4, 5
-LETTER = re.compile(r"[^\W\d_]")
+PLAIN_LETTER = re.compile("[A-Za-z]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -32,6 +33,11 @@ def held_out(doc_id: Column, folds: int = FOLDS, part: int = HELD_OUT) -> Column
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == part, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode category L occurs."""
+    return bool(PLAIN_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and counts of a text's n-grams; runs of anything but letters are one blank."""
     codes = np.frombuffer(NOT_LETTERS.sub(" ", f" {text.lower()} ").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -62,7 +68,7 @@ class Model:
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         found, count = grams(text)
         logit = (weigh(found, count, self.idf) @ self.weights[found] + self.bias) / self.temperature
@@ -136,13 +142,15 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame) -> Model:
     """Learn from text and lang of the rows of the learning part whose lang is not null.
 
-    Of each language about ``ROWS_A_LANGUAGE`` rows are fitted on (all if it has fewer), of the ``LANGUAGES`` most
-    frequent languages; document frequencies cover every learning row. Without a learning row every text is
-    ``UNKNOWN``.
+    Every language is learned, the empty string and ``UNKNOWN`` included if rows are marked so. Of each about
+    ``ROWS_A_LANGUAGE`` rows are fitted on (all if it has fewer), fewer if their n-grams take more than its share of
+    ``SAMPLE_BYTES``; document frequencies cover every learning row. Null texts count as empty, a null doc_id is in the
+    learning part, repeated rows count each. Without a learning row every text is ``UNKNOWN``. The weights take 128 kB a
+    language, in the fit on the driver eight times as much.
     """
     spark = docs.sparkSession
     learn = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counts = {r.lang: r["rows"] for r in learn.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()}
+    counts = {r.lang: r["rows"] for r in learn.groupBy("lang").agg(F.count("*").alias("rows")).collect()}
     if not counts:
         return Model([], np.zeros(0), np.zeros(0), np.zeros(0), 1.0)
     languages = sorted(counts)
@@ -159,13 +167,17 @@ def fit(docs: DataFrame) -> Model:
 
         return texts.map(pack)
 
-    picked = learn.join(F.broadcast(shares), "lang").where(draw < F.col("share"))
+    picked = learn.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", draw.alias("draw"), packed("text").alias("packed"))
+    first = Window.partitionBy("lang").orderBy("draw", "packed")
+    used = F.sum(F.octet_length("packed")).over(first.rowsBetween(Window.unboundedPreceding, 0))
+    fitting = picked.select("*", used.alias("used"), F.row_number().over(first).alias("nth")).where((F.col("used") <= SAMPLE_BYTES // len(languages)) | (F.col("nth") == 1))
     rows, labels = [], []
-    for r in picked.select("lang", draw.alias("draw"), packed("text").alias("packed")).orderBy("draw", "lang", "packed").collect():
+    number = {x: n for n, x in enumerate(languages)}
+    for r in fitting.orderBy("draw", "lang", "packed").select("lang", "packed").collect():
         size = len(r.packed) // 6
         found = np.frombuffer(r.packed, np.uint16, size).astype(np.int64)
         rows.append((found, weigh(found, np.frombuffer(r.packed, np.uint32, size, 2 * size), idf)))
-        labels.append(languages.index(r.lang))
+        labels.append(number[r.lang])
     labels = np.array(labels, np.int64)
     check = np.arange(len(rows)) % KEPT == 0
     if check.all():
