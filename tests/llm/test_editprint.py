@@ -60,6 +60,8 @@ def test_next_edits_against_plain_python(spark, monkeypatch, bucket):
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         own, changed, following = ep.fingerprints([t, edited, after])
         want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), *ep.as_hex(np.stack([own, changed])), ep.likeness(own[None], changed[None])[0], ep.likeness(own[None], following[None])[0]))
+        bands = ep.band_slots(1, 0.5)
+        want[-1] += tuple(any((own[at] == x[at]).all() for at in bands) for x in (changed, following))
     assert sorted((tuple(r) for r in ep.next_edits(docs).collect()), key=str) == sorted(want, key=str)
     assert ep.next_edits(docs.limit(0)).count() == 0
     assert [r.n_chars for r in ep.next_edits(docs.where("doc_id = 500")).collect()] == [50_000]
@@ -75,3 +77,40 @@ def test_search_finds_what_brute_force_finds(spark):
     prints = ep.fingerprints(texts)
     want = {(q, d) for q in range(0, len(texts), 10) for d in np.flatnonzero(ep.likeness(np.repeat(prints[q : q + 1], len(prints), 0), prints) >= 0.5)}
     assert found <= want and len(found & want) >= 0.9 * len(want) and len(want) > len(texts) // 10
+
+
+def test_bands_widen_with_the_table():
+    narrow, wide = ep.band_slots(1000, 0.8), ep.band_slots(10**9, 0.8)
+    assert len(narrow[0]) == 4 and len(wide[0]) == 7 and len(narrow) < len(wide)
+    draw = np.random.default_rng(2)
+    a = draw.integers(0, 16, (4000, ep.SLOTS), dtype=np.uint8)
+    b = np.where(draw.random(a.shape) < 0.8, a, draw.integers(0, 16, a.shape, dtype=np.uint8))
+    for slots in (narrow, wide):
+        assert ep.in_one_band(a, b, slots).mean() > 0.96
+
+
+def test_cuts_are_counted(spark, monkeypatch):
+    draw = random.Random(8)
+    for size in (0, 1, 2, 5, 40):
+        cuts = sorted({draw.randrange(-50, 50) for _ in range(size)}, reverse=True)
+        got = spark.range(-60, 60).withColumnRenamed("id", "doc_id").select("doc_id", ep._cuts_from(cuts).alias("n")).collect()
+        assert all(r.n == sum(c >= r.doc_id for c in cuts) for r in got)
+
+
+def test_alike_rows_are_counted(spark):
+    draw = random.Random(15)
+    texts = ["".join(draw.choice("abcdefghij ") for _ in range(400)) for _ in range(60)]
+    rows = [(d, t) for d, t in enumerate(texts)] + [(100 * (1 + d), t[:200] + "#" + t[200:]) for d, t in enumerate(texts[:20])]
+    rows += [(9000 + d, texts[0]) for d in range(1, 40)] + [(10_000, None), (10_001, ""), (None, texts[1])]
+    got = ep.edits_and_alike(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    prints = ep.fingerprints([t for d, t in rows if d is not None])
+    ids = [d for d, _ in rows if d is not None]
+    found = wanted = 0
+    for r in got:
+        assert (r.n_alike is None) == (r.doc_id is None or r.doc_id % 100 != 0)
+        if r.n_alike is not None:
+            want = int((ep.likeness(np.repeat(prints[[ids.index(r.doc_id)]], len(prints), 0), prints) >= ep.LIKENESS).sum()) - 1
+            assert r.n_alike <= want
+            found, wanted = found + r.n_alike, wanted + want
+    assert wanted > 50 and found >= 0.9 * wanted

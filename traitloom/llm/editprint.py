@@ -10,6 +10,8 @@ the same steps, however long they are. Four bits of the emitted character are ke
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from itertools import accumulate
 
 import numpy as np
@@ -18,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import bounded_batches
+from traitloom.llm.common import bounded_batches, materialise
 
 SLOTS, SLOT_BITS = 128, 4
-#: Slots of a band, and bands that candidates come from.
-BAND_SLOTS, BANDS = 4, 32
+#: Slots of a band at least; unlike texts that share a band, on average, at most; recall of the bands at the bound.
+BAND_SLOTS, STRANGERS, RECALL = 4, 16, 0.98
+#: Likeness of near texts, and of which documents (one in so many ids) the near ones are counted.
+LIKENESS, ASKED_EVERY = 0.8, 100
 #: Shared coins: classes of characters, and steps after which the coins repeat.
 CLASSES, PERIOD = 256, 1 << 12
 #: Longest walk that the slots' orders are laid out for.
@@ -132,7 +136,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def add_fingerprint(docs: DataFrame, text: str = "text", to: str = "fingerprint") -> DataFrame:
-    """Documents with the fingerprint of a text column, as hexadecimal digits. Equal texts have equal ones."""
+    """Documents with the fingerprint of a text column, as hexadecimal digits. Equal texts have equal ones; null texts that
+    of an empty text, zeros. Repeated rows stay, a column of the new one's name is replaced, an empty table stays empty."""
 
     @F.pandas_udf("string")
     def walked(texts: pd.Series) -> pd.Series:
@@ -142,7 +147,7 @@ def add_fingerprint(docs: DataFrame, text: str = "text", to: str = "fingerprint"
 
 
 def likeness_of(a: Column, b: Column) -> Column:
-    """The likeness of two fingerprint columns."""
+    """The likeness of two fingerprint columns, neither null."""
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -152,38 +157,83 @@ def likeness_of(a: Column, b: Column) -> Column:
     return alike(a, b)
 
 
-def bands(fingerprint: Column) -> Column:
-    """Band keys: each samples ``BAND_SLOTS`` slots."""
-    taken = np.random.default_rng(79).permutation(SLOTS)[: BANDS * BAND_SLOTS].reshape(BANDS, BAND_SLOTS)
-    key = lambda n, slots: F.xxhash64(F.lit(n), *(F.substring(fingerprint, int(s) + 1, 1) for s in slots))
-    return F.array(*(key(n, slots) for n, slots in enumerate(taken)))
+def band_slots(rows: int, least: float) -> list[np.ndarray]:
+    """The slots of each band for a table of so many different texts.
 
+    A band is so wide that a text shares it with ``STRANGERS`` unlike ones at most, so it widens with the logarithm of
+    the table; there are so many that texts alike to ``least`` share one with the chance ``RECALL``.
+    """
+    width = int(np.clip(np.ceil(np.log2(max(rows, 1) / STRANGERS) / SLOT_BITS), BAND_SLOTS, 16))
+    shared = (least + (1 - least) * CHANCE) ** width
+    count = math.ceil(math.log(1 - RECALL) / math.log1p(-min(shared, RECALL)))
+    draw = np.random.default_rng(79)
+    return [np.sort(draw.permutation(SLOTS)[:width]) for _ in range(count)]
+
+
+def bands(fingerprint: Column, slots: list[np.ndarray]) -> Column:
+    """Band keys of a fingerprint column."""
+    key = lambda n, at: F.xxhash64(F.lit(n), *(F.substring(fingerprint, int(s) + 1, 1) for s in at))
+    return F.array(*(key(n, at) for n, at in enumerate(slots)))
+
+
+def in_one_band(a: np.ndarray, b: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
+    """Whether rows of two sets of fingerprints are candidates."""
+    same = a == b
+    return np.logical_or.reduce([same[:, at].all(1) for at in slots])
+
+
+def _prints(docs: DataFrame) -> DataFrame:
+    """doc_id and fingerprint, packed, of the rows with an id."""
+    return add_fingerprint(docs.where("doc_id IS NOT NULL").select("doc_id", "text")).select("doc_id", F.unhex("fingerprint").alias("print"))
+
+
+def _close(asked: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Rows of ``held`` (print, not repeated, and other columns) with each ``asked`` print they are alike to, and likeness.
 
-def search(queries: DataFrame, docs: DataFrame, least: float = 0.5) -> DataFrame:
+    Band keys travel with a hash of the print, the prints themselves only with candidates.
+    """
+    slots = band_slots(held.count(), least)
+    told = lambda d: d.select(F.xxhash64("print").alias("id"), F.explode(bands(F.lower(F.hex("print")), slots)).alias("band"))
+    pairs = materialise(told(asked).withColumnRenamed("id", "asked_id").join(told(held), "band").select("asked_id", "id").distinct(), "candidates")
+    sides = pairs.join(asked.select(F.xxhash64("print").alias("asked_id"), F.col("print").alias("asked_print")), "asked_id")
+    sides = sides.join(held.withColumn("id", F.xxhash64("print")), "id").drop("asked_id", "id")
+    text = lambda c: F.lower(F.hex(c))
+    return sides.withColumn("likeness", likeness_of(text("asked_print"), text("print"))).where(F.col("likeness") >= least)
+
+
+def search(queries: DataFrame, docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     """For each query row the documents alike to ``least`` or more: query_id, doc_id, likeness.
 
-    Documents with equal texts are one candidate until the end, so a hot text meets a query once. Candidates share a
-    band and are verified on whole fingerprints. Null ids are left out; queries find themselves.
+    Documents with equal fingerprints are one candidate until the end, so a hot text meets a query once. Null ids are left
+    out, null texts are empty, repeated rows count each, queries find themselves; other columns are ignored and an empty
+    table finds nothing.
     """
-    prints = lambda d: add_fingerprint(d.where("doc_id IS NOT NULL").select("doc_id", "text")).select("doc_id", "fingerprint")
-    asked, all_ = prints(queries), prints(docs)
-    keyed = lambda d: d.select("fingerprint").distinct().select("fingerprint", F.explode(bands(F.col("fingerprint"))).alias("band"))
-    pairs = keyed(asked).withColumnRenamed("fingerprint", "asked").join(keyed(all_), "band").select("asked", "fingerprint").distinct()
-    close = pairs.withColumn("likeness", likeness_of(F.col("asked"), F.col("fingerprint"))).where(F.col("likeness") >= least)
-    out = close.join(asked.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("asked")), "asked")
-    return out.join(all_, "fingerprint").select("query_id", "doc_id", "likeness")
+    asked, all_ = (materialise(_prints(d), "prints") for d in (queries, docs))
+    close = _close(asked.select("print").distinct(), all_.select("print").distinct(), least)
+    out = close.join(asked.select(F.col("doc_id").alias("query_id"), F.col("print").alias("asked_print")), "asked_print")
+    return out.join(all_, "print").select("query_id", "doc_id", "likeness")
+
+
+def count_alike(docs: DataFrame, least: float = LIKENESS, every: int = ASKED_EVERY) -> DataFrame:
+    """fingerprint and n_alike, the rows besides itself that are alike to ``least`` or more, for each fingerprint of a row
+    whose id ``every`` divides. Texts with equal fingerprints are counted, not paired. Rows as in ``search``."""
+    groups = _prints(docs).groupBy("print").agg(F.count("*").alias("n"), F.max(F.col("doc_id") % every == 0).alias("asked"))
+    groups = materialise(groups, "print-groups")
+    close = _close(groups.where("asked").select("print"), groups.select("print", "n"), least)
+    return close.groupBy("asked_print").agg((F.sum("n") - 1).alias("n_alike")).select(F.lower(F.hex("asked_print")).alias("fingerprint"), "n_alike")
 
 
 # ---------------------------------------------------------------- neighbours in id order
 
-#: Code points of a bucket of consecutive ids, on average.
-BUCKET_CHARS = 8_000_000
+#: Code points of a bucket of consecutive ids, on average, as long as that gives no more than so many buckets; a bucket is
+#: sorted by Spark, which spills, and read in batches, so its size bounds no memory. Ids sampled a bucket.
+BUCKET_CHARS, BUCKETS, SAMPLED = 8_000_000, 200_000, 64
 EDITS = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
+    "near_edited double, near_next double, edited_in_band boolean, next_in_band boolean"
 )
 ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("n_chars", pa.int64()), *((n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+    [("doc_id", pa.int64()), ("n_chars", pa.int64()), *((n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edited_in_band", pa.bool_()), ("next_in_band", pa.bool_())]
 )
 
 
@@ -192,18 +242,32 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _cuts_from(cuts: list[int]) -> Column:
+    """How many of the cuts, in descending order, an id does not exceed. Looked up in two steps of the root of their
+    number, from one folded constant."""
+    if not cuts:
+        return F.lit(0)
+    size = math.isqrt(len(cuts) - 1) + 1
+    parts = F.from_json(F.lit(json.dumps([cuts[n : n + size] for n in range(0, len(cuts), size)])), "array<array<bigint>>")
+    below = lambda numbers: F.size(F.filter(numbers, lambda c: c >= F.col("doc_id")))
+    part = below(F.from_json(F.lit(json.dumps(cuts[::size])), "array<bigint>"))
+    return F.when(part == 0, F.lit(0)).otherwise((part - 1) * size + below(F.element_at(parts, F.greatest(part, F.lit(1)))))
+
+
 def _in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     """doc_id, text, bucket and guest, and the number of buckets: ids in descending order (nulls last) cut into buckets, each row in its own
     bucket, and the first row of a bucket also, as guest, at the end of the bucket before it (the very first at the end
-    of the last). Only the buckets' borders, a few numbers each, reach the driver."""
+    of the last). Only a bounded sample of ids and the buckets' borders, a few numbers each, reach the driver."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
-    count = int(min(10_000, max(1, (size[1] or 0) // BUCKET_CHARS)))
-    cuts = sorted({int(c) for c in docs.stat.approxQuantile("doc_id", [k / count for k in range(1, count)], 0.2 / count)}, reverse=True) if count > 1 else []
+    size = docs.agg(F.count("doc_id"), F.sum(F.length("text"))).first()
+    count = int(min(BUCKETS, max(1, (size[1] or 0) // BUCKET_CHARS)))
+    every = max(1, size[0] // (SAMPLED * count))
+    drawn = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).select("doc_id").distinct() if count > 1 else None
+    ids = sorted((r.doc_id for r in drawn.collect()), reverse=True) if count > 1 else []
+    cuts = sorted({ids[k * len(ids) // count] for k in range(1, count)}, reverse=True) if ids else []
     # bucket n holds ids up to cut n - 1 and above cut n; nulls are last
-    bounds = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(bounds, lambda c: c >= F.col("doc_id"))))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(_cuts_from(cuts))
     placed = docs.withColumn("bucket", bucket.cast("int"))
     tops = sorted((r.bucket, r.top) for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
     if not tops:
@@ -221,9 +285,11 @@ def next_edits(docs: DataFrame) -> DataFrame:
     The next document is the one with the next smaller doc_id (rows with equal ids in order of their texts, null ids
     last; after the last comes the first). The edited text has its last floor(n/2) code points replaced by the first
     as many, or all, of the next text. Null texts are empty; a lone row is its own next. Other columns are ignored;
-    an empty table gives no rows. Likeness is that of the fingerprints, 0 to 1.
+    an empty table gives no rows. Likeness is that of the fingerprints, 0 to 1; ``edited_in_band`` and ``next_in_band``
+    say whether the banding for texts alike to a half would have found them.
     """
     placed, buckets = _in_order(bounded_batches(docs))
+    slots = band_slots(1, 0.5)
     ordered = placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
 
     def measure(rows: list[tuple], following: list[str]):
@@ -240,6 +306,8 @@ def next_edits(docs: DataFrame) -> DataFrame:
                 "edited_fingerprint": as_hex(changed),
                 "near_edited": likeness(own[:-1], changed),
                 "near_next": likeness(own[:-1], own[1:]),
+                "edited_in_band": in_one_band(own[:-1], changed, slots),
+                "next_in_band": in_one_band(own[:-1], own[1:], slots),
             }
         )
 
@@ -267,3 +335,12 @@ def next_edits(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pandas(measure(rows[:-1], [r[1] for r in rows[1:]]), schema=ARROW, preserve_index=False)
 
     return ordered.select("doc_id", "text", "bucket", "guest").mapInArrow(run, EDITS)
+
+
+def edits_and_alike(docs: DataFrame, least: float = LIKENESS, every: int = ASKED_EVERY) -> DataFrame:
+    """``next_edits`` with ``n_alike`` of ``count_alike`` for the rows whose id ``every`` divides, null for the others."""
+    counts = materialise(count_alike(docs, least, every), "alike")
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    # rows that do not ask get keys of their own, so that they do not meet in one task
+    key = F.when(asked, F.col("fingerprint")).otherwise(F.coalesce(F.xxhash64("doc_id", "edited_sha256").cast("string"), F.lit("")))
+    return next_edits(docs).withColumn("_key", key).join(counts.withColumnRenamed("fingerprint", "_key"), "_key", "left").drop("_key")

@@ -10,7 +10,7 @@ from traitloom.llm.common import table
 
 
 def op1_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return editprint.next_edits(table(spark, sf_dir, "documents"))
+    return editprint.edits_and_alike(table(spark, sf_dir, "documents"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
