@@ -28,3 +28,24 @@ def test_nothing_else_uses_the_corpus_operators():
     for f in (ROOT / "traitloom").rglob("*.py"):
         if "llm" not in f.relative_to(ROOT).parts:
             assert "traitloom.llm" not in f.read_text(), f
+
+
+def test_a_broken_operator_is_no_absent_one(tmp_path):
+    shutil.copytree(ROOT / "traitloom", tmp_path / "traitloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "traitloom" / "llm").mkdir()
+    assert not [n for n in names(tmp_path)[0] if n.startswith("op")]  # an empty folder is no package
+    (tmp_path / "traitloom" / "llm" / "__init__.py").touch()
+    (tmp_path / "traitloom" / "llm" / "queries.py").write_text("import a_library_that_is_missing")
+    code = "import __spark_entry__"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert "a_library_that_is_missing" in out.stderr
+
+
+def test_written_tables_can_be_forgotten(spark):
+    from traitloom.session import forget, materialise
+
+    held = materialise(spark.range(5), "held")
+    assert held.count() == 5 and Path(held._traitloom_path).exists()
+    forget(held)
+    assert not Path(held._traitloom_path).exists()

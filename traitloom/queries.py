@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from traitloom.operators import bands, explain, forest, gradient, kernel, linear
 from traitloom.plans import fixtures as fx
 from traitloom.plans import study as st
 from traitloom.plans.sql import with_parts
-from traitloom.session import shared_dir
+from traitloom.session import delete_at_end, new_path, shared_dir
 from traitloom.sources import wide_predictions, write_table
 
 STUDY = scenarios.Study(("P0", "P1", "P2", "P3", "P4"), ("DTA", "PLH"), (0.8, 0.5), 2)
@@ -538,8 +537,9 @@ def attention_aggregate(spark, sf):
 def _written(df, form="parquet", by=None):
     """The table as a later job finds it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    path = new_path(spark, "sink")
     write_table(df, path, form, by)
+    delete_at_end(spark, path)
     reader = spark.read.schema(df.schema)
     return reader.parquet(path) if form == "parquet" else reader.option("header", True).option("sep", "," if form == "csv" else "\t").csv(path)
 
