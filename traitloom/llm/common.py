@@ -2,48 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can reach.
-
-    ``spark.checkpoint.dir`` names it on a cluster; only where that is unset (local tests)
-    is a temporary folder made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="traitloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts lineage and keeps a Python stage from running once per use; the files outlive any executor.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from pyspark.sql import DataFrame
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from traitloom.session import forget, materialise, shared_dir, table
 
+__all__ = ["bounded_batches", "forget", "materialise", "merge_labels", "shared_dir", "table"]
 
 #: Bytes of texts that reach a Python worker at once.
-BATCH_BYTES = "16m"
+BATCH_BYTES, BATCHES = "16m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
     """The same table, in a session whose Arrow batches hold ``BATCH_BYTES`` at most, so that a worker's memory does not
-    depend on how long the texts are."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    depend on how long the texts are. A session that sets the bound itself keeps its own."""
+    if BATCHES not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(BATCHES, BATCH_BYTES)
     return df
 
 

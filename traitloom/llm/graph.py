@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import materialise
+from traitloom.llm.common import forget, materialise
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges``: long columns a, b, in any direction, repeats and self-links allowed. Rows with a null end are
     ignored. Returns (node, root) for all nodes but the roots themselves; an empty edge table gives no rows.
-    Each round is written to the shared folder, so its lineage is one read.
+    Each round is written to the shared folder, so its lineage is one read, and the round before is deleted.
     """
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
@@ -40,4 +40,5 @@ def components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or tuple(mark) == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = tuple(mark)
-        edges = materialise(_round(edges), "edges")
+        before, edges = edges, materialise(_round(edges), "edges")
+        forget(before)

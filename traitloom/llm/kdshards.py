@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import materialise
+from traitloom.llm.common import forget, materialise
 
 SHARDS = 24
 #: Metadata columns that are dimensions, where a table has them.
@@ -190,6 +190,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     buckets = max(1, -(-rows.count() // (SLOT_ROWS * shards)))
     placed = places_.withColumn("shard", shard_of(tree, places()).cast("int")).withColumn("bucket", F.pmod("row_hash", F.lit(buckets)).cast("int"))
     placed = materialise(placed.select("doc_id", "size", "text_crc32", "text_hash", "shard", "bucket"), "placed")
+    forget(rows)
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
