@@ -55,31 +55,20 @@ def test_bpe_parity_and_decoding():
     assert decoded == other.decode(ids) == tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-@pytest.mark.parametrize("data", [None, unigram_model(False), unigram_model(True)])
-def test_library_by_words_is_the_library(data, monkeypatch):
-    if data is None and not MODEL.exists():
-        pytest.skip("no model file here")
-    data = data or MODEL.read_bytes()
-    by_words = sp.Library(data, sp.Model(data))
-    monkeypatch.setattr(sp, "MEMORY", 50)
-    cases = ["", " ", "  a  b ", "▁ ▁▁a", *texts(3000), " ".join(texts(500, 9))]
-    assert [by_words.encode(t) for t in cases] == [by_words.encode(t, True) for t in cases]
-
-
 @pytest.mark.skipif(not MODEL.exists(), reason="no model file here")
 def test_a_wrong_id_is_told(monkeypatch):
     data = MODEL.read_bytes()
     model = sp.Model(data)
-    ready = (sp.build(model), sp.Library(data, model), sp.byte_table(model), True)
+    ready = (sp.build(model), library.SentencePieceProcessor(model_proto=data), sp.byte_table(model), True)
     monkeypatch.setattr(sp, "encode_texts", lambda tokenizer, texts, f=sp.encode_texts: (x[::-1] for x in f(tokenizer, texts)))
-    assert sp._pieces(["two words", "", "a"], [False] * 3, ready).field("parity").to_pylist() == [False, True, True]
+    assert sp._pieces(["two words", "", "a"], ready).field("parity").to_pylist() == [False, True, True]
 
 
 @pytest.mark.skipif(not MODEL.exists(), reason="no model file here")
 def test_documents(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "Plain words", None), (3, "Plain words", None), (None, "word " * 40_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, parity string")
-    out = sp.tokenise(docs, whole_every=1)
+    out = sp.tokenise(docs)
     got = out.collect()
     assert out.columns == ["doc_id", "text", "parity", "_pieces"]
     assert all(r._pieces.parity for r in got) and [r._pieces.decoded for r in got] == [r.text or "" for r in got]

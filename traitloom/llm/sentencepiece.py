@@ -8,9 +8,7 @@ from the pieces' order, which is the order in which SentencePiece itself would m
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -23,10 +21,6 @@ from traitloom.llm.common import bounded_batches
 
 MODEL = os.environ.get("TRAITLOOM_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-#: Of this many texts (by hash) one is also encoded as a whole by the sentencepiece library; 1: every text.
-WHOLE_EVERY = 32
-#: Distinct words whose ids by the library a worker remembers, at most; beyond that it starts anew.
-MEMORY = 500_000
 #: Characters that one call encodes, and its threads.
 CHUNK, THREADS = 1 << 18, 2
 
@@ -98,36 +92,6 @@ def words_stand_alone(model: Model) -> bool:
     return not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED))
 
 
-class Library:
-    """Ids of texts by the sentencepiece library, for the comparison.
-
-    Where words stand alone and the model neither maps characters nor squeezes blanks, the library's ids of a text are
-    those of its words one after the other. So it is asked once for each distinct word, and its answers are put together;
-    else it is asked for each text.
-    """
-
-    WORD = re.compile(rf"{MARK}*[^{MARK}]+(?:{MARK}+\Z)?|{MARK}+")
-
-    def __init__(self, data: bytes, model: Model):
-        import sentencepiece
-
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=data)
-        defined = any(kind == USER_DEFINED for *_, kind in model.pieces)
-        self.by_word = words_stand_alone(model) and model.add_prefix and model.escape and not (model.squeeze or model.charsmap or defined)
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, text: str, whole: bool = False) -> list[int]:
-        if whole or not self.by_word or not text:
-            return self.processor.encode(text)
-        words = self.WORD.findall(MARK + text.replace(" ", MARK))
-        new = [w for w in {*words} if w not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = list({*words})
-        self.known.update(zip(new, self.processor.encode([w[1:] for w in new])))  # the library puts the marker back
-        return list(chain.from_iterable(map(self.known.__getitem__, words)))
-
-
 def build(model: Model):
     """The ``tokenizers`` pipeline of a model."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -192,43 +156,43 @@ PIECES = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())),
 @lru_cache(maxsize=1)
 def _ready(data: bytes, threads: int):
     """Tokenizer, library, byte table and prefix flag of a model, kept while a worker lives."""
+    import sentencepiece
+
     os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
     model = Model(data)
-    return build(model), Library(data, model), byte_table(model), model.add_prefix
+    return build(model), sentencepiece.SentencePieceProcessor(model_proto=data), byte_table(model), model.add_prefix
 
 
-def _pieces(texts: list[str], whole: list[bool], ready) -> pa.StructArray:
+def _pieces(texts: list[str], ready) -> pa.StructArray:
     tokenizer, library, table, add_prefix = ready
     ids = list(encode_texts(tokenizer, texts))
     lists = [x.tolist() for x in ids]
-    same = [x == library.encode(t) and (not w or x == library.encode(t, True)) for x, t, w in zip(lists, texts, whole)]
+    same = [x == y for x, y in zip(lists, library.encode(texts, num_threads=1))]
     decoded = [decode_ids(table, x, add_prefix) for x in lists]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
     return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], ["token_ids", "decoded", "parity"])
 
 
-def tokenise(docs: DataFrame, model_path: str = MODEL, whole_every: int = WHOLE_EVERY, threads: int = THREADS) -> DataFrame:
+def tokenise(docs: DataFrame, model_path: str = MODEL, threads: int = THREADS) -> DataFrame:
     """Documents with a struct column ``_pieces``: token_ids, decoded and parity.
 
     ``decoded`` is the text that the ids give back. ``parity`` says of every text whether the sentencepiece library gives
-    the same ids, word by word where that is exact (see ``Library``), and of one in ``whole_every`` texts, picked by hash,
-    also whether it gives them for the text as a whole.
+    the same ids.
     Null texts count as empty and have no ids. All columns are passed on whatever their names (``_pieces`` is
     replaced); repeated rows are encoded each; an empty table gives no rows. The model file is read on the driver and
     sent to the executors (its size is that of the vocabulary).
     """
     held = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
     docs = bounded_batches(docs).drop("_pieces")
-    whole = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(whole_every)) == 0
 
     def run(batches):
         ready = _ready(held.value, threads)
         for held_ in batches:
             for at in range(0, held_.num_rows, ROWS):
-                row, asked, text = held_.slice(at, ROWS).columns
-                yield pa.RecordBatch.from_arrays([row, _pieces([t or "" for t in text.to_pylist()], asked.to_pylist(), ready)], ["_row", "_pieces"])
+                row, text = held_.slice(at, ROWS).columns
+                yield pa.RecordBatch.from_arrays([row, _pieces([t or "" for t in text.to_pylist()], ready)], ["_row", "_pieces"])
 
-    inner = docs.select(F.struct("*").alias("_row"), whole.alias("_whole"), F.col("text").alias("_text"))
+    inner = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
     schema = T.StructType([inner.schema["_row"], T.StructField("_pieces", PIECES)])
     return inner.mapInArrow(run, schema).select("_row.*", "_pieces")
