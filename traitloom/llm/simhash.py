@@ -348,8 +348,9 @@ def near_copies(docs: DataFrame, width: int = 5, variants: int = 4, least: float
     ends = components(reduce(DataFrame.unionAll, found))
     classes = materialise(ends.unionByName(ends.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "class"), "simhash-classes")
     held = materialise(nodes.select("node", "key").join(classes, "node"), "simhash-held")
-    held = held.join(held.groupBy("class").agg(F.count("*").alias("n")), "class")
-    sets = with_shingles(docs, held.select("node", "key", "class", "n"), width)
+    sizes = held.groupBy("class").agg(F.count("*").alias("n"))
+    asked = materialise(held.join(sizes, "class").select("node", "key", "class", "n"), "simhash-asked")  # so that its size is known to the join
+    sets = with_shingles(docs, asked, width)
     roots = components(confirmed_links(sets, least))
     told = nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     return fps.join(told, "key").where("doc_id <> root").select(F.col("doc_id").alias("node"), "root")
