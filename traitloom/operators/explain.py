@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Scorer = Callable[[str], Column]
-
-
-def _dot(x: str, w: Column) -> Column:
-    return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+from traitloom.functions import elu
 
 
 def linear_shapley(geno: DataFrame, effects: DataFrame, by: list[str]) -> DataFrame:
@@ -20,26 +19,48 @@ def linear_shapley(geno: DataFrame, effects: DataFrame, by: list[str]) -> DataFr
     return geno.join(means, [*by, "marker"]).join(effects.select("marker", "effect"), "marker").withColumn("phi", F.col("effect") * (F.col("dosage") - F.col("_m"))).drop("_m", "effect")
 
 
-def sampled_shapley(rows: DataFrame, background: DataFrame, scorer: Scorer, width: int, permutations: int, by: list[str]) -> DataFrame:
+#: Cells of the instances that are scored at once.
+CELLS = 1 << 21
+
+
+def sampled_shapley(rows: DataFrame, background: DataFrame, forward: Callable[[np.ndarray, tuple], np.ndarray], width: int, permutations: int, by: list[str]) -> DataFrame:
     """Sampled Shapley values: (by, id, pos, phi).
 
-    ``rows`` and ``background`` hold ``by``, ``id`` and ``x``. For each row, background row and permutation (the markers in
-    the order of a hash of marker and permutation) the markers are switched over one after another, and the change of
-    the score is the marker's value; all are averaged. ``scorer`` gives the score of an array column. Instances are
-    made and scored where the row is: rows * background * permutations * markers in all.
+    ``rows`` and ``background`` (a bounded sample of each group) hold ``by``, ``id`` and ``x``. For each row, background
+    row and permutation (the markers in the order of a hash of marker and permutation) the markers are switched over one
+    after another, each instance from the one before, and the change of the score is the marker's value; all are
+    averaged. ``forward`` scores a matrix of instances, given the row's ``by`` values. Groups without background rows give
+    nothing; repeated rows share their values; null x is left out.
     """
-    spark = rows.sparkSession
-    key = F.md5(F.concat_ws(":", F.col("pos").cast("string"), F.col("perm").cast("string")))
-    orders = (
-        spark.range(permutations).select(F.col("id").cast("int").alias("perm"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("pos"))
-        .groupBy("perm").agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col("pos").alias("pos")))).alias("o")).select("perm", F.col("o.pos").alias("order"))
-    )
-    z = background.select(*by, F.col("x").alias("z"))
-    met = rows.select(*by, "id", "x").join(z, by) if by else rows.select("id", "x").crossJoin(z)
-    turns = met.crossJoin(F.broadcast(orders)).select(*by, "id", "x", "z", "order", F.explode(F.sequence(F.lit(1), F.lit(width))).alias("turn"))
-    mixed = lambda upto: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(F.array_position(F.slice("order", 1, upto), k) > 0, F.element_at("x", k + 1)).otherwise(F.element_at("z", k + 1)))
-    scored = turns.select(*by, "id", F.element_at("order", F.col("turn")).alias("pos"), mixed(F.col("turn")).alias("with"), mixed(F.col("turn") - 1).alias("without"))
-    return scored.groupBy(*by, "id", "pos").agg(F.avg(scorer("with") - scorer("without")).alias("phi"))
+    orders = [np.array(sorted(range(width), key=lambda pos: hashlib.md5(f"{pos}:{k}".encode()).digest())) for k in range(permutations)]
+    z = background.where("x IS NOT NULL").select(*by, F.col("x").alias("z"))
+    asked = rows.where("x IS NOT NULL").select(*by, "id", "x")
+    met = asked.join(z, by) if by else asked.withColumn("_", F.lit(0)).join(z.withColumn("_", F.lit(0)), "_").drop("_")
+
+    def values(x, z, key):
+        phi = np.zeros(width)
+        for order in orders:
+            rank = np.empty(width, np.int64)
+            rank[order] = np.arange(width)
+            step, last = max(1, CELLS // width), None
+            for at in range(0, width + 1, step):
+                turn = np.arange(at, min(at + step, width + 1))
+                score = forward(np.where(rank[None, :] < turn[:, None], x, z), key)
+                scores = score if last is None else np.append(last, score)
+                done = np.arange(at if last is None else at - 1, at + len(turn) - 1)
+                phi[order[done]] += np.diff(scores)
+                last = score[-1]
+        return phi / permutations
+
+    def walk(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                key = tuple(row[: len(by)])
+                phi = values(np.asarray(row.x, np.float64), np.asarray(row.z, np.float64), key)
+                yield pd.DataFrame({**dict(zip(by, key)), "id": row.id, "pos": np.arange(width, dtype=np.int32), "phi": phi})
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*by, "id"])
+    return met.mapInPandas(walk, f"{kinds}, pos int, phi double").groupBy(*by, "id", "pos").agg(F.avg("phi").alias("phi"))
 
 
 def integrated_gradients(rows: DataFrame, gradient: Callable[[str], Column], baseline: Column, steps: int, by: list[str]) -> DataFrame:
@@ -50,18 +71,26 @@ def integrated_gradients(rows: DataFrame, gradient: Callable[[str], Column], bas
     return cells.groupBy(*by, "id", "pos").agg(F.avg("part").alias("phi"))
 
 
-def network_gradient(w1: list[list[float]], b1: list[float], w2: list[float]) -> Callable[[str], Column]:
+def network_gradient(w1: np.ndarray, b1: np.ndarray, w2: np.ndarray) -> Callable[[str], Column]:
     """Gradient of w2 . relu(w1 x + b1) with respect to x, as an array."""
 
-    def gradient(x: str) -> Column:
-        total = F.array(*(F.lit(0.0) for _ in w1[0]))
-        for w, b, v in zip(w1, b1, w2):
-            weights = F.array(*(F.lit(float(k)) for k in w))
-            on = F.when(_dot(x, weights) + float(b) > 0, float(v)).otherwise(0.0)
-            total = F.zip_with(total, F.transform(weights, lambda k: k * on), lambda s, g: s + g)
-        return total
+    @F.pandas_udf("array<double>")
+    def gradient(rows: pd.Series) -> pd.Series:
+        x = np.stack(rows.to_numpy()).astype(np.float64)
+        return pd.Series(list(((x @ w1.T + b1 > 0) * w2) @ w1))
+
+    return lambda x: gradient(x)
+
+
+def attention_scores(edges: DataFrame, slope: float = 0.2) -> DataFrame:
+    """``edges`` with ``score``: the leaky rectifier of the sum of what source and target bring (``from_src``, ``from_dst``)."""
+    raw = F.col("from_src") + F.col("from_dst")
+    return edges.withColumn("score", F.when(raw > 0, raw).otherwise(slope * raw))
+
 
-    return gradient
+def decoded(nodes: DataFrame, bias: float = 0.0) -> DataFrame:
+    """(graph, predicted): mean of the exponential-linear units of a graph's nodes (graph, h), plus a bias. Null h is left out."""
+    return nodes.groupBy("graph").agg((F.avg(elu(F.col("h"))) + bias).alias("predicted"))
 
 
 def attention_sum(edges: DataFrame, skip: DataFrame) -> DataFrame:

@@ -1,7 +1,13 @@
-"""Models fitted by passes whose gradients Spark sums: support vector regression and a small neural network."""
+"""Models fitted by passes that Spark sums, all scenarios at once: support vector regression and a small neural network.
+
+``rows`` hold scenario_id, x (array) and y, and whatever else; rows with a null y or x are no rows of a fit, repeated rows
+count each. A fit is a dictionary of models by scenario; a scenario without rows has none. Models score in Arrow batches,
+so their weights never enter a plan.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,59 +15,155 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.functions import relu
+from traitloom.functions import hashed_order
+
+
+def scorer(forward: Callable[[np.ndarray], np.ndarray]) -> Callable[[str], Column]:
+    """A model's forward pass over an array column."""
+
+    @F.pandas_udf("double")
+    def scored(rows: pd.Series) -> pd.Series:
+        return pd.Series(forward(np.stack(rows.to_numpy()).astype(np.float64)))
+
+    return lambda x: scored(x)
+
 
+def predict(rows: DataFrame, models: dict, x: str = "x") -> DataFrame:
+    """``rows`` with ``predicted`` from their scenario's model; null where a scenario has none."""
+    held = rows.sparkSession.sparkContext.broadcast(models)
 
-def _summed(rows: DataFrame, gradient, weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """Sum of ``gradient(weights, x, y)`` -> (vector, loss) over all rows; one vector a task goes to the driver."""
-    held = rows.sparkSession.sparkContext.broadcast(weights)
+    @F.pandas_udf("double")
+    def scored(scenario: pd.Series, vectors: pd.Series) -> pd.Series:
+        out = np.full(len(scenario), np.nan)
+        for name in scenario.unique():
+            if name in held.value:
+                here = (scenario == name).to_numpy()
+                out[here] = held.value[name].forward(np.stack(vectors[here].to_numpy()).astype(np.float64))
+        return pd.Series(out)
+
+    return rows.withColumn("predicted", F.nanvl(scored("scenario_id", x), F.lit(None).cast("double")))
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    return rows.where("x IS NOT NULL AND y IS NOT NULL").select("scenario_id", "x", "y")
+
+
+def _summed(rows: DataFrame, measure: Callable, states: dict) -> dict[str, np.ndarray]:
+    """Sum of ``measure(state, x, y)``, a vector, over each scenario's rows. Tasks send one vector a scenario, which Spark
+    adds up before the driver sees them."""
+    held = rows.sparkSession.sparkContext.broadcast(states)
 
     def partial(batches):
-        total, loss = np.zeros_like(held.value), 0.0
+        total: dict = {}
         for pdf in batches:
-            if len(pdf):
-                g, here = gradient(held.value, np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy())
-                total, loss = total + g, loss + here
-        yield pd.DataFrame([[total.tobytes(), loss]], columns=["g", "loss"])
+            for name, part in pdf.groupby("scenario_id", sort=False):
+                if name in held.value:
+                    total[name] = total.get(name, 0) + measure(held.value[name], np.stack(part["x"].to_numpy()), part["y"].to_numpy())
+        for name, v in total.items():
+            yield pd.DataFrame({"scenario_id": name, "k": np.arange(len(v), dtype=np.int32), "v": v})
 
-    parts = sorted((bytes(r.g), r.loss) for r in rows.select("x", "y").mapInPandas(partial, "g binary, loss double").collect())
+    cells = rows.mapInPandas(partial, "scenario_id string, k int, v double").groupBy("scenario_id", "k").agg(F.sum("v").alias("v")).toPandas()
     held.unpersist()
-    return sum(np.frombuffer(g) for g, _ in parts), float(sum(x for _, x in parts))
+    return {name: part.sort_values("k")["v"].to_numpy() for name, part in cells.groupby("scenario_id")}
+
+
+# ---------------------------------------------------------------- support vector regression
+
+
+def plain(x: np.ndarray) -> np.ndarray:
+    """Vectors as their own features."""
+    return x
 
 
 @dataclass
 class SupportVector:
+    """w . features(x) + bias"""
+
     weights: np.ndarray
     bias: float
-    losses: list[float]
+    features: Callable[[np.ndarray], np.ndarray] = plain
+    objective: float = np.nan
+    slope: float = np.nan
 
-    def scorer(self, x: str = "x") -> Column:
-        w = F.array(*(F.lit(float(v)) for v in self.weights))
-        return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(float(self.bias)), lambda s, v: s + v)
-
-
-def fit_svr(rows: DataFrame, width: int, epsilon: float = 0.5, cost: float = 1.0, passes: int = 40, rate: float = 0.2) -> SupportVector:
-    """Linear epsilon-insensitive regression with an L2 penalty, on features of any kind (raw dosages, or
-    ``random_features`` for a Gaussian kernel), by subgradient steps; the best weights seen are kept."""
-    n = rows.count()
-    start = rows.agg(F.avg("y")).first()[0] or 0.0
-
-    def gradient(w, x, y):
-        gap = x @ w[:-1] + w[-1] - y
-        side = np.sign(gap) * (np.abs(gap) > epsilon)
-        return np.append(side @ x, side.sum()), float(np.maximum(np.abs(gap) - epsilon, 0).sum())
-
-    w = np.append(np.zeros(width), start)
-    best, losses = None, []
-    for step in range(passes):
-        g, loss = _summed(rows, gradient, w)
-        value = 0.5 * float(w[:-1] @ w[:-1]) + cost * loss
-        if best is None or value < best[0]:
-            best = (value, w.copy())
-        losses.append(best[0])
-        slope = np.append(w[:-1], 0) / (cost * max(n, 1)) + g / max(n, 1)
-        w = w - rate / np.sqrt(1 + step) * slope / max(np.linalg.norm(slope), 1e-12)
-    return SupportVector(best[1][:-1], float(best[1][-1]), losses)
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        return self.features(x) @ self.weights + self.bias
+
+
+#: Width of the parabola that rounds the loss off at the tube's edge; fits begin with the targets' spread and narrow it by
+#: this factor a pass.
+SOFT, NARROW = 0.05, 0.4
+
+
+def _tube(gap: np.ndarray, epsilon: float, soft: float = SOFT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss, slope and curvature of the rounded epsilon-insensitive loss."""
+    over = np.abs(gap) - epsilon
+    bent = (over > 0) & (over < soft)
+    loss = np.where(over <= 0, 0, np.where(bent, over * over / (2 * soft), over - soft / 2))
+    slope = np.sign(gap) * np.where(over <= 0, 0, np.where(bent, over / soft, 1.0))
+    return loss, slope, bent / soft
+
+
+def svr_passes(rows: DataFrame, models: dict, epsilon: float, cost: float, soft: dict | None = None) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+    """Objective, gradient and curvature at each scenario's model, from one pass."""
+
+    def measure(held, x, y):
+        model, width = held
+        f = np.column_stack([model.features(x), np.ones(len(x))])
+        loss, slope, bent = _tube(f[:, :-1] @ model.weights + model.bias - y, epsilon, width)
+        return np.concatenate([[loss.sum()], slope @ f, (f.T @ (f * bent[:, None])).ravel()])
+
+    out = {}
+    for name, v in _summed(_usable(rows), measure, {k: (m, (soft or {}).get(k, SOFT)) for k, m in models.items()}).items():
+        w = np.append(models[name].weights, 0.0)
+        size = len(w)
+        own = np.diag(np.append(np.ones(size - 1), 1e-8))
+        out[name] = (0.5 * float(w @ w) + cost * v[0], w + cost * v[1 : 1 + size], own + cost * v[1 + size :].reshape(size, size))
+    return out
+
+
+def fit_svr(rows: DataFrame, features: dict[str, Callable], width: int, epsilon: float = 0.5, cost: float = 1.0, passes: int = 60, close: float = 1e-5) -> dict[str, SupportVector]:
+    """Epsilon-insensitive regression with an L2 penalty by Newton steps on the rounded loss.
+
+    ``features`` maps each scenario's x to ``width`` features: random features for a Gaussian kernel, or ``plain``. A pass
+    sums width^2 numbers a scenario. Each step is the best of a few lengths; a scenario is done when its gradient is
+    ``close`` to 0 at the narrowest rounding, or no step lowers its objective there.
+    """
+    starts = {r.scenario_id: (r.y, r.s) for r in _usable(rows).groupBy("scenario_id").agg(F.avg("y").alias("y"), F.stddev_pop("y").alias("s")).collect()}
+    models = {k: SupportVector(np.zeros(width), float(y), features[k]) for k, (y, _) in starts.items()}
+    open_, tries = set(models), [1.0, 0.5, 0.25, 0.1, 0.02, 0.002]
+    for turn in range(passes):
+        soft = {k: max(SOFT, 4 * starts[k][1] * NARROW**turn) for k in open_}
+        here = svr_passes(rows, {k: models[k] for k in open_}, epsilon, cost, soft)
+        for name, (value, slope, _) in here.items():
+            models[name].objective, models[name].slope = value, float(np.linalg.norm(slope))
+        steps = {k: np.linalg.solve(h, g) for k, (_, g, h) in here.items() if soft[k] > SOFT or np.linalg.norm(g) > close}
+        if not steps:
+            break
+
+        def losses(held, x, y):
+            model, step, width_ = held
+            f = np.column_stack([model.features(x), np.ones(len(x))])
+            at, turned = f[:, :-1] @ model.weights + model.bias - y, f @ step
+            return np.array([_tube(at - t * turned, epsilon, width_)[0].sum() for t in tries])
+
+        found = _summed(_usable(rows), losses, {k: (models[k], s, soft[k]) for k, s in steps.items()})
+        open_ = set()
+        for name, loss in found.items():
+            w, step = np.append(models[name].weights, models[name].bias), steps[name]
+            values = [0.5 * float((w - t * step)[:-1] @ (w - t * step)[:-1]) + cost * v for t, v in zip(tries, loss)]
+            best = int(np.argmin(values))
+            lower = values[best] < models[name].objective
+            if lower:
+                w = w - tries[best] * step
+                models[name] = SupportVector(w[:-1], float(w[-1]), features[name], values[best], models[name].slope)
+            if lower or soft[name] > SOFT:
+                open_.add(name)
+        if not open_:
+            break
+    return models
+
+
+# ---------------------------------------------------------------- neural network
 
 
 @dataclass
@@ -82,34 +184,66 @@ class Network:
         return np.maximum(x @ self.w1.T + self.b1, 0) @ self.w2 + self.b2
 
     def scorer(self, x: str = "x") -> Column:
-        """The forward pass as column expressions."""
-        dot = lambda w, start: F.aggregate(F.zip_with(x, F.array(*(F.lit(float(v)) for v in w)), lambda a, b: a * b), F.lit(float(start)), lambda s, v: s + v)
-        out = F.lit(float(self.b2))
-        for w, b, v in zip(self.w1, self.b1, self.w2):
-            out = out + relu(dot(w, b)) * float(v)
-        return out
+        return scorer(self.forward)(x)
+
+
+#: Rows of a bucket, on average. A bucket's rows are one task's, in batches; several buckets' networks are averaged after
+#: each epoch.
+BUCKET_ROWS = 4096
+
+
+def _slope(flat: np.ndarray, x: np.ndarray, y: np.ndarray, hidden: int, kept: np.ndarray | float) -> np.ndarray:
+    """Gradient of the mean squared error; ``kept`` scales the hidden units that dropout leaves."""
+    net = Network.unpack(flat, x.shape[1], hidden)
+    inner = (x @ net.w1.T + net.b1) * kept
+    active = np.maximum(inner, 0)
+    gap = active @ net.w2 + net.b2 - y
+    back = np.outer(gap, net.w2) * (inner > 0) * kept
+    return 2 / len(y) * np.concatenate([(back.T @ x).ravel(), back.sum(0), gap @ active, [gap.sum()]])
+
 
+def fit_network(rows: DataFrame, width: int, hidden: int = 30, dropout: float = 0.0, rate: float = 1e-3, decay: float = 5e-4, epochs: int = 30, batch: int = 8, seed: int = 1) -> dict[str, Network]:
+    """One hidden layer by Adam on mini-batches, a new order of a scenario's rows each epoch.
 
-def fit_network(rows: DataFrame, width: int, hidden: int = 30, epochs: int = 30, rate: float = 0.01, decay: float = 0.0, seed: int = 1) -> tuple[Network, list[float]]:
-    """One hidden layer by Adam on the full data's gradient; seeded start. Returns the network and the mean squared error
-    before each step."""
+    Scenarios are dealt to hash buckets of about ``BUCKET_ROWS``. One bucket runs all its epochs in one job; several start
+    each epoch from their mean, weighted by their rows. ``rows`` also hold id; rows order by a hash of id and epoch.
+    """
+    rows = rows.where("x IS NOT NULL AND y IS NOT NULL").select("scenario_id", "id", "x", "y")
+    sizes = {r.scenario_id: (r.n, r.y) for r in rows.groupBy("scenario_id").agg(F.count("*").alias("n"), F.avg("y").alias("y")).collect()}
+    if not sizes:
+        return {}
     draw = np.random.default_rng(seed)
-    n = max(rows.count(), 1)
-    flat = np.concatenate([draw.normal(0, np.sqrt(2 / width), width * hidden), np.zeros(hidden), draw.normal(0, np.sqrt(1 / hidden), hidden), [rows.agg(F.avg("y")).first()[0] or 0.0]])
-
-    def gradient(w, x, y):
-        net = Network.unpack(w, width, hidden)
-        inner = x @ net.w1.T + net.b1
-        active = np.maximum(inner, 0)
-        gap = active @ net.w2 + net.b2 - y
-        back = np.outer(gap, net.w2) * (inner > 0)
-        return 2 * np.concatenate([(back.T @ x).ravel(), back.sum(0), gap @ active, [gap.sum()]]), float(gap @ gap)
-
-    m, v, losses = np.zeros_like(flat), np.zeros_like(flat), []
-    for step in range(1, epochs + 1):
-        g, loss = _summed(rows, gradient, flat)
-        losses.append(loss / n)
-        g = g / n + decay * flat
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        flat = flat - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Network.unpack(flat, width, hidden), losses
+    edge, inner = 1 / np.sqrt(width), 1 / np.sqrt(hidden)
+    start = np.concatenate([draw.uniform(-edge, edge, width * hidden), draw.uniform(-edge, edge, hidden), draw.uniform(-inner, inner, hidden)])
+    buckets = max(1, -(-max(n for n, _ in sizes.values()) // BUCKET_ROWS))
+    alone = buckets == 1
+    zero = np.zeros(len(start) + 1)
+    states = {k: np.concatenate([start, [mean], zero, zero]) for k, (_, mean) in sizes.items()}
+    bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    for epoch in range(1 if alone else epochs):
+        held = rows.sparkSession.sparkContext.broadcast(states)
+        turns = range(epochs) if alone else range(epoch, epoch + 1)
+
+        def learn(key, pdf):
+            flat, m, v = np.split(held.value[key[0]].copy(), 3)
+            x, y = np.stack(pdf["x"].to_numpy()).astype(np.float64), pdf["y"].to_numpy()
+            luck = np.random.default_rng([seed, key[1]])
+            batches = -(-len(y) // batch)
+            for turn in turns:
+                order = np.argsort(pdf[f"o{turn - turns[0]}"].to_numpy(), kind="stable")
+                for k in range(batches):
+                    at = order[k * batch : (k + 1) * batch]
+                    kept = (luck.random((len(at), hidden)) >= dropout) / (1 - dropout) if dropout else 1.0
+                    g = _slope(flat, x[at], y[at], hidden, kept) + decay * flat
+                    step = turn * batches + k + 1
+                    m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                    flat = flat - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            state = np.concatenate([flat, m, v])
+            return pd.DataFrame({"scenario_id": key[0], "k": np.arange(len(state), dtype=np.int32), "v": state * len(y), "n": float(len(y))})
+
+        orders = [hashed_order("id", F.lit(turn)).alias(f"o{n}") for n, turn in enumerate(turns)]
+        told = bucketed.select("*", *orders).groupBy("scenario_id", "bucket").applyInPandas(learn, "scenario_id string, k int, v double, n double")
+        mean = told.groupBy("scenario_id", "k").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
+        states = {name: part.sort_values("k")["v"].to_numpy() for name, part in mean.groupby("scenario_id")}
+        held.unpersist()
+    return {k: Network.unpack(np.split(v, 3)[0], width, hidden) for k, v in states.items()}

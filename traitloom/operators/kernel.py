@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.operators.linear import marginal_penalty
+from traitloom.operators.linear import fit as linear_fit
+from traitloom.operators.linear import marginal_penalty, sufficient_statistics
 
 FIT = "scenario_id string, id long, alpha double, intercept double, penalty double"
 
@@ -45,13 +48,61 @@ def kernel_predict(kernel: DataFrame, weights: DataFrame) -> DataFrame:
     return kernel.join(w, ["scenario_id", "train_id"]).groupBy("scenario_id", "id").agg((F.sum(F.col("k") * F.col("alpha")) + F.max("intercept")).alias("predicted"))
 
 
+class RandomFeatures:
+    """sqrt(2 / m) cos(W x + b): inner products approach exp(-gamma |x - y|^2). The draws depend on the seed only."""
+
+    def __init__(self, width: int, count: int, gamma: float, seed: int = 1):
+        draw = np.random.default_rng(seed)
+        self.w, self.b = draw.normal(0, 1, (count, width)) * np.sqrt(2 * gamma), draw.uniform(0, 2 * np.pi, count)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(2 / len(self.b)) * np.cos(x @ self.w.T + self.b)
+
+
 def random_features(x: str, width: int, count: int, gamma: float, seed: int = 1) -> Column:
-    """sqrt(2 / m) cos(W x + b) as an array: inner products approach exp(-gamma |x - y|^2)."""
-    draw = np.random.default_rng(seed)
-    w, b = draw.normal(0, np.sqrt(2 * gamma), (count, width)), draw.uniform(0, 2 * np.pi, count)
+    """The features of an array column without nulls, as an array."""
+    of = RandomFeatures(width, count, gamma, seed)
 
     @F.pandas_udf("array<double>")
     def features(rows: pd.Series) -> pd.Series:
-        return pd.Series(list(np.sqrt(2 / count) * np.cos(np.stack(rows.to_numpy()) @ w.T + b)))
+        return pd.Series(list(of(np.stack(rows.to_numpy()))))
 
     return features(x)
+
+
+def with_features(rows: DataFrame, maps: dict[str, RandomFeatures]) -> DataFrame:
+    """``rows`` with x replaced by its scenario's features."""
+    held = rows.sparkSession.sparkContext.broadcast(maps)
+
+    @F.pandas_udf("array<double>")
+    def features(scenario: pd.Series, vectors: pd.Series) -> pd.Series:
+        out = pd.Series(index=scenario.index, dtype=object)
+        for name in scenario.unique():
+            here = scenario.index[scenario == name]
+            for at, f in zip(here, held.value[name](np.stack(vectors[here].to_numpy()))):
+                out[at] = f
+        return out
+
+    return rows.withColumn("x", features("scenario_id", "x"))
+
+
+@dataclass
+class KernelRidge:
+    """A ridge on random features: a Gaussian-kernel regression whose size does not depend on the individuals."""
+
+    features: RandomFeatures
+    weights: np.ndarray
+    intercept: float
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        return self.features(x) @ self.weights + self.intercept
+
+
+def fit_kernel_ridge(rows: DataFrame, maps: dict[str, RandomFeatures]) -> dict[str, KernelRidge]:
+    """Kernel models of all scenarios from the summed Gram matrices of their features; the penalty is that of greatest
+    restricted likelihood. ``rows`` as for ``sufficient_statistics``; only training rows are used."""
+    fits = linear_fit(sufficient_statistics(with_features(rows, maps)), "RKHS").toPandas()
+    return {
+        name: KernelRidge(maps[name], part.sort_values("pos")["effect"].to_numpy(), float(part["intercept"].iloc[0]))
+        for name, part in fits.groupby("scenario_id")
+    }

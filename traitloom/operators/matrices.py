@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 
 def standardise(geno: DataFrame, by: list[str]) -> DataFrame:
     """``z``: dosage minus its mean, over its standard deviation (n - 1) and the root of the number of markers; -1 for a
-    constant marker."""
-    stats = geno.groupBy(*by, "marker").agg(F.avg("dosage").alias("m"), F.stddev_samp("dosage").alias("s"))
-    p = geno.groupBy(*by).agg(F.countDistinct("marker").alias("p"))
-    z = F.coalesce(F.try_divide(F.col("dosage") - F.col("m"), F.col("s")) / F.sqrt("p"), F.lit(-1.0))
-    return geno.join(stats.join(p, by), [*by, "marker"]).withColumn("z", z).drop("m", "s", "p")
+    constant marker, or a null dosage. Repeated rows count each; other columns are passed on (``z`` is replaced)."""
+    stats = geno.groupBy(*by, "marker").agg(F.avg("dosage").alias("_m"), F.stddev_samp("dosage").alias("_s"))
+    p = geno.groupBy(*by).agg(F.countDistinct("marker").alias("_p"))
+    z = F.coalesce(F.try_divide(F.col("dosage") - F.col("_m"), F.col("_s")) / F.sqrt("_p"), F.lit(-1.0))
+    return geno.join(stats.join(p, by), [*by, "marker"]).withColumn("z", z).drop("_m", "_s", "_p")
 
 
 def vectors(geno: DataFrame, value: str = "dosage", to: str = "x", keys: list[str] | None = None) -> DataFrame:
-    """One row an individual, its values in marker order as an array."""
+    """One row an individual, its values in marker order as an array. Of repeated markers of an individual the least value
+    stays; nulls stay nulls; other columns are left out."""
     pairs = F.array_sort(F.collect_list(F.struct("pos", F.col(value).cast("double").alias("v"))))
-    return geno.groupBy(*(keys or ["id", "population"])).agg(pairs.alias("_p")).withColumn(to, F.col("_p.v")).drop("_p")
+    rows = geno.groupBy(*(keys or ["id", "population"])).agg(pairs.alias("_p"))
+    new = lambda cell, at: (at == 0) | (cell["pos"] != F.get("_p", at - 1)["pos"])
+    return rows.withColumn("_p", F.filter("_p", new)).withColumn(to, F.col("_p.v")).drop("_p")
 
 
 #: Cells of partial matrices that a task holds before it sends them on.

@@ -10,16 +10,43 @@ from pyspark.sql import functions as F
 from traitloom.functions import hashed_order
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """How large the models are. ``features`` are the random features that stand for a Gaussian kernel, ``permutations`` and
+    ``background`` the orders and rows that sampled Shapley values average over."""
+
+    trees: int = 1000
+    depth: int = 30
+    tree_features: str = "all"
+    hidden: int = 30
+    dropout: float = 0.0
+    rate: float = 1e-3
+    decay: float = 5e-4
+    epochs: int = 30
+    batch: int = 8
+    epsilon: float = 0.5
+    cost: float = 1.0
+    features: int = 256
+    permutations: int = 2
+    background: int = 30
+
+
+EXPLAIN = {"RKHS": 30, "RF": 30, "SVR": 30, "MLP": 10}
+
+
 @dataclass(frozen=True)
 class Study:
-    """What a study tries. ``explain_rows`` None stands for all test rows of a scenario."""
+    """What a study tries. ``explain_rows``: test rows of a scenario that a model's effects are explained on, None for all
+    of them; ``explained``: the models that give effects."""
 
     populations: tuple[str, ...]
     phenotypes: tuple[str, ...]
     ratios: tuple[float, ...] = (0.8,)
     samples: int = 1
     models: tuple[str, ...] = ("rrBLUP", "BayesB", "RKHS", "RF", "SVR", "MLP")
-    explain_rows: dict = field(default_factory=dict)
+    explain_rows: dict = field(default_factory=lambda: dict(EXPLAIN))
+    explained: tuple[str, ...] = ("rrBLUP", "BayesB", "RF", "MLP")
+    sizes: Sizes = Sizes()
 
 
 def grid(spark: SparkSession, study: Study) -> DataFrame:
@@ -41,8 +68,9 @@ def complete(geno: DataFrame, pheno: DataFrame) -> DataFrame:
     return pheno.where("y IS NOT NULL").join(missing.select("id", "population"), ["id", "population"])
 
 
-def hashed_rank(rows: DataFrame, by: list[str], *seed) -> DataFrame:
-    """``rank`` from 1 of each row in its group, in the order of a hash of the seed columns, then the id.
+def hashed_rank(rows: DataFrame, by: list[str], *seed, to: str = "rank") -> DataFrame:
+    """A column ``to`` with each row's rank from 1 in its group, in the order of a hash of the seed columns, then the id.
+    Repeated rows get ranks of their own; nulls are values; an empty table stays empty.
 
     Rows are ranked inside the slices that the hash's first digits make, and a slice's offset comes from the slices'
     counts: no task sorts a whole group.
@@ -53,7 +81,7 @@ def hashed_rank(rows: DataFrame, by: list[str], *seed) -> DataFrame:
     offsets = counts.select(*by, "_slice", F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h", "id"))
     ranked = hashed.withColumn("_in", inside).join(offsets, [*by, "_slice"])
-    return ranked.withColumn("rank", F.col("_before") + F.col("_in")).drop("_h", "_slice", "_in", "_before")
+    return ranked.withColumn(to, F.col("_before") + F.col("_in")).drop("_h", "_slice", "_in", "_before")
 
 
 def split(rows: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -63,16 +91,16 @@ def split(rows: DataFrame, scenarios: DataFrame) -> DataFrame:
     """
     joined = rows.join(F.broadcast(scenarios), ["population", "phenotype"])
     sizes = joined.groupBy("scenario_id").agg(F.count("*").alias("_n"))
-    ranked = hashed_rank(joined, ["scenario_id"], "id", "sample").join(F.broadcast(sizes), "scenario_id")
-    fold = F.when(F.col("rank") <= F.floor(F.col("ratio") * F.col("_n")), "train").otherwise("test")
-    return ranked.withColumn("fold", fold).drop("rank", "_n")
+    ranked = hashed_rank(joined, ["scenario_id"], "id", "sample", to="_rank").join(F.broadcast(sizes), "scenario_id")
+    fold = F.when(F.col("_rank") <= F.floor(F.col("ratio") * F.col("_n")), "train").otherwise("test")
+    return ranked.withColumn("fold", fold).drop("_rank", "_n")
 
 
 def sample_rows(rows: DataFrame, count: int | None, by: list[str], seed: str = "explain") -> DataFrame:
     """``count`` rows of each group in hashed order (all if there are fewer, or if count is None)."""
     if count is None:
         return rows
-    return hashed_rank(rows, by, F.lit(seed), "id").where(F.col("rank") <= count).drop("rank")
+    return hashed_rank(rows, by, F.lit(seed), "id", to="_rank").where(F.col("_rank") <= count).drop("_rank")
 
 
 def resolve_all(rows: DataFrame, count: int | None) -> DataFrame:

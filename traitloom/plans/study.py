@@ -1,100 +1,143 @@
-"""The whole study: scenarios, fits, ensemble, metrics, and the report of where on the genome the models look."""
+"""The whole study: scenarios, fits, ensemble, metrics, effects, interactions, and the report of where on the genome the
+models look."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from traitloom.operators import bands, forest, gradient, kernel, linear, matrices, metrics, scenarios
+from traitloom.operators import bands, explain, forest, gradient, kernel, linear, matrices, metrics, scenarios
+from traitloom.session import materialise
 
 KEYS = ["scenario_id", "population", "phenotype", "ratio", "sample"]
+PREDICTED = [*KEYS, "id", "fold", "model", "actual", "predicted"]
+EFFECT = "scenario_id string, population string, phenotype string, ratio double, sample int, model string, marker string, effect double"
+LINK = "scenario_id string, population string, phenotype string, ratio double, sample int, model string, from string, to string, value double"
+#: Forests that are fitted side by side.
+POOL = 4
 
 
 @dataclass
 class Results:
+    """Predictions of both folds, metrics of the test fold, effects (of members and the ensemble), and marker interactions."""
+
     predictions: DataFrame
     metrics: DataFrame
     effects: DataFrame
+    interactions: DataFrame
 
 
 def training_rows(spark: SparkSession, geno: DataFrame, pheno: DataFrame, study: scenarios.Study) -> DataFrame:
-    """Scenario keys, id, fold, y and the scaled marker vector x of every usable individual."""
+    """Scenario keys, id, fold, y, the marker vector x and the scaled one z of every usable individual."""
     split = scenarios.split(scenarios.complete(geno, pheno), scenarios.grid(spark, study))
     scaled = matrices.standardise(geno.where("dosage IS NOT NULL"), ["population"])
-    return split.join(matrices.vectors(scaled, "z"), ["id", "population"])
-
-
-def _kernel(geno: DataFrame, split: DataFrame) -> DataFrame:
-    """Kernel predictions of every scenario, both folds."""
-    pairs = matrices.gaussian_kernel(matrices.distances(geno, ["population"]), ["population"]).select("population", "i", "j", "k")
-    train = split.where("fold = 'train'")
-    ids = train.select("scenario_id", "population", "id")
-    own = pairs.join(ids.withColumnRenamed("id", "i"), ["population", "i"]).join(ids.select("scenario_id", F.col("id").alias("j")), ["scenario_id", "j"])
-    weights = kernel.kernel_blup(own.select("scenario_id", "i", "j", "k"), train.select("scenario_id", "id", "y"))
-    both = pairs.select("population", F.col("i").alias("id"), F.col("j").alias("train_id"), "k").unionByName(
-        pairs.where("i < j").select("population", F.col("j").alias("id"), F.col("i").alias("train_id"), "k")
-    )
-    cells = split.select("scenario_id", "population", "id").join(both, ["population", "id"]).select("scenario_id", "id", "train_id", "k")
-    told = kernel.kernel_predict(cells, weights)
-    return split.join(told, ["scenario_id", "id"]).select(*KEYS, "id", "fold", F.lit("RKHS").alias("model"), F.col("y").alias("actual"), "predicted")
-
-
-def _one_by_one(rows: DataFrame, study: scenarios.Study, width: int, trees: int) -> DataFrame | None:
-    """Models that Spark fits scenario after scenario; each fit's data pass is distributed."""
-    out = None
-    names = [m for m in study.models if m in ("RF", "SVR", "MLP")]
-    for row in rows.select("scenario_id").distinct().orderBy("scenario_id").collect() if names else []:
-        here = rows.where(F.col("scenario_id") == row.scenario_id)
-        train = here.where("fold = 'train'").select("x", "y").cache()
-        for name in names:
-            if name == "RF":
-                from pyspark.ml.functions import array_to_vector
-
-                model = forest.fit(here, trees)
-                told = model.transform(here.withColumn("features", array_to_vector("x"))).withColumnRenamed("prediction", "predicted").drop("features")
-            else:
-                model = gradient.fit_svr(train, width) if name == "SVR" else gradient.fit_network(train, width, hidden=8, epochs=15)[0]
-                told = here.withColumn("predicted", model.scorer("x"))
-            told = told.select(*KEYS, "id", "fold", F.lit(name).alias("model"), F.col("y").alias("actual"), "predicted")
-            out = told if out is None else out.unionByName(told)
-        train.unpersist()
+    both = matrices.vectors(scaled, "dosage").join(matrices.vectors(scaled, "z", "z"), ["id", "population"])
+    return split.join(both, ["id", "population"])
+
+
+def kernel_widths(rows: DataFrame) -> dict[str, tuple[int, float, float]]:
+    """Markers of each scenario, and its two kernel widths: one over the mean squared distance of all its individuals, and
+    one over the markers times the variance of its training dosages. A width without variance is 1."""
+    cells = rows.select("scenario_id", "fold", F.posexplode("x").alias("pos", "v"))
+    per = cells.groupBy("scenario_id", "pos").agg(F.var_pop("v").alias("v")).groupBy("scenario_id").agg(F.sum("v").alias("v"), F.count("*").alias("p"))
+    train = cells.where("fold = 'train'").groupBy("scenario_id").agg(F.var_pop("v").alias("t"))
+    told = per.join(train, "scenario_id", "left").collect()
+    return {r.scenario_id: (r.p, 1 / (2 * r.v) if r.v else 1.0, 1 / (r.p * r.t) if r.t else 1.0) for r in told}
+
+
+def _tagged(told: DataFrame, model: str) -> DataFrame:
+    return told.withColumn("model", F.lit(model)).withColumnRenamed("y", "actual").select(*PREDICTED)
+
+
+def forests(rows: DataFrame, sizes: scenarios.Sizes) -> tuple[DataFrame, DataFrame]:
+    """Predictions of each scenario's forest, and the node table of all, scenario by scenario. A few forests are fitted side
+    by side, each by Spark's own distributed pass."""
+    names = [r.scenario_id for r in rows.where("fold = 'train'").select("scenario_id").distinct().orderBy("scenario_id").collect()]
+
+    def one(name):
+        here = rows.where(F.col("scenario_id") == name)
+        model = forest.fit(here, sizes.trees, sizes.depth, sizes.tree_features)
+        told = model.transform(here.withColumn("features", array_to_vector("x"))).withColumnRenamed("prediction", "predicted")
+        return _tagged(told, "RF"), forest.nodes(model, rows.sparkSession).select(F.lit(name).alias("scenario_id"), "*")
+
+    with ThreadPoolExecutor(POOL) as pool:
+        parts = list(pool.map(one, names))
+    told, nodes = (reduce(DataFrame.unionByName, p) for p in zip(*parts))
+    return told, materialise(nodes, "nodes")
+
+
+def fit_models(rows: DataFrame, study: scenarios.Study) -> dict[str, dict]:
+    """Models of each kind and scenario that score vectors of raw dosages: RKHS, SVR, MLP."""
+    sizes, train = study.sizes, rows.where("fold = 'train'")
+    if not {"RKHS", "SVR", "MLP"} & {*study.models}:
+        return {}
+    widths = kernel_widths(rows)
+    maps = lambda at: {k: kernel.RandomFeatures(w[0], sizes.features, w[at]) for k, w in widths.items()}
+    out = {}
+    if "RKHS" in study.models:
+        out["RKHS"] = kernel.fit_kernel_ridge(rows, maps(1))
+    if "SVR" in study.models:
+        out["SVR"] = gradient.fit_svr(train, maps(2), sizes.features, sizes.epsilon, sizes.cost)
+    if "MLP" in study.models and widths:
+        out["MLP"] = gradient.fit_network(train, max(w[0] for w in widths.values()), sizes.hidden, sizes.dropout, sizes.rate, sizes.decay, sizes.epochs, sizes.batch)
     return out
 
 
-def run(spark: SparkSession, geno: DataFrame, pheno: DataFrame, study: scenarios.Study, trees: int = 50) -> Results:
-    """Predictions of every model and the ensemble, their metrics on test rows, and effects of the models that have them."""
-    rows = training_rows(spark, geno, pheno, study).cache()
-    width = geno.select("marker").distinct().count()
-    cells = linear.sufficient_statistics(rows)
+def explained_effects(rows: DataFrame, models: dict, count: int | None, sizes: scenarios.Sizes) -> DataFrame:
+    """(scenario_id, pos, effect): sum of the absolute sampled Shapley values over a scenario's explained test rows, against
+    sampled training rows."""
+    width = max((len(r.x) for r in rows.select("x").limit(1).collect()), default=0)
+    asked = scenarios.sample_rows(rows.where("fold = 'test'"), count, ["scenario_id"])
+    back = scenarios.sample_rows(rows.where("fold = 'train'"), sizes.background, ["scenario_id"], seed="background")
+    phi = explain.sampled_shapley(asked, back, lambda x, key: models[key[0]].forward(x), width, sizes.permutations, ["scenario_id"])
+    return explain.attribution_sums(phi, ["scenario_id", "pos"]).drop("mean_phi")
+
+
+def run(spark: SparkSession, geno: DataFrame, pheno: DataFrame, study: scenarios.Study) -> Results:
+    """Predictions of every model and the ensemble, their metrics on test rows, effects of the ``explained`` models and the
+    ensemble, and the forests' marker interactions. Individuals with a missing dosage or target are left out."""
+    rows = materialise(training_rows(spark, geno, pheno, study), "study-rows")
+    place = rows.select(*KEYS).distinct()
     names = geno.select("pos", "marker").distinct()
-    parts, effects = [], []
-    for name, solve in (("rrBLUP", linear.ridge_solution), ("BayesB", linear.spike_slab_solution)):
-        if name in study.models:
-            fits = linear.fit(cells, name, solve).cache()
-            parts.append(linear.predict(rows, fits).select(*KEYS, "id", "fold", "model", "actual", "predicted"))
-            place = rows.select(*KEYS).distinct()
-            effects.append(fits.join(names, "pos").join(place, "scenario_id").select(*KEYS, "model", "marker", "effect"))
-    if "RKHS" in study.models:
-        parts.append(_kernel(geno.where("dosage IS NOT NULL"), rows))
-    single = _one_by_one(rows, study, width, trees)
-    if single is not None:
-        parts.append(single)
-    members = parts[0]
-    for p in parts[1:]:
-        members = members.unionByName(p)
-    keys = [*KEYS, "id", "fold"]
-    told = members.unionByName(metrics.ensemble(members, keys).select(*members.columns))
+    sizes, parts, effects = study.sizes, [], []
+    links = spark.createDataFrame([], LINK)
+
+    def located(found: DataFrame, model: str) -> DataFrame:
+        return found.join(names, "pos").join(place, "scenario_id").select(*KEYS, F.lit(model).alias("model"), "marker", "effect")
+
+    scaled = rows.drop("x").withColumnRenamed("z", "x")
+    solvers = [(n, s) for n, s in (("rrBLUP", linear.ridge_solution), ("BayesB", linear.spike_slab_solution)) if n in study.models]
+    cells = materialise(linear.sufficient_statistics(scaled), "statistics") if solvers else None
+    for name, solve in solvers:
+        fits = materialise(linear.fit(cells, name, solve), f"fits-{name}")
+        parts.append(linear.predict(scaled, fits).select(*PREDICTED))
+        if name in study.explained:
+            effects.append(located(fits, name))
+    for name, models in fit_models(rows, study).items():
+        parts.append(_tagged(gradient.predict(rows, models), name))
+        if name in study.explained and models:
+            effects.append(located(explained_effects(rows, models, study.explain_rows.get(name), sizes), name))
+    if "RF" in study.models and not rows.where("fold = 'train'").isEmpty():
+        told, nodes = forests(rows, sizes)
+        parts.append(told)
+        if "RF" in study.explained:
+            effects.append(located(forest.importance(nodes, ("scenario_id",)).withColumnRenamed("feature", "pos").withColumnRenamed("importance", "effect"), "RF"))
+            asked = scenarios.sample_rows(rows.where("fold = 'test'"), study.explain_rows.get("RF"), ["scenario_id"])
+            pairs = forest.interactions(forest.leaf_paths(nodes, sizes.depth, ("scenario_id",)), asked, sizes.trees, sizes.depth, ("scenario_id",))
+            end = lambda at, to: names.select(F.col("pos").alias(at), F.col("marker").alias(to))
+            links = pairs.join(end("i", "from"), "i").join(end("j", "to"), "j").join(place, "scenario_id").select(*KEYS, F.lit("RF").alias("model"), "from", "to", "value")
+    members = reduce(DataFrame.unionByName, parts) if parts else rows.limit(0).withColumns({"model": F.lit(""), "predicted": F.col("y"), "actual": F.col("y")}).select(*PREDICTED)
+    members = materialise(members, "predictions")
+    told = members.unionByName(metrics.ensemble(members, [*KEYS, "id", "fold"]).select(*PREDICTED))
     scores = metrics.metrics(told.where("fold = 'test'"), [*KEYS, "model"])
-    if effects:
-        all_ = effects[0]
-        for e in effects[1:]:
-            all_ = all_.unionByName(e)
-        all_ = all_.unionByName(metrics.ensemble_effect(all_, KEYS).select(*all_.columns))
-    else:
-        all_ = spark.createDataFrame([], "scenario_id string, population string, phenotype string, ratio double, sample int, model string, marker string, effect double")
-    return Results(told, scores, all_)
+    found = reduce(DataFrame.unionByName, effects) if effects else spark.createDataFrame([], EFFECT)
+    found = materialise(found, "effects")
+    return Results(told, scores, found.unionByName(metrics.ensemble_effect(found, KEYS).select(*found.columns)), links)
 
 
 def trait_report(spark: SparkSession, geno: DataFrame, pheno: DataFrame, markers: DataFrame, study: scenarios.Study, pad: int = 100_000) -> DataFrame:
@@ -105,6 +148,6 @@ def trait_report(spark: SparkSession, geno: DataFrame, pheno: DataFrame, markers
 
 
 def rank_links(pairs: DataFrame, by: list[str], k: int) -> DataFrame:
-    """The k strongest links of each group, for display."""
+    """The k strongest links of each group, for display; ties in the order of their markers."""
     order = Window.partitionBy(*by).orderBy(F.desc("value"), "from", "to")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).withColumnRenamed("_rank", "rank")

@@ -60,10 +60,16 @@ def read_regions(spark: SparkSession, paths: str, gene_set: str) -> DataFrame:
     return _tsv(spark, paths, REGIONS, gene_set).withColumn("gene_set", F.lit(gene_set))
 
 
-def write_table(df: DataFrame, path: str, form: str = "parquet", by: list[str] | None = None, skip_empty: bool = False) -> bool:
-    """Write a result; with ``skip_empty`` nothing is written if there are no rows. Returns whether it was written."""
+def write_table(df: DataFrame, path: str, form: str = "parquet", by: list[str] | None = None, skip_empty: bool = False, order: list[str] | None = None) -> bool:
+    """Write a result; with ``skip_empty`` nothing is written if there are no rows. Returns whether it was written.
+
+    With ``order`` the files, in the order of their names, hold the rows in that order: Spark sorts by ranges, no task
+    sorts all.
+    """
     if skip_empty and df.isEmpty():
         return False
+    if order:
+        df = df.orderBy(*order)
     writer = df.write.mode("overwrite")
     if by:
         writer = writer.partitionBy(*by)
@@ -78,3 +84,8 @@ def wide_predictions(predictions: DataFrame, models: list[str], fold: str) -> Da
     """One row a scenario and individual, one column a model."""
     keys = [c for c in ("population", "phenotype", "ratio", "sample", "id", "actual") if c in predictions.columns]
     return predictions.where(F.col("fold") == fold).groupBy(*keys).pivot("model", models).agg(F.first("predicted"))
+
+
+def append(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Results added to earlier ones; a column that one side lacks is null there. Repeated rows stay."""
+    return old.unionByName(new, allowMissingColumns=True)
