@@ -47,3 +47,22 @@ def test_leaks_against_brute_force(spark, monkeypatch, block):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _ in rows if d not in hit), key=str)
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_recall_of_scattered_items(spark):
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    items = [(i, [word() for _ in range(draw.randrange(120, 400))]) for i in range(150)]
+    rows = []
+    for i, words in items:  # pieces in any order, far apart in a very long text
+        cuts = sorted(draw.sample(range(10, len(words) - 10), len(words) // 40))
+        pieces = [words[a:b] for a, b in zip([0, *cuts], [*cuts, len(words)])]
+        draw.shuffle(pieces)
+        rows.append((i, " ".join(" ".join([*p, *(word() for _ in range(2000))]) for p in pieces)))
+    rows.append((500, " ".join(word() for _ in range(120_000)) + " " + " ".join(items[0][1])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(900, " ".join(word() for _ in range(50_000)))], "item_id long, text string")
+    want = {(d, i) for (d, t), (i, w) in zip(rows, items) if len(shingles(" ".join(w)) & shingles(t)) >= 0.8 * len(shingles(" ".join(w)))}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert (500, 0) in got and got - {(500, 0)} <= want and len(want) > 100
+    assert len(got & want) >= 0.98 * len(want)
