@@ -14,7 +14,8 @@ from traitloom.functions import elu
 
 
 def linear_shapley(geno: DataFrame, effects: DataFrame, by: list[str]) -> DataFrame:
-    """Exact values of a linear model: effect * (dosage - its mean in the group)."""
+    """Exact values of a linear model: effect * (dosage - its mean in the group). Markers without an effect are left out, null
+    dosages give null; ``phi`` is replaced, other columns are passed on."""
     means = geno.groupBy(*by, "marker").agg(F.avg("dosage").alias("_m"))
     return geno.join(means, [*by, "marker"]).join(effects.select("marker", "effect"), "marker").withColumn("phi", F.col("effect") * (F.col("dosage") - F.col("_m"))).drop("_m", "effect")
 
@@ -106,5 +107,5 @@ def attention_sum(edges: DataFrame, skip: DataFrame) -> DataFrame:
 
 
 def attribution_sums(phi: DataFrame, by: list[str]) -> DataFrame:
-    """Sum of absolute values, and mean, over the explained rows."""
+    """Sum of absolute values, and mean, over the explained rows; nulls count nothing."""
     return phi.groupBy(*by).agg(F.sum(F.abs("phi")).alias("effect"), F.avg("phi").alias("mean_phi"))

@@ -1,7 +1,8 @@
 """Linear marker models from sufficient statistics that Spark sums.
 
 A row is the marker vector with the target and a 1 behind it, so its Gram matrix holds every statistic: the solvers below
-get one scenario's matrix, whose size is that of the markers, never of the individuals.
+get one scenario's matrix, whose size is that of the markers, never of the individuals: some thousand markers a scenario
+fit a task (10,000 take 0.8 GB). Wider tables are for ``kernel.fit_kernel_ridge``, whose matrix is that of the features.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ SCENARIO = ["population", "phenotype", "ratio", "sample"]
 
 
 def metrics(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Pearson correlation (null if either side is constant) and mean squared error; NaN predictions are left out."""
+    """Pearson correlation (null if either side is constant) and mean squared error; NaN and null
+    predictions or targets are left out; a group without a row left has nulls; repeated rows count each."""
     usable = predictions.withColumn("predicted", F.nanvl(F.col("predicted").cast("double"), F.lit(None).cast("double")))
     return usable.groupBy(*(by or [*SCENARIO, "model"])).agg(
         pearson("actual", "predicted").alias("pearson"), mean_squared_error("actual", "predicted").alias("mse")
@@ -19,13 +20,14 @@ def metrics(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def ensemble(predictions: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean prediction of the members for each key; a member that is NaN or null is left out."""
+    """Mean prediction of the members for each key; a member that is NaN or null is left out, null if none is
+    left. Keys may be null; an empty table gives no rows."""
     member = F.nanvl(F.col("predicted").cast("double"), F.lit(None).cast("double"))
     return predictions.groupBy(*keys).agg(F.first("actual").alias("actual"), F.avg(member).alias("predicted")).withColumn("model", F.lit("ensemble"))
 
 
 def metric_distribution(scores: DataFrame, by: list[str], values: tuple[str, ...] = ("pearson", "mse")) -> DataFrame:
-    """Count, least, quartiles, most and mean of each metric."""
+    """Count, least, quartiles, most and mean of each metric; nulls are left out, a metric without values has no row."""
     long = scores.unpivot(by, list(values), "metric", "value").where("value IS NOT NULL")
     q = F.percentile("value", F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75))))
     return long.groupBy(*by, "metric").agg(F.count("*").alias("n"), F.min("value").alias("low"), q.alias("q"), F.max("value").alias("high"), F.avg("value").alias("mean")).select(
@@ -34,7 +36,8 @@ def metric_distribution(scores: DataFrame, by: list[str], values: tuple[str, ...
 
 
 def normalise_effects(effects: DataFrame, by: list[str]) -> DataFrame:
-    """Absolute effects as shares of their sum over the markers of a scenario and model; null if all are 0."""
+    """Absolute effects as shares of their sum over the markers of a scenario and model; null if all are 0. Null
+    effects stay null; other columns are passed on."""
     total = F.sum(F.abs("effect")).over(Window.partitionBy(*by))
     return effects.withColumn("effect", share(F.abs("effect"), total))
 

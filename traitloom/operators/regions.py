@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ def overlaps(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
     """Pairs of regions on one chromosome that share a base; the right side's columns get the prefix ``known_``.
 
     Both sides are cut into bins and joined on chromosome and bin; a pair that meets in several bins is kept in the
-    first bin that both have, so no distinct is needed. Regions with a null bound meet nothing.
+    first bin that both have, so no distinct is needed. Regions with a null bound or chromosome, or that end before they
+    start, meet nothing; repeated rows meet each; empty tables give no rows. ``left`` has no columns ``known_...``.
     """
     known = right.select(*(F.col(c).alias(f"known_{c}") for c in right.columns)).where("known_start <= known_end")
     a = left.where("start <= end").select("*", _bins(F.col("start"), F.col("end"), width).alias("_bin"))
@@ -28,18 +31,23 @@ def overlaps(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
 
 
 def novel(left: DataFrame, right: DataFrame, key: list[str], width: int = BIN) -> DataFrame:
-    """Rows of ``left`` that overlap no region of ``right``; ``key`` tells its rows apart."""
-    hit = overlaps(left.select(*key, "chromosome", "start", "end"), right.select("chromosome", "start", "end"), width).select(*key).distinct()
-    return left.join(hit, key, "left_anti")
+    """Rows of ``left`` that overlap no region of ``right``; ``key`` tells its rows apart (nulls are values): of rows with one
+    key all go if one overlaps. Rows with a null bound overlap nothing and stay; with an empty ``right`` all stay."""
+    hit = overlaps(left.select(*key, "chromosome", "start", "end"), right.select("chromosome", "start", "end"), width)
+    hit = hit.select(*(F.col(k).alias(f"_hit_{k}") for k in key)).distinct()
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_hit_{k}")) for k in key))
+    return left.join(hit, same, "left_anti")
 
 
 def out_of_bounds(regions: DataFrame, chromosomes: DataFrame) -> DataFrame:
-    """Regions that lie on no listed chromosome, or not wholly inside it."""
-    bounds = chromosomes.select("chromosome", F.col("start").alias("_low"), F.col("end").alias("_high"))
-    inside = (F.col("start") >= F.col("_low")) & (F.col("end") <= F.col("_high"))
-    return regions.join(bounds, "chromosome", "left").where(~F.coalesce(inside, F.lit(False))).drop("_low", "_high")
+    """Regions that lie on no listed chromosome, or not wholly inside a row of it. A null chromosome or bound lies nowhere;
+    repeated chromosomes are harmless, repeated regions stay; without chromosomes all are out of bounds."""
+    inside = (F.col("r.chromosome") == F.col("b.chromosome")) & (F.col("r.start") >= F.col("b.start")) & (F.col("r.end") <= F.col("b.end"))
+    return regions.alias("r").join(chromosomes.alias("b"), inside, "left_anti")
 
 
 def coloured(regions: DataFrame, palette: DataFrame, default: str = "grey") -> DataFrame:
-    """Regions with their class's colour, or the default."""
-    return regions.join(palette, "class", "left").withColumn("colour", F.coalesce("colour", F.lit(default)))
+    """Regions with their class's colour, or the default. Of a class listed twice the first colour in order counts; a null
+    class has the default; a column ``colour`` is replaced."""
+    known = palette.groupBy("class").agg(F.min("colour").alias("_colour"))
+    return regions.drop("colour").join(known, "class", "left").withColumn("colour", F.coalesce("_colour", F.lit(default))).drop("_colour")

@@ -63,7 +63,8 @@ def with_models(scenarios: DataFrame, study: Study) -> DataFrame:
 
 
 def complete(geno: DataFrame, pheno: DataFrame) -> DataFrame:
-    """Phenotype rows that have a target and no missing dosage."""
+    """Phenotype rows that have a target and no missing dosage; individuals without genotypes are left out. Repeated rows of
+    a phenotype stay, other columns of ``pheno`` are passed on."""
     missing = geno.groupBy("id", "population").agg(F.count_if(F.col("dosage").isNull()).alias("missing")).where("missing = 0")
     return pheno.where("y IS NOT NULL").join(missing.select("id", "population"), ["id", "population"])
 
@@ -97,7 +98,8 @@ def split(rows: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 
 def sample_rows(rows: DataFrame, count: int | None, by: list[str], seed: str = "explain") -> DataFrame:
-    """``count`` rows of each group in hashed order (all if there are fewer, or if count is None)."""
+    """``count`` rows of each group in hashed order (all if there are fewer, or if count is None). Repeated rows
+    count each; a null group is one."""
     if count is None:
         return rows
     return hashed_rank(rows, by, F.lit(seed), "id", to="_rank").where(F.col("_rank") <= count).drop("_rank")
