@@ -38,6 +38,8 @@ TASK_QUERIES = 262_144
 BLOCK = 1 << 17
 #: Bits in which the leading fingerprint of a candidate for the shingle comparison may differ (10 on average at 0.8).
 REACH = 22
+#: Bits of the table that tells the documents to compare from most others (8 MB).
+FILTER_BITS = 1 << 26
 #: Rows of a block that is compared on shingle sets, and rows of a larger class that its others meet first, about.
 MEMBERS, HUBS = 512, 8
 
@@ -259,16 +261,43 @@ def shingle_sets(docs: DataFrame, width: int, variants: int) -> DataFrame:
     return bounded_batches(docs).select("doc_id", prints("text").alias("_s")).select("doc_id", "_s.*")
 
 
+def _marked(nodes: DataFrame) -> np.ndarray:
+    """A table of ``FILTER_BITS`` bits in which those of the nodes' hashes are set, put together from a few slices."""
+    slices = 64
+    bits = nodes.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("bit"))
+    width = FILTER_BITS // slices
+
+    def pack(key, pdf):
+        held = np.zeros(width, np.uint8)
+        held[pdf["bit"].to_numpy() - key[0] * width] = 1
+        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(held, bitorder="little").tobytes()]})
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    part = F.floor(F.col("bit") / width).cast("long")
+    for r in bits.distinct().groupBy(part.alias("part")).applyInPandas(pack, "part long, bits binary").collect():
+        out[r.part * width // 8 : (r.part + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 def with_shingles(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``nodes`` (node, key and other columns) with the shingles ``s`` of the document that has this id and key."""
+    """``nodes`` (node, key and other columns) with the shingles ``s`` of the document that has this id and key.
 
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series, keys: pd.Series) -> pd.Series:  # takes the key too: so it runs after the join only
-        sets = (np.unique(shingle_hashes(t, width)) for t in texts)
-        return pd.Series([x.view(np.int64) if xxhash.xxh3_128_digest(x.tobytes()) == k else None for x, k in zip(sets, keys)], dtype=object)
+    A table of bits of fixed size, broadcast, tells most other documents before anything is shuffled, so texts stay where
+    they are and only sets travel.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(_marked(nodes))
 
-    held = bounded_batches(docs).select(F.col("doc_id").alias("node"), "text").join(nodes, "node")
-    return materialise(held.select(*nodes.columns, shingles("text", "key").alias("s")), "simhash-sets").where("s IS NOT NULL")
+    def shingles(batches):
+        for pdf in batches:
+            bit = pdf["bit"].to_numpy()
+            pdf = pdf[(held.value[bit >> 3] >> (bit & 7) & 1).astype(bool)]
+            sets = [np.unique(shingle_hashes(t, width)) for t in pdf["text"]]
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            yield pd.DataFrame({"node": pdf["node"].to_numpy(), "key": keys, "s": [x.view(np.int64) for x in sets]})
+
+    asked = bounded_batches(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"), "text")
+    found = asked.mapInPandas(shingles, "node long, key binary, s array<long>")
+    return materialise(found.join(nodes, ["node", "key"]).select(*nodes.columns, "s"), "simhash-sets")
 
 
 def confirmed(sets: DataFrame, least: float) -> DataFrame:
