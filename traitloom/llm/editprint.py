@@ -339,8 +339,10 @@ def next_edits(docs: DataFrame) -> DataFrame:
 
 def edits_and_alike(docs: DataFrame, least: float = LIKENESS, every: int = ASKED_EVERY) -> DataFrame:
     """``next_edits`` with ``n_alike`` of ``count_alike`` for the rows whose id ``every`` divides, null for the others."""
-    counts = materialise(count_alike(docs, least, every), "alike")
+    # a hash stands for the fingerprint, so that the counts are small
+    counts = materialise(count_alike(docs, least, every).select(F.xxhash64("fingerprint").alias("_key"), F.lit(True).alias("_asked"), "n_alike"), "alike")
     asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
     # rows that do not ask get keys of their own, so that they do not meet in one task
-    key = F.when(asked, F.col("fingerprint")).otherwise(F.coalesce(F.xxhash64("doc_id", "edited_sha256").cast("string"), F.lit("")))
-    return next_edits(docs).withColumn("_key", key).join(counts.withColumnRenamed("fingerprint", "_key"), "_key", "left").drop("_key")
+    key = F.when(F.col("_asked"), F.xxhash64("fingerprint")).otherwise(F.xxhash64("doc_id", "edited_sha256"))
+    edits = next_edits(docs).withColumn("_asked", asked).withColumn("_key", key)
+    return edits.join(counts, ["_key", "_asked"], "left").drop("_key", "_asked")
