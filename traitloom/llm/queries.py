@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import decontaminate, editprint, kdshards, langid, linededup, secretscan, sentencepiece, simhash, sitetext, toxicity
+from traitloom.llm import decontaminate, editprint, infill, kdshards, langid, linededup, resample, secretscan, sentencepiece, simhash, sitetext, toxicity
 from traitloom.llm.common import table
 
 
@@ -68,6 +68,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "_language.lang_pred", "_language.score")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = infill.restore(F.col("_infill.text"), F.col("_infill.form"))
+    return out.select(
+        "doc_id", "_infill.n", "_infill.form", "_infill.prefix_chars", "_infill.middle_chars",
+        F.sha2("_infill.text", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_edit_fingerprint": op1_edit_fingerprint,
     "op2_secret_scan": op2_secret_scan,
@@ -79,6 +92,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -123,4 +138,24 @@ ORACLE_SQL: dict[str, str] = {
                CAST(n_found AS DOUBLE) / n_shingles AS containment
         FROM met JOIN sizes ON item_id = id WHERE n_found >= 0.8 * n_shingles
     """,
+    "op11_fill_in_middle": r"""
+        WITH named AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t
+            FROM documents
+        ), drawn AS (
+            SELECT *, len(t) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(t) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(t) + 1) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50
+                        THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM named
+        ), cut AS (
+            SELECT doc_id, text, n, form, array_to_string(t[1 : least(a, b)], '') AS p, array_to_string(t[least(a, b) + 1 : greatest(a, b)], '') AS m,
+                   array_to_string(t[greatest(a, b) + 1 : n], '') AS s
+            FROM drawn
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM cut
+    """,
 }
