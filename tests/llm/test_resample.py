@@ -47,13 +47,23 @@ def corpus(count, seed):
     return rows, [" ".join(draw.choice(pool[:60]) for _ in range(30)) for _ in range(12)] + ["", None]
 
 
+@pytest.mark.parametrize("width", [1, 3])
+def test_features_do_not_depend_on_blocks(monkeypatch, width):
+    texts = [t for _, t in corpus(60, 4)[0] if not t or len(t) < 5000]
+    monkeypatch.setattr(resample, "BLOCK", 25)
+    for text in texts:
+        words, expected = found(text, width)
+        told = list(resample.features(text, width, 997))
+        assert sum(n for n, _ in told) == len(words)
+        assert sorted(b for _, at in told for b in at.tolist()) == sorted(zlib.crc32(f.encode()) % 997 for f in expected)
+
+
 def frames(spark, rows, target):
     return spark.createDataFrame([(d, t, "r", "s") for d, t in rows], SCHEMA).repartition(5), spark.createDataFrame([(t,) for t in target], "text string")
 
 
 @pytest.mark.parametrize("width,share,least,steps", [(1, 10, 20, 2), (1, 100, 0, 2), (2, 37, 20, 0), (3, 50, 1, 2)])
 def test_draw_against_brute_force(spark, monkeypatch, width, share, least, steps):
-    monkeypatch.setattr(resample, "BLOCK", 500)
     monkeypatch.setattr(resample.cutoff, "__defaults__", (50, steps))  # a coarse sketch, and a bracket that must widen
     rows, target = corpus(400, 1)
     docs, wanted = frames(spark, rows, target)

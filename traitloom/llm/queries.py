@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import decontaminate, editprint, infill, kdshards, langid, linededup, resample, secretscan, sentencepiece, simhash, sitetext, toxicity
+from traitloom.llm import chattree, decontaminate, editprint, infill, kdshards, langid, linededup, resample, secretscan, sentencepiece, simhash, sitetext, toxicity
 from traitloom.llm.common import table
 
 
@@ -81,6 +81,15 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    vocabulary = chattree.read_vocabulary()
+    members, stream = chattree.format_conversations(convs, vocabulary)
+    return members.join(chattree.read_back(stream, vocabulary), "at").drop("at")
+
+
 QUERIES = {
     "op1_edit_fingerprint": op1_edit_fingerprint,
     "op2_secret_scan": op2_secret_scan,
@@ -94,6 +103,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_chat_tree": op13_chat_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -158,4 +168,17 @@ ORACLE_SQL: dict[str, str] = {
                sha256(text) AS restored_sha256
         FROM cut
     """,
+    "op13_chat_tree": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), escaped AS (
+            SELECT *, regexp_replace(regexp_replace(text, '(</?\\*)(s>)', '\1\\\2', 'g'), '(\[/?\\*)(INST\])', '\1\\\2', 'g') AS e FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(role) + length(e) + length('<s>[INST][/INST]</s>')) AS BIGINT) AS formatted_chars
+        FROM escaped GROUP BY conv_id
+    """,
 }
