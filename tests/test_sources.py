@@ -1,3 +1,5 @@
+import numpy as np
+
 from traitloom import sources
 
 
@@ -8,6 +10,46 @@ def test_wide_table(spark, tmp_path):
     assert [(r.id, r.population, r.phenotype, r.y) for r in pheno.orderBy("id").collect()] == [("a", "P0", "trait A", 1.5), ("b", "P1", "trait A", None)]
 
 
+def test_odd_lines_of_a_wide_table(spark, tmp_path):
+    """Quotes, dirty cells, short and long lines, repeated headers, several files, and no lines at all."""
+    head = 'ID,Population,"m,1",m2,m2,T\n'
+    (tmp_path / "a.csv").write_text("\ufeff" + head + '"a ""b""",P0, 1 ,2,NaN,x\n\nshort,P0,1\nlong,P1,0,1,2,3.5,9,9\n' + "\ufeff" + head)
+    geno, pheno = sources.read_wide(spark, str(tmp_path / "a.csv"), 1)
+    assert sorted((r.id, r.marker, r.pos, r.dosage) for r in geno.collect()) == [
+        ('a "b"', "m,1", 0, 1.0), ('a "b"', "m2", 1, 2.0), ('a "b"', "m2", 2, None),
+        ("long", "m,1", 0, 0.0), ("long", "m2", 1, 1.0), ("long", "m2", 2, 2.0),
+        ("short", "m,1", 0, 1.0), ("short", "m2", 1, None), ("short", "m2", 2, None),
+    ]
+    assert sorted((r.id, r.population, r.phenotype, r.y) for r in pheno.collect()) == [('a "b"', "P0", "T", None), ("long", "P1", "T", 3.5), ("short", "P0", "T", None)]
+    many = tmp_path / "many"
+    many.mkdir()
+    for n in range(3):
+        (many / f"{n}.csv").write_text(f"ID,Population,m1,T\n{n},P0,{n},1\n,,2,\n")
+    geno, _ = sources.read_wide(spark, str(many), 1)
+    assert sorted(((r.id, r.dosage) for r in geno.collect()), key=str) == sorted([("0", 0.0), ("1", 1.0), ("2", 2.0), *[(None, 2.0)] * 3], key=str)
+    (tmp_path / "empty.csv").write_text("ID,Population,m1,T\n")
+    assert [x.count() for x in sources.read_wide(spark, str(tmp_path / "empty.csv"), 1)] == [0, 0]
+
+
+def test_a_hundred_thousand_markers_under_one_plan(spark, tmp_path):
+    """The plan does not grow with the columns, and the vectors come out whole."""
+    plans = []
+    for p in (10, 100_000):
+        x = np.random.default_rng(p).integers(0, 3, (6, p))
+        path = tmp_path / f"g{p % 7}.csv"
+        with path.open("w") as f:
+            f.write("ID,Population," + ",".join(f"m{k}" for k in range(p)) + ",T\n")
+            f.writelines(f"i{n},P0," + ",".join(map(str, row)) + f",{n}\n" for n, row in enumerate(x))
+        table = sources.WideTable(spark, str(path), 1)
+        plans.append(len(table.genotypes()._jdf.queryExecution().toString()))
+        rows = sorted(table.vectors().collect())
+        assert [r.id for r in rows] == [f"i{n}" for n in range(6)] and (np.array([r.x for r in rows]) == x).all()
+        cells = table.genotypes().groupBy("id").agg({"dosage": "sum", "pos": "max", "marker": "max"}).collect()
+        assert {r.id: (r["sum(dosage)"], r["max(pos)"]) for r in cells} == {f"i{n}": (x[n].sum(), p - 1) for n in range(6)}
+        assert [r.y for r in table.phenotypes().orderBy("id").collect()] == [0, 1, 2, 3, 4, 5]
+    assert abs(plans[0] - plans[1]) < 20
+
+
 def test_regions_and_chromosomes(spark, tmp_path):
     (tmp_path / "chrom.bed").write_text("Chromosome\tStart\tEnd\nchr1\t0\t100\nchr2\t0\t50 ")
     (tmp_path / "chrom_W1.bed").write_text("Chromosome\t0\tLocation\nchr1\t0\t90 \n")

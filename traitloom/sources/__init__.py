@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.functions import number
+from traitloom.sources.wide import WideTable
 
 MARKERS = "name string, chromosome int, start long, middle long, end long"
 CHROMOSOMES = "chromosome string, start long, end long"
@@ -13,22 +13,10 @@ REGIONS = "chromosome string, start long, end long, name string, class string"
 
 
 def read_wide(spark: SparkSession, path: str, phenotypes: int) -> tuple[DataFrame, DataFrame]:
-    """Genotypes and phenotypes of a CSV table with one column a marker.
-
-    Columns by place: id, population, markers, and ``phenotypes`` traits at the end. Returns ``geno`` (id, population,
-    marker, pos, dosage) and ``pheno`` (id, population, phenotype, y), long. A cell that is no number is null.
-    """
-    wide = spark.read.option("header", True).csv(path)
-    names = wide.columns
-    wide = wide.toDF("id", "population", *names[2:])
-    cut = len(names) - phenotypes
-    quoted = lambda n: F.col(f"`{n}`")
-
-    def long(columns, key, value):
-        cells = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(k).alias("pos"), number(quoted(n)).alias("v")) for k, n in enumerate(columns)))
-        return wide.select("id", "population", F.explode(cells).alias("c")).select("id", "population", F.col("c.n").alias(key), "c.pos", F.col("c.v").alias(value))
-
-    return long(names[2:cut], "marker", "dosage"), long(names[cut:], "phenotype", "y").drop("pos")
+    """Genotypes (id, population, marker, pos, dosage) and phenotypes (id, population, phenotype, y) of a CSV table with one
+    column a marker, long; see ``WideTable``."""
+    table = WideTable(spark, path, phenotypes)
+    return table.genotypes(), table.phenotypes()
 
 
 def read_markers(spark: SparkSession, path: str) -> DataFrame:
