@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +47,14 @@ def relu(x: Column) -> Column:
 
 def elu(x: Column) -> Column:
     return F.when(x > 0, x).otherwise(F.expm1(x))
+
+
+def whole(x: str) -> Column:
+    """Whether an array column is there and holds no null."""
+    return F.col(x).isNotNull() & ~F.exists(x, lambda v: v.isNull())
+
+
+def stacked(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors of an Arrow batch are whole (see ``whole``), and those as a matrix."""
+    there = np.array([v is not None and not np.isnan(np.asarray(v, np.float64)).any() for v in vectors], bool)
+    return there, np.stack(vectors[there].to_numpy()).astype(np.float64) if there.any() else np.zeros((0, 0))

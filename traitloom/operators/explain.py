@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.functions import elu
+from traitloom.functions import elu, stacked, whole
 
 
 def linear_shapley(geno: DataFrame, effects: DataFrame, by: list[str]) -> DataFrame:
@@ -31,11 +31,11 @@ def sampled_shapley(rows: DataFrame, background: DataFrame, forward: Callable[[n
     row and permutation (the markers in the order of a hash of marker and permutation) the markers are switched over one
     after another, each instance from the one before, and the change of the score is the marker's value; all are
     averaged. ``forward`` scores a matrix of instances, given the row's ``by`` values. Groups without background rows give
-    nothing; repeated rows share their values; null x is left out.
+    nothing; repeated rows share their values; a null in or for x is left out.
     """
     orders = [np.array(sorted(range(width), key=lambda pos: hashlib.md5(f"{pos}:{k}".encode()).digest())) for k in range(permutations)]
-    z = background.where("x IS NOT NULL").select(*by, F.col("x").alias("z"))
-    asked = rows.where("x IS NOT NULL").select(*by, "id", "x")
+    z = background.where(whole("x")).select(*by, F.col("x").alias("z"))
+    asked = rows.where(whole("x")).select(*by, "id", "x")
     met = asked.join(z, by) if by else asked.withColumn("_", F.lit(0)).join(z.withColumn("_", F.lit(0)), "_").drop("_")
 
     def values(x, z, key):
@@ -65,26 +65,31 @@ def sampled_shapley(rows: DataFrame, background: DataFrame, forward: Callable[[n
 
 
 def integrated_gradients(rows: DataFrame, gradient: Callable[[str], Column], baseline: Column, steps: int, by: list[str]) -> DataFrame:
-    """(by, id, pos, phi): (x - baseline) times the mean gradient at the middles of ``steps`` parts of the way."""
-    way = rows.select(*by, "id", "x", baseline.alias("x0")).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    """(by, id, pos, phi): (x - baseline) times the mean gradient at the middles of ``steps`` parts of the way. A null in or for
+    x is left out; rows that share by and id share their values; other columns are left out."""
+    way = rows.where(whole("x")).select(*by, "id", "x", baseline.alias("x0")).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     at = way.withColumn("at", F.zip_with("x", "x0", lambda a, b: b + (a - b) * (F.col("step") - 0.5) / steps))
     cells = at.select(*by, "id", F.posexplode(F.zip_with(gradient("at"), F.zip_with("x", "x0", lambda a, b: a - b), lambda g, d: g * d)).alias("pos", "part"))
     return cells.groupBy(*by, "id", "pos").agg(F.avg("part").alias("phi"))
 
 
 def network_gradient(w1: np.ndarray, b1: np.ndarray, w2: np.ndarray) -> Callable[[str], Column]:
-    """Gradient of w2 . relu(w1 x + b1) with respect to x, as an array."""
+    """Gradient of w2 . relu(w1 x + b1) with respect to x, as an array; null where x is not whole."""
 
     @F.pandas_udf("array<double>")
     def gradient(rows: pd.Series) -> pd.Series:
-        x = np.stack(rows.to_numpy()).astype(np.float64)
-        return pd.Series(list(((x @ w1.T + b1 > 0) * w2) @ w1))
+        out = pd.Series([None] * len(rows), dtype=object)
+        there, x = stacked(rows)
+        for at, g in zip(np.flatnonzero(there), ((x @ w1.T + b1 > 0) * w2) @ w1 if there.any() else []):
+            out.iat[at] = g
+        return out
 
     return lambda x: gradient(x)
 
 
 def attention_scores(edges: DataFrame, slope: float = 0.2) -> DataFrame:
-    """``edges`` with ``score``: the leaky rectifier of the sum of what source and target bring (``from_src``, ``from_dst``)."""
+    """``edges`` with ``score``: the leaky rectifier of the sum of what source and target bring (``from_src``, ``from_dst``). Null
+    where either is; other columns are passed on (``score`` is replaced)."""
     raw = F.col("from_src") + F.col("from_dst")
     return edges.withColumn("score", F.when(raw > 0, raw).otherwise(slope * raw))
 
@@ -97,7 +102,8 @@ def decoded(nodes: DataFrame, bias: float = 0.0) -> DataFrame:
 def attention_sum(edges: DataFrame, skip: DataFrame) -> DataFrame:
     """(dst, h): for each relation the softmax-weighted sum of its messages into ``dst``, added up, plus the node's skip.
 
-    ``edges``: relation, src, dst, score, message; ``skip``: dst, skip. Nodes without edges keep their skip.
+    ``edges``: relation, src, dst, score, message; ``skip``: dst, skip. Nodes without edges keep their skip, edges into nodes
+    that ``skip`` lacks are left out; repeated edges count each, edges without a score or message nothing.
     """
     top = edges.groupBy("relation", "dst").agg(F.max("score").alias("_top"))
     weight = F.exp(F.col("score") - F.col("_top"))

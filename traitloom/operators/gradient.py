@@ -1,8 +1,8 @@
 """Models fitted by passes that Spark sums, all scenarios at once: support vector regression and a small neural network.
 
-``rows`` hold scenario_id, x (array) and y, and whatever else; rows with a null y or x are no rows of a fit, repeated rows
-count each. A fit is a dictionary of models by scenario; a scenario without rows has none. Models score in Arrow batches,
-so their weights never enter a plan.
+``rows`` hold scenario_id, x (array) and y, and whatever else; rows with a null y, or with a null in or for x, are no rows of a
+fit, repeated rows count each; a null in or for x is scored null. A fit is a dictionary of models by scenario; a scenario
+without rows has none. Models score in Arrow batches, so their weights never enter a plan.
 """
 
 from __future__ import annotations
@@ -15,17 +15,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.functions import hashed_order
+from traitloom.functions import hashed_order, stacked, whole
 
 
 def scorer(forward: Callable[[np.ndarray], np.ndarray]) -> Callable[[str], Column]:
-    """A model's forward pass over an array column."""
+    """A model's forward pass over an array column; null where the array is not whole."""
 
     @F.pandas_udf("double")
     def scored(rows: pd.Series) -> pd.Series:
-        return pd.Series(forward(np.stack(rows.to_numpy()).astype(np.float64)))
+        there, x = stacked(rows)
+        out = np.full(len(rows), np.nan)
+        if there.any():
+            out[there] = forward(x)
+        return pd.Series(out)
 
-    return lambda x: scored(x)
+    return lambda x: F.nanvl(scored(x), F.lit(None).cast("double"))
 
 
 def predict(rows: DataFrame, models: dict, x: str = "x") -> DataFrame:
@@ -37,15 +41,17 @@ def predict(rows: DataFrame, models: dict, x: str = "x") -> DataFrame:
         out = np.full(len(scenario), np.nan)
         for name in scenario.unique():
             if name in held.value:
-                here = (scenario == name).to_numpy()
-                out[here] = held.value[name].forward(np.stack(vectors[here].to_numpy()).astype(np.float64))
+                here = np.flatnonzero(scenario == name)
+                there, x_ = stacked(vectors.iloc[here])
+                if there.any():
+                    out[here[there]] = held.value[name].forward(x_)
         return pd.Series(out)
 
     return rows.withColumn("predicted", F.nanvl(scored("scenario_id", x), F.lit(None).cast("double")))
 
 
 def _usable(rows: DataFrame) -> DataFrame:
-    return rows.where("x IS NOT NULL AND y IS NOT NULL").select("scenario_id", "x", "y")
+    return rows.where(whole("x") & F.col("y").isNotNull()).select("scenario_id", "x", "y")
 
 
 def _summed(rows: DataFrame, measure: Callable, states: dict) -> dict[str, np.ndarray]:
@@ -208,7 +214,7 @@ def fit_network(rows: DataFrame, width: int, hidden: int = 30, dropout: float =
     Scenarios are dealt to hash buckets of about ``BUCKET_ROWS``. One bucket runs all its epochs in one job; several start
     each epoch from their mean, weighted by their rows. ``rows`` also hold id; rows order by a hash of id and epoch.
     """
-    rows = rows.where("x IS NOT NULL AND y IS NOT NULL").select("scenario_id", "id", "x", "y")
+    rows = rows.where(whole("x") & F.col("y").isNotNull()).select("scenario_id", "id", "x", "y")
     sizes = {r.scenario_id: (r.n, r.y) for r in rows.groupBy("scenario_id").agg(F.count("*").alias("n"), F.avg("y").alias("y")).collect()}
     if not sizes:
         return {}

@@ -1,4 +1,8 @@
-"""Gaussian-kernel regression and random features."""
+"""Gaussian-kernel regression: exact, in blocks of individuals or in one task, and by random features.
+
+``rows`` hold scenario_id, id, fold, x (array) and y, and whatever else. Rows with a null y, or with a null in or for x, are no
+rows of a fit; a null in or for x gives a null prediction. Empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traitloom.functions import stacked, whole
 from traitloom.operators.linear import fit as linear_fit
 from traitloom.operators.linear import marginal_penalty, sufficient_statistics
+from traitloom.session import materialise
 
 FIT = "scenario_id string, id long, alpha double, intercept double, penalty double"
 
@@ -20,7 +26,8 @@ def kernel_blup(kernel: DataFrame, train: DataFrame) -> DataFrame:
 
     ``kernel``: scenario_id, i, j (i <= j), k over training individuals; ``train``: scenario_id, id, y. A scenario's
     kernel has n * n cells and is solved in one task, so this is for scenarios of some thousand individuals; for larger
-    ones use ``random_features`` and a ridge. The penalty is that of greatest restricted likelihood.
+    ones use ``blup_in_blocks``. The penalty is that of greatest restricted likelihood. Rows of ``kernel`` with an
+    individual that ``train`` lacks must be left out before; both tables hold an individual once and no nulls.
     """
     own = kernel.join(train.select("scenario_id", F.col("id").alias("i"), F.col("y")), ["scenario_id", "i"])
 
@@ -60,27 +67,33 @@ class RandomFeatures:
 
 
 def random_features(x: str, width: int, count: int, gamma: float, seed: int = 1) -> Column:
-    """The features of an array column without nulls, as an array."""
+    """The features of an array column, as an array; null where it is not whole."""
     of = RandomFeatures(width, count, gamma, seed)
 
     @F.pandas_udf("array<double>")
     def features(rows: pd.Series) -> pd.Series:
-        return pd.Series(list(of(np.stack(rows.to_numpy()))))
+        out = pd.Series([None] * len(rows), dtype=object)
+        there, vectors = stacked(rows)
+        for at, f in zip(np.flatnonzero(there), of(vectors) if there.any() else []):
+            out.iat[at] = f
+        return out
 
     return features(x)
 
 
 def with_features(rows: DataFrame, maps: dict[str, RandomFeatures]) -> DataFrame:
-    """``rows`` with x replaced by its scenario's features."""
+    """``rows`` with x replaced by its scenario's features; null where x is not whole or the scenario has no map."""
     held = rows.sparkSession.sparkContext.broadcast(maps)
 
     @F.pandas_udf("array<double>")
     def features(scenario: pd.Series, vectors: pd.Series) -> pd.Series:
-        out = pd.Series(index=scenario.index, dtype=object)
+        out = pd.Series([None] * len(scenario), dtype=object)
         for name in scenario.unique():
-            here = scenario.index[scenario == name]
-            for at, f in zip(here, held.value[name](np.stack(vectors[here].to_numpy()))):
-                out[at] = f
+            here = np.flatnonzero(scenario == name)
+            there, x = stacked(vectors.iloc[here])
+            if there.any() and name in held.value:
+                for at, f in zip(here[there], held.value[name](x)):
+                    out.iat[at] = f
         return out
 
     return rows.withColumn("x", features("scenario_id", "x"))
@@ -106,3 +119,145 @@ def fit_kernel_ridge(rows: DataFrame, maps: dict[str, RandomFeatures]) -> dict[s
         name: KernelRidge(maps[name], part.sort_values("pos")["effect"].to_numpy(), float(part["intercept"].iloc[0]))
         for name, part in fits.groupby("scenario_id")
     }
+
+
+# ---------------------------------------------------------------- exact, in blocks of individuals
+
+#: Individuals of a block, on average.
+INDIVIDUALS = 256
+PAIR = "scenario_id string, a int, b int, k binary"
+
+
+def _dealt(rows: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """``rows`` with the block of each individual, by a hash of its id, and the number of blocks of its scenario."""
+    told = rows.sparkSession.createDataFrame([(k, -(-n // INDIVIDUALS)) for k, n in counts.items()], "scenario_id string, _blocks int")
+    met = rows.join(F.broadcast(told), "scenario_id")  # a row a scenario
+    return met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+
+
+def _gaussian(x: np.ndarray, z: np.ndarray, gamma: float) -> np.ndarray:
+    d = (x * x).sum(1)[:, None] + (z * z).sum(1)[None, :] - 2 * x @ z.T
+    return np.exp(-gamma * np.maximum(d, 0))
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    return rows.where((F.col("fold") == "train") & whole("x") & F.col("y").isNotNull()).select("scenario_id", "id", "x", "y")
+
+
+def kernel_blocks(rows: DataFrame, gammas: dict[str, float], counts: dict[str, int]) -> DataFrame:
+    """``PAIR``: exp(-gamma d) of every two blocks (a <= b) of training individuals of a scenario, a row a pair. The rows of a
+    block are in the order of id, then y."""
+    dealt = _dealt(_usable(rows), counts)
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.select("scenario_id", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "y", "x")
+
+    def compare(key, pdf):
+        pdf = pdf.sort_values(["id", "y"], kind="stable")
+        first, second = (pdf["block"] == key[1]).to_numpy(), (pdf["block"] == key[2]).to_numpy()
+        if not first.any() or not second.any():
+            return pd.DataFrame(columns=["scenario_id", "a", "b", "k"])
+        x = np.stack(pdf["x"].to_numpy())
+        return pd.DataFrame([(*key, _gaussian(x[first], x[second], gammas[key[0]]).tobytes())], columns=["scenario_id", "a", "b", "k"])
+
+    return met.groupBy("scenario_id", "a", "b").applyInPandas(compare, PAIR)
+
+
+def _times(kernel: DataFrame, vectors: dict[str, dict[int, np.ndarray]]) -> dict[str, dict[int, np.ndarray]]:
+    """The kernel times a vector of each scenario, both by blocks. Tasks add up what their pairs give each block."""
+    held = kernel.sparkSession.sparkContext.broadcast(vectors)
+
+    def partial(batches):
+        out: dict = {}
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                here = held.value.get(row.scenario_id)
+                if here is None:
+                    continue
+                k = np.frombuffer(row.k).reshape(len(here[row.a]), len(here[row.b]))
+                for at, part in ((row.a, k @ here[row.b]), *([(row.b, k.T @ here[row.a])] if row.a != row.b else [])):
+                    out[row.scenario_id, at] = out.get((row.scenario_id, at), 0) + part
+        yield pd.DataFrame([(*key, v.tobytes()) for key, v in out.items()], columns=["scenario_id", "block", "v"])
+
+    def add(key, pdf):
+        return pd.DataFrame([(*key, sum(np.frombuffer(v) for v in pdf["v"]).tobytes())], columns=["scenario_id", "block", "v"])
+
+    kind = "scenario_id string, block int, v binary"
+    out: dict[str, dict[int, np.ndarray]] = {k: {} for k in vectors}
+    for row in kernel.mapInPandas(partial, kind).groupBy("scenario_id", "block").applyInPandas(add, kind).collect():
+        out[row.scenario_id][row.block] = np.frombuffer(row.v)
+    held.unpersist()
+    return out
+
+
+def blup_in_blocks(rows: DataFrame, gammas: dict[str, float], penalties: dict[str, float] | None = None, close: float = 1e-10, passes: int = 1000) -> DataFrame:
+    """Weights of the training individuals (``FIT``): (K + penalty) alpha = y - mean by conjugate gradients, K = exp(-gamma d).
+
+    The kernel is computed once in blocks of individuals against blocks and written, half of n * n numbers; each pass reads it
+    where it lies and the driver holds some numbers an individual. No task holds more than two blocks. Without given
+    penalties a scenario's is that of greatest restricted likelihood under 256 random features of the same kernel. Rows that
+    share an id are individuals alike, whose weights stand in a row each.
+    """
+    spark, train = rows.sparkSession, _usable(rows)
+    counts = {r.scenario_id: r.n for r in train.groupBy("scenario_id").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return spark.createDataFrame([], FIT)
+    if penalties is None:
+        width = {r.scenario_id: r.p for r in train.groupBy("scenario_id").agg(F.max(F.size("x")).alias("p")).collect()}
+        maps = {k: RandomFeatures(width[k], 256, gammas[k]) for k in counts}
+        fits = linear_fit(sufficient_statistics(with_features(rows, maps)), "RKHS")
+        penalties = {r.scenario_id: r.penalty for r in fits.select("scenario_id", "penalty").distinct().collect()}
+    people = _dealt(train.drop("x"), counts).select("scenario_id", "block", "id", "y").toPandas().sort_values(["scenario_id", "block", "id", "y"], kind="stable")
+    kernel = materialise(kernel_blocks(rows, gammas, counts), "kernel")
+    split = {k: {b: q["y"].to_numpy() for b, q in p.groupby("block")} for k, p in people.groupby("scenario_id")}
+    mean = {k: float(np.concatenate(list(v.values())).mean()) for k, v in split.items()}
+    left = {k: {b: y - mean[k] for b, y in v.items()} for k, v in split.items()}
+    alpha = {k: {b: np.zeros(len(y)) for b, y in v.items()} for k, v in split.items()}
+    way = {k: {b: y.copy() for b, y in v.items()} for k, v in left.items()}
+    norm = lambda v: sum(float(x @ x) for x in v.values())
+    size = {k: norm(v) for k, v in left.items()}
+    least = {k: close * close * v for k, v in size.items()}
+    for _ in range(passes):
+        open_ = [k for k in size if size[k] > least[k]]
+        if not open_:
+            break
+        turned = _times(kernel, {k: way[k] for k in open_})
+        for k in open_:
+            step = {b: v + penalties[k] * way[k][b] for b, v in turned[k].items()}
+            share = size[k] / sum(float(way[k][b] @ step[b]) for b in step)
+            alpha[k] = {b: v + share * way[k][b] for b, v in alpha[k].items()}
+            left[k] = {b: v - share * step[b] for b, v in left[k].items()}
+            now = norm(left[k])
+            way[k] = {b: v + now / size[k] * way[k][b] for b, v in left[k].items()}
+            size[k] = now
+    people["alpha"] = np.concatenate([alpha[k][b] for k, b in people[["scenario_id", "block"]].drop_duplicates().itertuples(index=False)])
+    people["intercept"], people["penalty"] = people["scenario_id"].map(mean), people["scenario_id"].map(penalties)
+    return spark.createDataFrame(people[["scenario_id", "id", "alpha", "intercept", "penalty"]], FIT)
+
+
+def blup_predict(rows: DataFrame, weights: DataFrame, gammas: dict[str, float]) -> DataFrame:
+    """scenario_id, id, predicted of every row whose x is whole: its kernel with all training individuals, block against block,
+    none of which is written. Rows that share an id share their prediction."""
+    told = _usable(rows).dropDuplicates(["scenario_id", "id"])
+    sums = weights.groupBy("scenario_id", "id").agg(F.sum("alpha").alias("alpha"), F.max("intercept").alias("intercept"))
+    asked = rows.where(whole("x")).select("scenario_id", "id", "x").dropDuplicates(["scenario_id", "id"])
+    counts = {r.scenario_id: r.n for r in asked.groupBy("scenario_id").agg(F.count("*").alias("n")).collect()}
+    kind = "scenario_id string, id long, part double"
+    if not counts:
+        return rows.sparkSession.createDataFrame([], "scenario_id string, id long, predicted double")
+
+    def every(df: DataFrame, a: str, b: str, *more: str) -> DataFrame:
+        met = _dealt(df, counts).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        return met.select(*(F.col(c).alias(n) for c, n in (("scenario_id", "scenario_id"), (a, "a"), (b, "b"))), *(F.col(c).alias(c) for c in ("id", "x", *more)))
+
+    left, right = every(asked, "block", "other"), every(told.join(sums, ["scenario_id", "id"]), "other", "block", "alpha")
+
+    def score(key, mine, theirs):
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame(columns=["scenario_id", "id", "part"])
+        k = _gaussian(np.stack(mine["x"].to_numpy()), np.stack(theirs["x"].to_numpy()), gammas[key[0]])
+        return pd.DataFrame({"scenario_id": key[0], "id": mine["id"], "part": k @ theirs["alpha"].to_numpy()})
+
+    keys = ["scenario_id", "a", "b"]
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, kind)
+    base = sums.groupBy("scenario_id").agg(F.max("intercept").alias("intercept"))
+    return parts.groupBy("scenario_id", "id").agg(F.sum("part").alias("part")).join(base, "scenario_id").select("scenario_id", "id", (F.col("part") + F.col("intercept")).alias("predicted"))

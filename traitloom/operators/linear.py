@@ -2,7 +2,10 @@
 
 A row is the marker vector with the target and a 1 behind it, so its Gram matrix holds every statistic: the solvers below
 get one scenario's matrix, whose size is that of the markers, never of the individuals: some thousand markers a scenario
-fit a task (10,000 take 0.8 GB). Wider tables are for ``kernel.fit_kernel_ridge``, whose matrix is that of the features.
+fit a task (10,000 take 0.8 GB). Wider tables are for ``blocks``; ``ridge`` and ``spike_slab`` choose by shape.
+
+``rows`` hold scenario_id, id, fold, x (array) and y, and whatever else. Rows with a null y, or with a null in or for x, are no
+rows of a fit; repeated rows count each; a scenario without usable rows has no fit; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -12,14 +15,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traitloom.functions import whole
 from traitloom.operators.matrices import gram
 
+#: Markers of the largest matrix that one task solves.
+WIDE = 4096
 FIT = "scenario_id string, model string, pos int, effect double, inclusion double, intercept double, penalty double, noise double"
 
 
 def sufficient_statistics(rows: DataFrame) -> DataFrame:
-    """(scenario_id, i, j, v) over the training rows; ``rows`` has scenario_id, fold, x (array) and y."""
-    train = rows.where(F.col("fold") == "train")
+    """(scenario_id, i, j, v) over the usable training rows."""
+    train = rows.where((F.col("fold") == "train") & whole("x") & F.col("y").isNotNull())
     return gram(train.select("scenario_id", F.concat("x", F.array(F.col("y"), F.lit(1.0))).alias("x")), "scenario_id")
 
 
@@ -119,6 +125,35 @@ def fit(cells: DataFrame, model: str, solve=ridge_solution, **options) -> DataFr
     return cells.groupBy("scenario_id").applyInPandas(one, FIT)
 
 
+def wide_scenarios(rows: DataFrame, most: int = WIDE) -> list[str]:
+    """Scenarios with more markers than usable training rows, and those of over ``most`` markers."""
+    train = rows.where((F.col("fold") == "train") & whole("x") & F.col("y").isNotNull())
+    shape = train.groupBy("scenario_id").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("p"))
+    return [r.scenario_id for r in shape.where((F.col("p") > F.col("n")) | (F.col("p") > most)).collect()]
+
+
+def _by_shape(rows: DataFrame, model: str, solve, by_blocks, most: int, **sizes) -> DataFrame:
+    from traitloom.operators.blocks import Blocks
+
+    wide = wide_scenarios(rows, most)
+    tall = fit(sufficient_statistics(rows.where(~F.col("scenario_id").isin(wide))), model, solve)
+    return tall.unionByName(by_blocks(Blocks(rows.where(F.col("scenario_id").isin(wide)), **sizes), model)) if wide else tall
+
+
+def ridge(rows: DataFrame, model: str = "rrBLUP", most: int = WIDE) -> DataFrame:
+    """Ridge effects of every scenario: from its Gram matrix, or through the dual where there are more markers than rows."""
+    from traitloom.operators import blocks
+
+    return _by_shape(rows, model, ridge_solution, blocks.ridge, most)
+
+
+def spike_slab(rows: DataFrame, model: str = "BayesB", most: int = WIDE) -> DataFrame:
+    """Spike-and-slab effects of every scenario: from its Gram matrix, or by marker blocks."""
+    from traitloom.operators import blocks
+
+    return _by_shape(rows, model, spike_slab_solution, blocks.spike_slab, most, cells=blocks.LARGE)
+
+
 def predict(rows: DataFrame, fits: DataFrame) -> DataFrame:
     """Predictions of all rows, both folds; ``rows`` as for ``sufficient_statistics``, with any further columns.
 

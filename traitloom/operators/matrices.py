@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traitloom.functions import whole
+
 
 def standardise(geno: DataFrame, by: list[str]) -> DataFrame:
     """``z``: dosage minus its mean, over its standard deviation (n - 1) and the root of the number of markers; -1 for a
@@ -20,10 +22,16 @@ def standardise(geno: DataFrame, by: list[str]) -> DataFrame:
 def vectors(geno: DataFrame, value: str = "dosage", to: str = "x", keys: list[str] | None = None) -> DataFrame:
     """One row an individual, its values in marker order as an array. Of repeated markers of an individual the least value
     stays; nulls stay nulls; other columns are left out."""
-    pairs = F.array_sort(F.collect_list(F.struct("pos", F.col(value).cast("double").alias("v"))))
-    rows = geno.groupBy(*(keys or ["id", "population"])).agg(pairs.alias("_p"))
+    return vector_columns(geno, {to: value}, keys or ["id", "population"])
+
+
+def vector_columns(geno: DataFrame, columns: dict[str, str], keys: list[str]) -> DataFrame:
+    """As ``vectors``, several values at once: names of the arrays to names of the values, the first of which decides between
+    repeated markers."""
+    pairs = F.array_sort(F.collect_list(F.struct("pos", *(F.col(v).cast("double").alias(f"v{n}") for n, v in enumerate(columns.values())))))
     new = lambda cell, at: (at == 0) | (cell["pos"] != F.get("_p", at - 1)["pos"])
-    return rows.withColumn("_p", F.filter("_p", new)).withColumn(to, F.col("_p.v")).drop("_p")
+    rows = geno.groupBy(*keys).agg(pairs.alias("_p")).withColumn("_p", F.filter("_p", new))
+    return rows.select(*keys, *(F.col(f"_p.v{n}").alias(to) for n, to in enumerate(columns)))
 
 
 #: Cells of partial matrices that a task holds before it sends them on.
@@ -31,9 +39,10 @@ HELD_CELLS = 1 << 24
 
 
 def gram(rows: DataFrame, key: str, column: str = "x") -> DataFrame:
-    """(key, i, j, v), i <= j: the sum of x_i * x_j over the key's rows.
+    """(key, i, j, v), i <= j: the sum of x_i * x_j over the key's rows, whose vectors are of one length.
 
-    Each task adds its rows up in blocks and sends one number a cell, so what is shuffled does not grow with the rows.
+    Each task adds its rows up in blocks and sends one number a cell, so what is shuffled does not grow with the rows. Rows with
+    a null key, or a null in or for the vector, are left out; repeated rows count each; other columns are left out.
     """
 
     def partial(batches):
@@ -54,7 +63,7 @@ def gram(rows: DataFrame, key: str, column: str = "x") -> DataFrame:
         yield from flush()
 
     kind = rows.schema[key].dataType.simpleString()
-    cells = rows.select(key, column).mapInPandas(partial, f"{key} {kind}, i int, j int, v double")
+    cells = rows.where(F.col(key).isNotNull() & whole(column)).select(key, column).mapInPandas(partial, f"{key} {kind}, i int, j int, v double")
     return cells.groupBy(key, "i", "j").agg(F.sum("v").alias("v"))
 
 
@@ -65,10 +74,11 @@ BLOCK = 256
 def distances(geno: DataFrame, by: list[str]) -> DataFrame:
     """(by, i, j, d), i <= j: squared Euclidean distance of individuals over their markers.
 
-    All individuals of a group have the same markers. They are dealt to blocks, and every two blocks meet in one task as
-    matrices: an individual's vector travels once for each block, not its every dosage once for each other individual.
+    All individuals of a group have the same markers; those with a null dosage are left out, an id that two groups hold is an
+    individual of each. They are dealt to blocks, and every two blocks meet in one task as matrices: an individual's
+    vector travels once for each block, not its every dosage once for each other individual.
     """
-    rows = vectors(geno, keys=["id", *by])
+    rows = vectors(geno, keys=["id", *by]).where(whole("x"))
     most = geno.select("id", *by).distinct().groupBy(*by).count().agg(F.max("count")).first()[0] or 1
     blocks = -(-most // BLOCK)
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
@@ -90,7 +100,8 @@ def distances(geno: DataFrame, by: list[str]) -> DataFrame:
 
 
 def gaussian_kernel(pairs: DataFrame, by: list[str], h: float = 1.0) -> DataFrame:
-    """exp(-h d / mean(d)); the mean is over all n * n cells. With a mean of 0 all individuals are alike: k = 1."""
+    """``k``: exp(-h d / mean(d)) of ``distances``; the mean is over all n * n cells. With a mean of 0 all individuals are alike:
+    k = 1. Other columns are passed on (``k`` is replaced)."""
     total = pairs.groupBy(*by).agg(
         F.sum(F.when(F.col("i") < F.col("j"), 2 * F.col("d")).otherwise(0.0)).alias("all_"), F.count_if(F.col("i") == F.col("j")).alias("n")
     )
@@ -99,6 +110,6 @@ def gaussian_kernel(pairs: DataFrame, by: list[str], h: float = 1.0) -> DataFram
 
 
 def gamma_scale(geno: DataFrame, by: list[str]) -> DataFrame:
-    """Kernel width 1 / (markers * variance of all dosages)."""
+    """Kernel width 1 / (markers * variance of all dosages), null without variance; null dosages count nothing."""
     out = geno.groupBy(*by).agg(F.countDistinct("marker").alias("p"), F.var_pop("dosage").alias("v"))
     return out.select(*by, F.try_divide(F.lit(1.0), F.col("p") * F.col("v")).alias("gamma"))

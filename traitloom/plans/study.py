@@ -7,10 +7,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from traitloom.functions import whole
 from traitloom.operators import bands, explain, forest, gradient, kernel, linear, matrices, metrics, scenarios
 from traitloom.session import materialise
 
@@ -33,21 +36,45 @@ class Results:
 
 
 def training_rows(spark: SparkSession, geno: DataFrame, pheno: DataFrame, study: scenarios.Study) -> DataFrame:
-    """Scenario keys, id, fold, y, the marker vector x and the scaled one z of every usable individual."""
-    split = scenarios.split(scenarios.complete(geno, pheno), scenarios.grid(spark, study))
-    scaled = matrices.standardise(geno.where("dosage IS NOT NULL"), ["population"])
-    both = matrices.vectors(scaled, "dosage").join(matrices.vectors(scaled, "z", "z"), ["id", "population"])
-    return split.join(both, ["id", "population"])
+    """Scenario keys, id, fold, y, the marker vector x and the scaled one z of every usable individual.
+
+    Markers are scaled over the individuals that a scenario uses, in both folds: those with a target of its population and
+    phenotype. An individual's vectors are written once, with the list of its scenarios; a row a scenario is made of it
+    only where the table is read.
+    """
+    usable = scenarios.complete(geno, pheno)
+    kept = usable.select("id", "population", "phenotype").distinct()
+    scaled = matrices.standardise(geno.join(kept, ["id", "population"]), ["population", "phenotype"])
+    both = matrices.vector_columns(scaled, {"x": "dosage", "z": "z"}, ["id", "population", "phenotype"])
+    parts = F.collect_list(F.struct("scenario_id", "ratio", "sample", "fold")).alias("_in")
+    listed = scenarios.split(usable, scenarios.grid(spark, study)).groupBy("id", "population", "phenotype", "y").agg(parts)
+    people = materialise(listed.join(both, ["id", "population", "phenotype"]), "people")
+    return people.select("id", "population", "phenotype", "y", "x", "z", F.inline("_in"))
 
 
 def kernel_widths(rows: DataFrame) -> dict[str, tuple[int, float, float]]:
     """Markers of each scenario, and its two kernel widths: one over the mean squared distance of all its individuals, and
-    one over the markers times the variance of its training dosages. A width without variance is 1."""
-    cells = rows.select("scenario_id", "fold", F.posexplode("x").alias("pos", "v"))
-    per = cells.groupBy("scenario_id", "pos").agg(F.var_pop("v").alias("v")).groupBy("scenario_id").agg(F.sum("v").alias("v"), F.count("*").alias("p"))
-    train = cells.where("fold = 'train'").groupBy("scenario_id").agg(F.var_pop("v").alias("t"))
-    told = per.join(train, "scenario_id", "left").collect()
-    return {r.scenario_id: (r.p, 1 / (2 * r.v) if r.v else 1.0, 1 / (r.p * r.t) if r.t else 1.0) for r in told}
+    one over the markers times the variance of its training dosages. A width without variance is 1. Tasks send a few
+    numbers a marker."""
+
+    def partial(batches):
+        held: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(["scenario_id", "train"], sort=False):
+                x = np.stack(part["x"].to_numpy())
+                held[key] = held.get(key, 0) + np.stack([np.full(x.shape[1], len(x)), x.sum(0), (x * x).sum(0)])
+        for (name, train), (n, s, q) in held.items():
+            yield pd.DataFrame({"scenario_id": name, "train": train, "pos": np.arange(len(n), dtype=np.int32), "n": n, "s": s, "q": q})
+
+    whole_ = rows.where(whole("x")).select("scenario_id", (F.col("fold") == "train").alias("train"), "x")
+    cells = whole_.mapInPandas(partial, "scenario_id string, train boolean, pos int, n double, s double, q double")
+    own = lambda c: F.sum(F.when(F.col("train"), F.col(c)))
+    per = cells.groupBy("scenario_id", "pos").agg(*(F.sum(c).alias(c) for c in "nsq"), *(own(c).alias(f"t{c}") for c in "nsq"))
+    spread = lambda n, s, q: q / n - (s / n) * (s / n)
+    told = per.groupBy("scenario_id").agg(
+        F.count("*").alias("p"), F.sum(spread(*(F.col(c) for c in "nsq"))).alias("v"), spread(*(F.sum(f"t{c}") for c in "nsq")).alias("t")
+    )
+    return {r.scenario_id: (r.p, 1 / (2 * r.v) if r.v and r.v > 1e-12 else 1.0, 1 / (r.p * r.t) if r.t and r.t > 1e-12 else 1.0) for r in told.collect()}
 
 
 def _tagged(told: DataFrame, model: str) -> DataFrame:
@@ -101,7 +128,7 @@ def explained_effects(rows: DataFrame, models: dict, count: int | None, sizes: s
 def run(spark: SparkSession, geno: DataFrame, pheno: DataFrame, study: scenarios.Study) -> Results:
     """Predictions of every model and the ensemble, their metrics on test rows, effects of the ``explained`` models and the
     ensemble, and the forests' marker interactions. Individuals with a missing dosage or target are left out."""
-    rows = materialise(training_rows(spark, geno, pheno, study), "study-rows")
+    rows = training_rows(spark, geno, pheno, study)
     place = rows.select(*KEYS).distinct()
     names = geno.select("pos", "marker").distinct()
     sizes, parts, effects = study.sizes, [], []
@@ -111,10 +138,10 @@ def run(spark: SparkSession, geno: DataFrame, pheno: DataFrame, study: scenarios
         return found.join(names, "pos").join(place, "scenario_id").select(*KEYS, F.lit(model).alias("model"), "marker", "effect")
 
     scaled = rows.drop("x").withColumnRenamed("z", "x")
-    solvers = [(n, s) for n, s in (("rrBLUP", linear.ridge_solution), ("BayesB", linear.spike_slab_solution)) if n in study.models]
-    cells = materialise(linear.sufficient_statistics(scaled), "statistics") if solvers else None
-    for name, solve in solvers:
-        fits = materialise(linear.fit(cells, name, solve), f"fits-{name}")
+    for name, solve in (("rrBLUP", linear.ridge), ("BayesB", linear.spike_slab)):
+        if name not in study.models:
+            continue
+        fits = materialise(solve(scaled, name), f"fits-{name}")
         parts.append(linear.predict(scaled, fits).select(*PREDICTED))
         if name in study.explained:
             effects.append(located(fits, name))

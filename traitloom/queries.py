@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitloom.functions import mean_squared_error, relu
-from traitloom.operators import bands, explain, forest, gradient, kernel, linear, matrices, metrics, regions, scenarios
+from traitloom.operators import bands, blocks, explain, forest, gradient, kernel, linear, matrices, metrics, regions, scenarios
 from traitloom.plans import fixtures as fx
 from traitloom.plans import study as st
 from traitloom.plans.sql import with_parts
@@ -364,17 +364,27 @@ def ridge_two_marker(spark, sf):
 _FITTED = "SELECT DISTINCT scenario_id, true AS ok FROM split WHERE ratio = 0.8 AND sample = 1"
 
 
-@query(_FITTED, "split")
-def ridge_fit_certificate(spark, sf):
-    """The gradient of the penalised fit, recomputed from the individuals, is 0."""
-    rows = _rows(spark, sf).cache()
-    fits = linear.fit(linear.sufficient_statistics(rows), "rrBLUP").cache()
+def _flat_gradient(spark, sf, rows, fits):
     left = linear.predict(rows, fits).where("fold = 'train'").select("scenario_id", "id", (F.col("actual") - F.col("predicted")).alias("e"))
     slope = left.join(fx.geno(spark, sf).select("id", "pos", "dosage"), "id").groupBy("scenario_id", "pos").agg(F.sum(F.col("dosage") * F.col("e")).alias("g"))
     gap = F.abs(F.col("g") - F.col("penalty") * F.col("effect"))
     return slope.join(fits, ["scenario_id", "pos"]).groupBy("scenario_id").agg((F.max(gap) < 1e-6 * (1 + F.max(F.abs("g")))).alias("ok"))
 
 
+@query(_FITTED, "split")
+def ridge_fit_certificate(spark, sf):
+    """The gradient of the penalised fit, recomputed from the individuals, is 0."""
+    rows = _rows(spark, sf).cache()
+    return _flat_gradient(spark, sf, rows, linear.fit(linear.sufficient_statistics(rows), "rrBLUP").cache())
+
+
+@query(_FITTED, "split")
+def ridge_dual_certificate(spark, sf):
+    """The same of the dual form, from blocks of 24 markers."""
+    rows = materialise(_rows(spark, sf), "study-rows")
+    return _flat_gradient(spark, sf, rows, blocks.ridge(blocks.Blocks(rows, 24)))
+
+
 _B = "((pos * 37) % 11 - 5) / 10.0::DOUBLE"
 
 
@@ -387,12 +397,7 @@ def ridge_predict(spark, sf):
     return linear.predict(rows, fits).select("scenario_id", "id", (F.round("predicted", 6) + 0).alias("predicted"))
 
 
-@query(_FITTED, "split")
-def spike_slab_fit_certificate(spark, sf):
-    """One more update of any marker changes nothing."""
-    cells = linear.sufficient_statistics(_rows(spark, sf)).cache()
-    fits = linear.fit(cells, "BayesB", linear.spike_slab_solution)
-
+def _fixed_point(cells, fits):
     def check(key, g, f):
         import numpy as np
         import pandas as pd
@@ -409,20 +414,52 @@ def spike_slab_fit_certificate(spark, sf):
 
 
 @query(_FITTED, "split")
-def kernel_blup_certificate(spark, sf):
-    """(K + penalty) alpha = y - mean holds in every row, by joins."""
-    geno, split = fx.geno(spark, sf), _split(spark, sf, FITTED).cache()
-    train = split.where("fold = 'train'")
-    pairs = matrices.gaussian_kernel(matrices.distances(geno, ["population"]), ["population"])
-    ids = train.select("scenario_id", "population", "id")
-    own = pairs.join(ids.withColumnRenamed("id", "i"), ["population", "i"]).join(ids.select("scenario_id", F.col("id").alias("j")), ["scenario_id", "j"]).select("scenario_id", "i", "j", "k").cache()
-    weights = kernel.kernel_blup(own, train.select("scenario_id", "id", "y")).cache()
+def spike_slab_fit_certificate(spark, sf):
+    """One more update of any marker changes nothing."""
+    cells = linear.sufficient_statistics(_rows(spark, sf)).cache()
+    return _fixed_point(cells, linear.fit(cells, "BayesB", linear.spike_slab_solution))
+
+
+@query(_FITTED, "split")
+def spike_slab_blocks_certificate(spark, sf):
+    """The same of the fit by marker blocks and residuals, without the matrix (tests deal the markers to several blocks)."""
+    rows = materialise(_rows(spark, sf), "study-rows")
+    return _fixed_point(linear.sufficient_statistics(rows), blocks.spike_slab(blocks.Blocks(rows, cells=blocks.LARGE)))
+
+
+def _kernel_pairs(spark, sf, split):
+    """Training pairs of every scenario, i <= j, with their kernel, by joins."""
+    pairs = matrices.gaussian_kernel(matrices.distances(fx.geno(spark, sf), ["population"]), ["population"])
+    ids = split.where("fold = 'train'").select("scenario_id", "population", "id")
+    own = pairs.join(ids.withColumnRenamed("id", "i"), ["population", "i"]).join(ids.select("scenario_id", F.col("id").alias("j")), ["scenario_id", "j"])
+    return materialise(own.select("scenario_id", "i", "j", "k"), "pairs")
+
+
+def _solved(own, weights, train):
     both = own.select("scenario_id", F.col("i").alias("id"), F.col("j").alias("train_id"), "k").unionByName(own.where("i < j").select("scenario_id", F.col("j").alias("id"), F.col("i").alias("train_id"), "k"))
-    told = both.join(weights.select("scenario_id", F.col("id").alias("train_id"), "alpha", "intercept"), ["scenario_id", "train_id"]).groupBy("scenario_id", "id").agg((F.sum(F.col("k") * F.col("alpha")) + F.max("intercept")).alias("predicted"))
+    told = kernel.kernel_predict(both, weights)
     gap = F.abs(F.col("predicted") + F.col("penalty") * F.col("alpha") - F.col("y"))
     return told.join(weights, ["scenario_id", "id"]).join(train, ["scenario_id", "id"]).groupBy("scenario_id").agg((F.max(gap) < 1e-6).alias("ok"))
 
 
+@query(_FITTED, "split")
+def kernel_blup_certificate(spark, sf):
+    """(K + penalty) alpha = y - mean holds in every row, by joins."""
+    split = materialise(_split(spark, sf, FITTED), "split")
+    own, train = _kernel_pairs(spark, sf, split), split.where("fold = 'train'")
+    return _solved(own, materialise(kernel.kernel_blup(own, train.select("scenario_id", "id", "y")), "weights"), train)
+
+
+@query(_FITTED, "split")
+def kernel_blup_blocks_certificate(spark, sf):
+    """The same of the solution by conjugate gradients over blocks of individuals, whose width comes from the markers' variances."""
+    geno, split = fx.geno(spark, sf), materialise(_split(spark, sf, FITTED), "split")
+    spread = geno.groupBy("population", "marker").agg(F.var_pop("dosage").alias("v")).groupBy("population").agg((1 / (2 * F.sum("v"))).alias("gamma"))
+    gammas = {r.scenario_id: r.gamma for r in split.select("scenario_id", "population").distinct().join(spread, "population").collect()}
+    weights = kernel.blup_in_blocks(split.join(matrices.vectors(geno), ["id", "population"]), gammas)
+    return _solved(_kernel_pairs(spark, sf, split), weights, split.where("fold = 'train'"))
+
+
 #: Sizes of the models in queries over all scenarios; the defaults of ``Sizes`` are those of a real study.
 SMALL = scenarios.Sizes(trees=10, depth=4, hidden=8, rate=0.005, epochs=20, features=64, permutations=1, background=3)
 
