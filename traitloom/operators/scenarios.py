@@ -17,7 +17,7 @@ class Sizes:
 
     trees: int = 1000
     depth: int = 30
-    tree_features: str = "all"
+    tree_share: float = 1.0
     hidden: int = 30
     dropout: float = 0.0
     rate: float = 1e-3

@@ -3,26 +3,22 @@ models look."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traitloom.functions import whole
-from traitloom.operators import bands, explain, forest, gradient, kernel, linear, matrices, metrics, scenarios
+from traitloom.operators import bands, explain, forest, gradient, grove, kernel, linear, matrices, metrics, scenarios
 from traitloom.session import materialise
 
 KEYS = ["scenario_id", "population", "phenotype", "ratio", "sample"]
 PREDICTED = [*KEYS, "id", "fold", "model", "actual", "predicted"]
 EFFECT = "scenario_id string, population string, phenotype string, ratio double, sample int, model string, marker string, effect double"
 LINK = "scenario_id string, population string, phenotype string, ratio double, sample int, model string, from string, to string, value double"
-#: Forests that are fitted side by side.
-POOL = 4
 
 
 @dataclass
@@ -82,20 +78,9 @@ def _tagged(told: DataFrame, model: str) -> DataFrame:
 
 
 def forests(rows: DataFrame, sizes: scenarios.Sizes) -> tuple[DataFrame, DataFrame]:
-    """Predictions of each scenario's forest, and the node table of all, scenario by scenario. A few forests are fitted side
-    by side, each by Spark's own distributed pass."""
-    names = [r.scenario_id for r in rows.where("fold = 'train'").select("scenario_id").distinct().orderBy("scenario_id").collect()]
-
-    def one(name):
-        here = rows.where(F.col("scenario_id") == name)
-        model = forest.fit(here, sizes.trees, sizes.depth, sizes.tree_features)
-        told = model.transform(here.withColumn("features", array_to_vector("x"))).withColumnRenamed("prediction", "predicted")
-        return _tagged(told, "RF"), forest.nodes(model, rows.sparkSession).select(F.lit(name).alias("scenario_id"), "*")
-
-    with ThreadPoolExecutor(POOL) as pool:
-        parts = list(pool.map(one, names))
-    told, nodes = (reduce(DataFrame.unionByName, p) for p in zip(*parts))
-    return told, materialise(nodes, "nodes")
+    """Predictions of each scenario's forest, and the node table of all, grown together."""
+    nodes = grove.grow(rows, sizes.trees, sizes.depth, sizes.tree_share)
+    return _tagged(grove.predict(rows, nodes), "RF"), nodes
 
 
 def fit_models(rows: DataFrame, study: scenarios.Study) -> dict[str, dict]:

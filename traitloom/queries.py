@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitloom.functions import mean_squared_error, relu
-from traitloom.operators import bands, blocks, explain, forest, gradient, kernel, linear, matrices, metrics, regions, scenarios
+from traitloom.operators import bands, blocks, explain, forest, gradient, grove, kernel, linear, matrices, metrics, regions, scenarios
 from traitloom.plans import fixtures as fx
 from traitloom.plans import study as st
 from traitloom.plans.sql import with_parts
@@ -492,6 +492,34 @@ def forest_importance_nodes(spark, sf):
     return out.select("population", F.col("feature").cast("int").alias("feature"), F.round("importance", 9).alias("importance"))
 
 
+def _best(rows: str, by: str) -> str:
+    """The first threshold of the first marker that lowers the variance of each group most."""
+    return f"""SELECT {by}, pos, th FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY gain DESC, pos, th) AS k FROM (
+        SELECT {by}, pos, th, round((sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n) / n, 9) AS gain FROM (
+          SELECT {by}, pos, th, sum(y) AS s, count(*) AS n, sum(y) FILTER (WHERE dosage <= th) AS sl, count(*) FILTER (WHERE dosage <= th) AS nl
+          FROM {rows} r JOIN geno g ON r.id = g.id, (VALUES (0.5::DOUBLE), (1.5::DOUBLE)) t(th) GROUP BY {by}, pos, th) WHERE nl > 0 AND nl < n)) WHERE k = 1 AND gain > 0"""
+
+
+def _sided(rows: str, splits: str, by: str, to: str) -> str:
+    """The rows with the side of their group's split; rows of groups that are not split stay on the left."""
+    on = " AND ".join(f"r.{c} = s.{c}" for c in by.split(", "))
+    return f"""SELECT r.*, CASE WHEN g.dosage > s.th THEN 1 ELSE 0 END AS {to} FROM {rows} r LEFT JOIN ({splits}) s ON {on} LEFT JOIN geno g ON g.id = r.id AND g.pos = s.pos"""
+
+
+@query(
+    f"""SELECT * FROM (WITH here AS (SELECT scenario_id, id, y, fold FROM split WHERE ratio = 0.8 AND sample = 1),
+      one AS ({_sided("here", _best("(SELECT * FROM here WHERE fold = 'train')", "scenario_id"), "scenario_id", "a")}),
+      two AS ({_sided("one", _best("(SELECT * FROM one WHERE fold = 'train')", "scenario_id, a"), "scenario_id, a", "b")})
+      SELECT scenario_id, id, round(p, 6) AS predicted FROM two JOIN (SELECT scenario_id, a, b, avg(y) AS p FROM two WHERE fold = 'train' GROUP BY ALL) USING (scenario_id, a, b))""",
+    "split",
+)
+def forest_small_values(spark, sf):
+    """Predictions of a tree of two levels on all training rows, of every scenario, which SQL can grow too."""
+    rows = _raw_rows(spark, sf)
+    told = grove.predict(rows, grove.grow(rows, 1, 2, bootstrap=False))
+    return told.select("scenario_id", "id", F.round("predicted", 6).alias("predicted"))
+
+
 @query()
 def forest_interactions(spark, sf):
     rows, nodes = _forest(spark, sf)
