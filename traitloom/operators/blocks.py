@@ -155,10 +155,10 @@ def _gains(alpha, b, alpha_new, b_new, steps, xx, noise, slab, inclusion):
     return np.array(out)
 
 
-def spike_slab(blocks: Blocks, model: str = "BayesB", inclusion: float = 0.1, rounds: int = 1000, close: float = 1e-8, inner: int = 20) -> DataFrame:
+def spike_slab(blocks: Blocks, model: str = "BayesB", inclusion: float = 0.1, rounds: int = 1000, close: float = 1e-6, inner: int = 1000) -> DataFrame:
     """Effects (``linear.FIT``) under a spike-and-slab prior by block-coordinate variational updates, to a fixed point.
 
-    In each round every block updates its markers ``inner`` times in turn against the residual that the last round left,
+    In each round every block updates its markers in turn, up to ``inner`` times or until nothing moves, against the residual that the last round left,
     and returns the change of its fitted values, one number an individual. How far all blocks go together is the step
     with the highest evidence bound, so the bound never falls; the fixed points are those of updating marker by marker.
     Two blocks of 64 markers in all take 50 to 280 rounds where there are about as many individuals, one block takes 5: blocks

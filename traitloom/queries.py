@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitloom.functions import mean_squared_error, relu
-from traitloom.operators import bands, blocks, explain, forest, gradient, grove, kernel, linear, matrices, metrics, regions, scenarios
+from traitloom.operators import bands, explain, forest, gradient, grove, kernel, linear, matrices, metrics, regions, scenarios
 from traitloom.plans import fixtures as fx
 from traitloom.plans import study as st
 from traitloom.plans.sql import with_parts
@@ -364,25 +364,58 @@ def ridge_two_marker(spark, sf):
 _FITTED = "SELECT DISTINCT scenario_id, true AS ok FROM split WHERE ratio = 0.8 AND sample = 1"
 
 
-def _flat_gradient(spark, sf, rows, fits):
+@query(_FITTED, "split")
+def ridge_fit_certificate(spark, sf):
+    """The gradient of the penalised fit, recomputed from the individuals, is 0."""
+    rows = _rows(spark, sf).cache()
+    fits = linear.fit(linear.sufficient_statistics(rows), "rrBLUP").cache()
     left = linear.predict(rows, fits).where("fold = 'train'").select("scenario_id", "id", (F.col("actual") - F.col("predicted")).alias("e"))
     slope = left.join(fx.geno(spark, sf).select("id", "pos", "dosage"), "id").groupBy("scenario_id", "pos").agg(F.sum(F.col("dosage") * F.col("e")).alias("g"))
     gap = F.abs(F.col("g") - F.col("penalty") * F.col("effect"))
     return slope.join(fits, ["scenario_id", "pos"]).groupBy("scenario_id").agg((F.max(gap) < 1e-6 * (1 + F.max(F.abs("g")))).alias("ok"))
 
 
-@query(_FITTED, "split")
-def ridge_fit_certificate(spark, sf):
-    """The gradient of the penalised fit, recomputed from the individuals, is 0."""
-    rows = _rows(spark, sf).cache()
-    return _flat_gradient(spark, sf, rows, linear.fit(linear.sufficient_statistics(rows), "rrBLUP").cache())
+def _wide_rows(spark, sf):
+    """Few individuals with many markers: the table turned over, its places as 64 individuals of each population and its rows as
+    their markers, so that the markers grow with the table. A fifth of the individuals is left out of the fit."""
+    turned = fx.geno(spark, sf).select("population", F.col("pos").cast("long").alias("id"), F.col("id").alias("pos"), "dosage")
+    rows = matrices.vectors(turned, keys=["population", "id"])
+    y = F.aggregate(F.transform(F.slice("x", 1, 7), lambda v, k: v * ((k * 37) % 11 - 5)), F.lit(0.0), lambda s, v: s + v) + (F.col("id") * 7919) % 101 / 3
+    rows = rows.select(F.col("population").alias("scenario_id"), "id", F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("fold"), y.alias("y"), "x")
+    return materialise(rows, "wide-rows")
 
 
-@query(_FITTED, "split")
+def _centred_cells(rows, fits):
+    """(scenario_id, pos, xr, xx) of the training rows: products of each centred marker with the residuals and with itself, by joins."""
+    train = rows.where("fold = 'train'")
+    told = linear.predict(train, fits).select("scenario_id", "id", (F.col("actual") - F.col("predicted")).alias("r"))
+    cells = train.select("scenario_id", "id", F.posexplode("x").alias("pos", "x")).join(told, ["scenario_id", "id"])
+    return cells.groupBy("scenario_id", "pos").agg(F.sum(F.col("x") * F.col("r")).alias("xr"), (F.var_pop("x") * F.count("*")).alias("xx"))
+
+
+_POPULATIONS = "SELECT DISTINCT population AS scenario_id, true AS ok FROM geno"
+
+
+@query(_POPULATIONS, "geno")
 def ridge_dual_certificate(spark, sf):
-    """The same of the dual form, from blocks of 24 markers."""
-    rows = materialise(_rows(spark, sf), "study-rows")
-    return _flat_gradient(spark, sf, rows, blocks.ridge(blocks.Blocks(rows, 24)))
+    """More markers than individuals: the gradient of the penalised fit, recomputed from the individuals, is 0."""
+    rows = _wide_rows(spark, sf)
+    fits = materialise(linear.ridge(rows), "fits")
+    gap = F.abs(F.col("xr") - F.col("penalty") * F.col("effect"))
+    return _centred_cells(rows, fits).join(fits, ["scenario_id", "pos"]).groupBy("scenario_id").agg((F.max(gap) < 1e-6 * (1 + F.max(F.abs("xr")))).alias("ok"))
+
+
+@query(_POPULATIONS, "geno")
+def spike_slab_blocks_certificate(spark, sf):
+    """More markers than individuals: one more update of any marker, from the residuals, changes nothing."""
+    rows = _wide_rows(spark, sf)
+    fits = materialise(linear.spike_slab(rows, most=0), "fits")
+    variance = F.col("noise") / (F.col("xx") + 1 / F.col("penalty"))
+    mean = variance / F.col("noise") * (F.col("xr") + F.col("xx") * F.col("effect"))
+    logit = float(np.log(0.1 / 0.9)) + 0.5 * F.log(variance / (F.col("penalty") * F.col("noise"))) + mean * mean / (2 * variance)
+    again = 1 / (1 + F.exp(-logit))
+    worst = F.greatest(F.abs(again * mean - F.col("effect")), F.abs(again - F.col("inclusion")))
+    return _centred_cells(rows, fits).join(fits, ["scenario_id", "pos"]).groupBy("scenario_id").agg((F.max(worst) < 1e-5).alias("ok"))
 
 
 _B = "((pos * 37) % 11 - 5) / 10.0::DOUBLE"
@@ -397,7 +430,12 @@ def ridge_predict(spark, sf):
     return linear.predict(rows, fits).select("scenario_id", "id", (F.round("predicted", 6) + 0).alias("predicted"))
 
 
-def _fixed_point(cells, fits):
+@query(_FITTED, "split")
+def spike_slab_fit_certificate(spark, sf):
+    """One more update of any marker changes nothing."""
+    cells = linear.sufficient_statistics(_rows(spark, sf)).cache()
+    fits = linear.fit(cells, "BayesB", linear.spike_slab_solution)
+
     def check(key, g, f):
         import numpy as np
         import pandas as pd
@@ -413,20 +451,6 @@ def _fixed_point(cells, fits):
     return cells.groupBy("scenario_id").cogroup(fits.groupBy("scenario_id")).applyInPandas(check, "scenario_id string, ok boolean")
 
 
-@query(_FITTED, "split")
-def spike_slab_fit_certificate(spark, sf):
-    """One more update of any marker changes nothing."""
-    cells = linear.sufficient_statistics(_rows(spark, sf)).cache()
-    return _fixed_point(cells, linear.fit(cells, "BayesB", linear.spike_slab_solution))
-
-
-@query(_FITTED, "split")
-def spike_slab_blocks_certificate(spark, sf):
-    """The same of the fit by marker blocks and residuals, without the matrix (tests deal the markers to several blocks)."""
-    rows = materialise(_rows(spark, sf), "study-rows")
-    return _fixed_point(linear.sufficient_statistics(rows), blocks.spike_slab(blocks.Blocks(rows, cells=blocks.LARGE)))
-
-
 def _kernel_pairs(spark, sf, split):
     """Training pairs of every scenario, i <= j, with their kernel, by joins."""
     pairs = matrices.gaussian_kernel(matrices.distances(fx.geno(spark, sf), ["population"]), ["population"])
