@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.functions import stacked, whole
+from traitloom.operators.gradient import plain
 from traitloom.operators.linear import fit as linear_fit
 from traitloom.operators.linear import marginal_penalty, sufficient_statistics
 from traitloom.session import materialise
@@ -66,6 +67,41 @@ class RandomFeatures:
         return np.sqrt(2 / len(self.b)) * np.cos(x @ self.w.T + self.b)
 
 
+class TensorSketch:
+    """Inner products approach (gamma x.y + constant)^degree. Each factor hashes the coordinates of (sqrt(gamma) x, sqrt(constant))
+    to ``count`` signed buckets (a count sketch); the sketch of the product is the convolution of the factors' sketches, a
+    product of their Fourier transforms. The draws depend on the seed only."""
+
+    def __init__(self, width: int, count: int, gamma: float, degree: int = 3, constant: float = 0.0, seed: int = 1):
+        if degree < 1:
+            raise ValueError("the degree is 1 or more")
+        draw = np.random.default_rng(seed)
+        self.scale, self.constant, self.count = np.sqrt(gamma), np.sqrt(constant), count
+        self.buckets, self.signs = draw.integers(0, count, (degree, width + 1)), draw.choice([-1.0, 1.0], (degree, width + 1))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        x = np.column_stack([self.scale * x, np.full(len(x), self.constant)])
+        product = 1.0
+        for buckets, signs in zip(self.buckets, self.signs):
+            order = np.argsort(buckets, kind="stable")
+            used, starts = np.unique(buckets[order], return_index=True)
+            sketch = np.zeros((len(x), self.count))
+            sketch[:, used] = np.add.reduceat((x * signs)[:, order], starts, axis=1)
+            product = product * np.fft.rfft(sketch, axis=1)
+        return np.fft.irfft(product, self.count, axis=1)
+
+
+def kernel_map(kernel: str, width: int, count: int, gamma: float, degree: int = 3, constant: float = 0.0):
+    """Features whose inner products are, or approach, a kernel's: ``linear``, ``rbf`` or ``poly``."""
+    if kernel == "linear":
+        return plain
+    if kernel == "rbf":
+        return RandomFeatures(width, count, gamma)
+    if kernel == "poly":
+        return TensorSketch(width, count, gamma, degree, constant)
+    raise ValueError(f"no kernel is called {kernel}")
+
+
 def random_features(x: str, width: int, count: int, gamma: float, seed: int = 1) -> Column:
     """The features of an array column, as an array; null where it is not whole."""
     of = RandomFeatures(width, count, gamma, seed)

@@ -12,8 +12,10 @@ from traitloom.functions import hashed_order
 
 @dataclass(frozen=True)
 class Sizes:
-    """How large the models are. ``features`` are the random features that stand for a Gaussian kernel, ``permutations`` and
-    ``background`` the orders and rows that sampled Shapley values average over."""
+    """How large the models are. ``features`` are the random features that stand for a kernel, ``permutations`` and ``background``
+    the orders and rows that sampled Shapley values average over. ``kernel`` (rbf, poly or linear), ``gamma`` (a number, or
+    scale: one over the markers times their variance, or auto: one over the markers), ``degree`` and ``constant`` are those of
+    the support vector regression."""
 
     trees: int = 1000
     depth: int = 30
@@ -26,6 +28,10 @@ class Sizes:
     batch: int = 8
     epsilon: float = 0.5
     cost: float = 1.0
+    kernel: str = "rbf"
+    gamma: float | str = "scale"
+    degree: int = 3
+    constant: float = 0.0
     features: int = 256
     permutations: int = 2
     background: int = 30

@@ -89,23 +89,28 @@ def fit_models(rows: DataFrame, study: scenarios.Study) -> dict[str, dict]:
     if not {"RKHS", "SVR", "MLP"} & {*study.models}:
         return {}
     widths = kernel_widths(rows)
-    maps = lambda at: {k: kernel.RandomFeatures(w[0], sizes.features, w[at]) for k, w in widths.items()}
+    gamma = lambda w: {"scale": w[2], "auto": 1 / w[0]}.get(sizes.gamma, sizes.gamma)
     out = {}
     if "RKHS" in study.models:
-        out["RKHS"] = kernel.fit_kernel_ridge(rows, maps(1))
+        out["RKHS"] = kernel.fit_kernel_ridge(rows, {k: kernel.RandomFeatures(w[0], sizes.features, w[1]) for k, w in widths.items()})
     if "SVR" in study.models:
-        out["SVR"] = gradient.fit_svr(train, maps(2), sizes.features, sizes.epsilon, sizes.cost)
+        maps = {k: kernel.kernel_map(sizes.kernel, w[0], sizes.features, gamma(w), sizes.degree, sizes.constant) for k, w in widths.items()}
+        width = max((w[0] for w in widths.values()), default=0) if sizes.kernel == "linear" else sizes.features
+        out["SVR"] = gradient.fit_svr(train, maps, width, sizes.epsilon, sizes.cost)
     if "MLP" in study.models and widths:
         out["MLP"] = gradient.fit_network(train, max(w[0] for w in widths.values()), sizes.hidden, sizes.dropout, sizes.rate, sizes.decay, sizes.epochs, sizes.batch)
     return out
 
 
 def explained_effects(rows: DataFrame, models: dict, count: int | None, sizes: scenarios.Sizes) -> DataFrame:
-    """(scenario_id, pos, effect): sum of the absolute sampled Shapley values over a scenario's explained test rows, against
-    sampled training rows."""
+    """(scenario_id, pos, effect): sum of the absolute values of a scenario's explained test rows against sampled training rows:
+    layer-wise attributions of networks, sampled Shapley values of other models."""
     width = max((len(r.x) for r in rows.select("x").limit(1).collect()), default=0)
     asked = scenarios.sample_rows(rows.where("fold = 'test'"), count, ["scenario_id"])
     back = scenarios.sample_rows(rows.where("fold = 'train'"), sizes.background, ["scenario_id"], seed="background")
+    if all(isinstance(m, gradient.Network) for m in models.values()):
+        phi = explain.rescaled_attributions(asked, back, models, ["scenario_id"])
+        return explain.attribution_sums(phi, ["scenario_id", "pos"]).drop("mean_phi")
     phi = explain.sampled_shapley(asked, back, lambda x, key: models[key[0]].forward(x), width, sizes.permutations, ["scenario_id"])
     return explain.attribution_sums(phi, ["scenario_id", "pos"]).drop("mean_phi")
 

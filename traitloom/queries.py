@@ -551,14 +551,10 @@ def forest_interactions(spark, sf):
     return forest.interactions(forest.leaf_paths(nodes, SMALL.depth, ("scenario_id",)), asked, SMALL.trees, SMALL.depth, ("scenario_id",))
 
 
-@query(_FITTED, "split")
-def svr_objective(spark, sf):
-    """Gaussian-kernel regression of every scenario. ok: at the fit, a new pass over the rows finds a gradient so small that
-    the objective, which bends by 1 at least along each weight, is within a ten-thousandth of its least value; and every
-    row, in both folds, is predicted."""
+def _svr(spark, sf, kind):
     rows = _raw_rows(spark, sf)
     train = rows.where("fold = 'train'")
-    maps = {k: kernel.RandomFeatures(w[0], 64, w[2]) for k, w in st.kernel_widths(rows).items()}
+    maps = {k: kernel.kernel_map(kind, w[0], 64, w[2], 2, 1.0) for k, w in st.kernel_widths(rows).items()}
     models = gradient.fit_svr(train, maps, 64)
     near = {k: bool(0.5 * float(g[:-1] @ g[:-1]) + abs(float(g[-1])) * 100 <= 1e-4 * v) for k, (v, g, _) in gradient.svr_passes(train, models, 0.5, 1.0).items()}
     told = gradient.predict(rows, models).groupBy("scenario_id").agg((F.count("predicted") == F.count("*")).alias("all_"))
@@ -566,6 +562,20 @@ def svr_objective(spark, sf):
     return told.join(found, "scenario_id").select("scenario_id", (F.col("all_") & F.col("near")).alias("ok"))
 
 
+@query(_FITTED, "split")
+def svr_poly_objective(spark, sf):
+    """As ``svr_objective``, with the polynomial kernel of degree 2."""
+    return _svr(spark, sf, "poly")
+
+
+@query(_FITTED, "split")
+def svr_objective(spark, sf):
+    """Gaussian-kernel regression of every scenario. ok: at the fit, a new pass over the rows finds a gradient so small that
+    the objective, which bends by 1 at least along each weight, is within a ten-thousandth of its least value; and every
+    row, in both folds, is predicted."""
+    return _svr(spark, sf, "rbf")
+
+
 @query(_FITTED, "split")
 def mlp_fit(spark, sf):
     """Network of every scenario. ok: its error on the training rows, from a forward pass of its own in column functions, is
@@ -630,6 +640,26 @@ def integrated_gradients(spark, sf):
     return phi.select("id", F.col("pos").cast("int").alias("pos"), (F.round("phi", 9) + 0).alias("phi"))
 
 
+_UNITS = _HIDDEN.format(t="1", more="", by="")
+_SLOPE = "CASE WHEN abs(u.a - z.a) < 1e-12 THEN CASE WHEN u.a > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE (greatest(u.a, 0) - greatest(z.a, 0)) / (u.a - z.a) END"
+
+
+@query(
+    f"""SELECT * FROM (WITH units AS ({_UNITS}), back AS (SELECT population, id AS zid FROM (SELECT population, id, dense_rank() OVER (PARTITION BY population ORDER BY id) AS k FROM geno) WHERE k <= 2 GROUP BY ALL),
+      slopes AS (SELECT b.population, u.id, b.zid, u.h, {_SLOPE} AS m FROM (SELECT DISTINCT population, id FROM geno) p JOIN back b USING (population) JOIN units u ON u.id = p.id JOIN units z ON z.id = b.zid AND z.h = u.h)
+      SELECT x.population, x.id, CAST(x.pos AS INT) AS pos, round(sum(m * CASE h WHEN 0 THEN 0.8::DOUBLE ELSE -0.6::DOUBLE END * ((x.pos * (7 + 6 * h)) % 11 - 5) / 10.0::DOUBLE * (x.dosage - z.dosage)) / 2 + 1e-9, 6) + 0 AS phi
+      FROM slopes s JOIN geno x ON x.id = s.id JOIN geno z ON z.id = s.zid AND z.pos = x.pos GROUP BY x.population, x.id, x.pos)""",
+    "geno",
+)
+def network_attributions(spark, sf):
+    """Layer-wise attributions of a given network against two rows of each population."""
+    rows = materialise(matrices.vectors(fx.geno(spark, sf)), "vectors")
+    firsts = F.array_sort(F.collect_set("id"))
+    back = rows.join(F.broadcast(rows.groupBy("population").agg(F.slice(firsts, 1, 2).alias("_ids"))), "population").where(F.array_contains("_ids", F.col("id")))
+    nets = {r.population: _net() for r in rows.select("population").distinct().collect()}
+    return explain.rescaled_attributions(rows, back, nets, ["population"]).withColumn("phi", F.round(F.col("phi") + 1e-9, 6) + 0)
+
+
 @query(f"SELECT population, marker, round(sum(abs({_B} * (dosage - m))), 6) AS effect, round(avg({_B} * (dosage - m)), 6) + 0 AS mean_phi FROM geno JOIN (SELECT population, marker, avg(dosage) AS m FROM geno GROUP BY ALL) USING (population, marker) GROUP BY population, marker", "geno")
 def attribution_sums(spark, sf):
     geno = fx.geno(spark, sf)
@@ -677,6 +707,38 @@ def graph_readout(spark, sf):
     return out.select("graph", F.round("predicted", 6).alias("predicted"))
 
 
+@query(
+    """SELECT * FROM (WITH e AS (SELECT pos % 2 AS r, pos AS src, id AS dst FROM geno WHERE dosage > 0),
+      n(r, k, i, j) AS (SELECT * FROM range(2) a(r), range(2) b(k), range(2) c(i), range(2) d(j)),
+      w AS (SELECT *, ((r * 8 + k * 4 + i * 2 + j) * 5 % 7 - 3) / 10.0::DOUBLE AS ws, ((r * 8 + k * 4 + i * 2 + j) * 3 % 11 - 5) / 10.0::DOUBLE AS wd FROM n),
+      sv AS (SELECT DISTINCT pos AS src, j, CASE j WHEN 0 THEN pos * 0.1::DOUBLE ELSE (pos % 7) * 0.2::DOUBLE END AS v FROM geno, range(2) d(j)),
+      dv AS (SELECT DISTINCT id AS dst, j, CASE j WHEN 0 THEN (id % 3)::DOUBLE ELSE (id % 5) * 0.1::DOUBLE END AS v FROM geno, range(2) d(j)),
+      m AS (SELECT r, k, i, src, sum(ws * v) AS m FROM w JOIN sv USING (j) GROUP BY ALL), t AS (SELECT r, k, i, dst, sum(wd * v) AS t FROM w JOIN dv USING (j) GROUP BY ALL),
+      s AS (SELECT r, k, src, dst, sum((((r * 4 + k * 2 + i) * 7 % 5 - 2) / 2.0::DOUBLE + 0.1::DOUBLE) * CASE WHEN m + t > 0 THEN m + t ELSE 0.2::DOUBLE * (m + t) END) AS s FROM e JOIN m USING (r, src) JOIN t USING (r, k, i, dst) GROUP BY ALL),
+      h AS (SELECT r, k, i, dst, sum(exp(s) * m) / sum(exp(s)) AS h FROM s JOIN m USING (r, k, src) GROUP BY ALL),
+      o AS (SELECT dst, k * 2 + i AS c, sum(h) AS h FROM h GROUP BY ALL),
+      own AS (SELECT dst, c, sum(((c * 2 + j) % 5 - 2) / 4.0::DOUBLE * v) AS h FROM dv, range(4) x(c) GROUP BY ALL)
+      SELECT dst AS node, CAST(c AS INT) AS unit, round(CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END, 8) + 0 AS h FROM (SELECT own.dst, own.c, own.h + coalesce(o.h, 0) AS v FROM own LEFT JOIN o ON o.dst = own.dst AND o.c = own.c))""",
+    "geno",
+)
+def attention_layer(spark, sf):
+    """One layer of two heads and two relations over the vectors of markers and individuals, with given weights."""
+    geno, half = fx.geno(spark, sf), range(2)
+    at = lambda r, k, i, j: r * 8 + k * 4 + i * 2 + j
+    weights = [
+        (r, k, [[(at(r, k, i, j) * 5 % 7 - 3) / 10 for j in half] for i in half], [[(at(r, k, i, j) * 3 % 11 - 5) / 10 for j in half] for i in half], [((r * 4 + k * 2 + i) * 7 % 5 - 2) / 2 + 0.1 for i in half])
+        for r in half for k in half
+    ]
+    given = spark.createDataFrame(weights, "relation int, head int, w_src array<array<double>>, w_dst array<array<double>>, a array<double>")
+    pos, who = F.col("pos"), F.col("id")
+    sources = geno.select(pos.alias("node")).distinct().select("node", F.array(F.col("node") * 0.1, (F.col("node") % 7) * 0.2).alias("h"))
+    targets = geno.select(who.alias("node")).distinct().select("node", F.array((F.col("node") % 3).cast("double"), (F.col("node") % 5) * 0.1).alias("h"))
+    edges = geno.where("dosage > 0").select((pos % 2).alias("relation"), pos.alias("src"), who.alias("dst"))
+    skip = [[((c * 2 + j) % 5 - 2) / 4 for j in half] for c in range(4)]
+    out = explain.attention_layer(edges, sources, targets, given, skip)
+    return out.select("node", F.posexplode("h").alias("unit", "h")).withColumn("h", F.round("h", 8) + 0)
+
+
 # ---------------------------------------------------------------- sources, from files that hold the tables
 
 
