@@ -3,6 +3,7 @@ models look."""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,19 +32,22 @@ class Results:
     interactions: DataFrame
 
 
-def training_rows(spark: SparkSession, geno: DataFrame, pheno: DataFrame, study: scenarios.Study) -> DataFrame:
+def training_rows(spark: SparkSession, geno: DataFrame, pheno: DataFrame, study: scenarios.Study, only: list[str] | None = None) -> DataFrame:
     """Scenario keys, id, fold, y, the marker vector x and the scaled one z of every usable individual.
 
     Markers are scaled over the individuals that a scenario uses, in both folds: those with a target of its population and
     phenotype. An individual's vectors are written once, with the list of its scenarios; a row a scenario is made of it
     only where the table is read.
     """
-    usable = scenarios.complete(geno, pheno)
+    usable, grid = scenarios.complete(geno, pheno), scenarios.grid(spark, study)
+    if only is not None:
+        grid = grid.where(F.col("scenario_id").isin(only))
+        usable = usable.join(F.broadcast(grid.select("population", "phenotype").distinct()), ["population", "phenotype"])
     kept = usable.select("id", "population", "phenotype").distinct()
     scaled = matrices.standardise(geno.join(kept, ["id", "population"]), ["population", "phenotype"])
     both = matrices.vector_columns(scaled, {"x": "dosage", "z": "z"}, ["id", "population", "phenotype"])
     parts = F.collect_list(F.struct("scenario_id", "ratio", "sample", "fold")).alias("_in")
-    listed = scenarios.split(usable, scenarios.grid(spark, study)).groupBy("id", "population", "phenotype", "y").agg(parts)
+    listed = scenarios.split(usable, grid).groupBy("id", "population", "phenotype", "y").agg(parts)
     people = materialise(listed.join(both, ["id", "population", "phenotype"]), "people")
     return people.select("id", "population", "phenotype", "y", "x", "z", F.inline("_in"))
 
@@ -115,10 +119,11 @@ def explained_effects(rows: DataFrame, models: dict, count: int | None, sizes: s
     return explain.attribution_sums(phi, ["scenario_id", "pos"]).drop("mean_phi")
 
 
-def run(spark: SparkSession, geno: DataFrame, pheno: DataFrame, study: scenarios.Study) -> Results:
+def run(spark: SparkSession, geno: DataFrame, pheno: DataFrame, study: scenarios.Study, only: list[str] | None = None) -> Results:
     """Predictions of every model and the ensemble, their metrics on test rows, effects of the ``explained`` models and the
-    ensemble, and the forests' marker interactions. Individuals with a missing dosage or target are left out."""
-    rows = training_rows(spark, geno, pheno, study)
+    ensemble, and the forests' marker interactions, of the scenarios named by ``only`` or all. Individuals with a missing dosage
+    or target are left out."""
+    rows = training_rows(spark, geno, pheno, study, only)
     place = rows.select(*KEYS).distinct()
     names = geno.select("pos", "marker").distinct()
     sizes, parts, effects = study.sizes, [], []
@@ -157,6 +162,32 @@ def run(spark: SparkSession, geno: DataFrame, pheno: DataFrame, study: scenarios
     return Results(told, scores, found.unionByName(metrics.ensemble_effect(found, KEYS).select(*found.columns)), links)
 
 
+TABLES = ("predictions", "metrics", "effects", "interactions")
+
+
+def run_resumable(spark: SparkSession, geno: DataFrame, pheno: DataFrame, study: scenarios.Study, path: str, together: int = 16) -> Results:
+    """``run`` that a lost driver does not set back: scenarios are done ``together`` at a time, and what is done is kept in ``path``.
+
+    A group's tables are written to folders named after its scenarios, a mark of its scenarios last. A new start with the
+    same path skips marked scenarios and writes the folders of others anew, so no row comes twice, whatever ``together`` is then.
+    Give another study or other data another path.
+    """
+    marks = f"{path}/done"
+    files = spark._jvm.org.apache.hadoop.fs.Path(marks)
+    there = files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
+    done = {r.scenario_id for r in spark.read.parquet(marks).select("scenario_id").collect()} if there else set()
+    left = sorted(r.scenario_id for r in scenarios.grid(spark, study).select("scenario_id").collect() if r.scenario_id not in done)
+    for at in range(0, len(left), together):
+        names = left[at : at + together]
+        group = hashlib.md5("\n".join(names).encode()).hexdigest()
+        results = run(spark, geno, pheno, study, names)
+        for table in TABLES:
+            getattr(results, table).write.mode("overwrite").parquet(f"{path}/{table}/run={group}")
+        spark.createDataFrame([(n,) for n in names], "scenario_id string").write.mode("overwrite").parquet(f"{marks}/run={group}")
+    finished = F.broadcast(spark.read.parquet(marks).select("run").distinct())  # a row a group
+    return Results(*(spark.read.parquet(f"{path}/{t}").join(finished, "run").drop("run") for t in TABLES))
+
+
 def trait_report(spark: SparkSession, geno: DataFrame, pheno: DataFrame, markers: DataFrame, study: scenarios.Study, pad: int = 100_000) -> DataFrame:
     """Located decile bands of every model's mean absolute effects, in all populations (null) and in each."""
     effects = run(spark, geno, pheno, study).effects
