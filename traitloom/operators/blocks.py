@@ -88,10 +88,11 @@ class Blocks:
 DUAL = "scenario_id string, alpha array<double>, penalty double, noise double"
 
 
-def ridge(blocks: Blocks, model: str = "rrBLUP", penalty: float | None = None) -> DataFrame:
+def ridge(blocks: Blocks, model: str = "rrBLUP", penalty: float | None = None, explained: float = 1.0) -> DataFrame:
     """Ridge effects (``linear.FIT``) through the dual: (X X' + penalty) alpha = y - mean in the individuals, and effects
     X' alpha from one pass over the blocks. The same effects and penalty as ``linear.ridge_solution``.
 
+    The penalty is no less than that under which the markers are expected to explain the share ``explained`` of the variance.
     A task solves one scenario's n x n system. A constant marker has an effect of 0; a scenario without usable rows has no
     effects."""
     y = blocks.targets.sparkSession.sparkContext.broadcast(blocks.centred_targets())
@@ -106,6 +107,9 @@ def ridge(blocks: Blocks, model: str = "rrBLUP", penalty: float | None = None) -
         values = np.maximum(values, 0)
         r = vectors.T @ own
         lam, noise = marginal_penalty(values, r * np.sqrt(values), float(own @ own), len(own)) if penalty is None else (penalty, np.nan)
+        least = values.mean() * (1 - explained) / explained
+        if penalty is None and lam < least:
+            lam, noise = least, max(float(own @ own - (r * r * values / (values + least)).sum()) / max(len(own) - 1, 1), 1e-12)
         return pd.DataFrame([(key[0], vectors @ (r / (values + lam)), lam, noise)], columns=["scenario_id", "alpha", "penalty", "noise"])
 
     solved = materialise(blocks.outer().groupBy("scenario_id").applyInPandas(solve, DUAL), "dual")
@@ -155,7 +159,7 @@ def _gains(alpha, b, alpha_new, b_new, steps, xx, noise, slab, inclusion):
     return np.array(out)
 
 
-def spike_slab(blocks: Blocks, model: str = "BayesB", inclusion: float = 0.1, rounds: int = 1000, close: float = 1e-6, inner: int = 1000) -> DataFrame:
+def spike_slab(blocks: Blocks, model: str = "BayesB", inclusion: float = 0.1, rounds: int = 1000, close: float = 1e-6, inner: int = 1000, explained: float = 0.95) -> DataFrame:
     """Effects (``linear.FIT``) under a spike-and-slab prior by block-coordinate variational updates, to a fixed point.
 
     In each round every block updates its markers in turn, up to ``inner`` times or until nothing moves, against the residual that the last round left,
@@ -163,11 +167,12 @@ def spike_slab(blocks: Blocks, model: str = "BayesB", inclusion: float = 0.1, ro
     with the highest evidence bound, so the bound never falls; the fixed points are those of updating marker by marker.
     Two blocks of 64 markers in all take 50 to 280 rounds where there are about as many individuals, one block takes 5: blocks
     should be as large as a task can hold (``LARGE``).
-    Noise and slab variance come from the ridge's dual form. The driver holds the residuals; a scenario is done when no
+    Noise and slab variance come from the ridge's dual form, where the markers explain ``explained`` of the variance at most: with
+    far more markers than individuals the likelihood often ends at no noise at all, which no update would leave. The driver holds the residuals; a scenario is done when no
     update changes an inclusion or effect by ``close``."""
     spark = blocks.targets.sparkSession
     targets = blocks.centred_targets()
-    start = {r.scenario_id: (r.penalty, r.noise) for r in ridge(blocks).select("scenario_id", "penalty", "noise").distinct().collect()}
+    start = {r.scenario_id: (r.penalty, r.noise) for r in ridge(blocks, explained=explained).select("scenario_id", "penalty", "noise").distinct().collect()}
     hyper = {k: (noise, 1 / (lam * inclusion)) for k, (lam, noise) in start.items()}
     least = max((-(-p // blocks.width) for _, p, _ in blocks.shape.values()), default=1)
     steps = np.array([*STEPS, max(1 / least, LEAST_STEP)])
