@@ -107,3 +107,32 @@ def test_site_templates_on_the_tables(spark):
     hosts = {r.host for r in pages.groupBy(sitetext.host(pages.url).alias("host")).count().where(f"count >= {sitetext.LEAST_PAGES}").collect()}
     found = {r.host for r in sitetext.site_templates(pages).collect()}
     assert found <= hosts and len(found) >= 0.8 * len(hosts)
+
+
+@pytest.mark.parametrize("markup", [
+    '<h2 id="related-work">kept</h2>', '<h2 id="social-history">kept</h2>', '<section id="comment-on-the-law"><p>kept</p></section>', '<p class="notice-period">kept</p>',
+    '<div class="market-share"><p>kept</p></div>', '<figure class="banner-year"><figcaption>kept</figcaption></figure>', '<ul><li class="share">kept</li></ul>', '<div class="has-sidebar"><p>kept</p></div>',
+])
+def test_names_inside_an_article_that_keep_their_text(markup):
+    assert sitetext.extract(f"<body><article><p>before</p>{markup}</article></body>", set())[0] == "before\nkept"
+
+
+@pytest.mark.parametrize("markup", [
+    '<div class="share-buttons"><p>gone</p></div>', '<div class="ad"><p>gone</p></div>', '<section id="related-posts"><p>gone</p></section>', '<div class="cookieNotice"><p>gone</p></div>', '<div class="x comment-list"><p>gone</p></div>',
+    '<div id="ad-slot-3"><p>gone</p></div>', '<form><p>gone</p></form>',
+])
+def test_names_inside_an_article_that_go(markup):
+    assert sitetext.extract(f"<body><article><p>before</p>{markup}</article></body>", set())[0] == "before"
+
+
+@pytest.mark.parametrize("body", ["<article><p>kept</p></article>", '<div class="content"><p>kept</p></div>', "<main><p>kept</p></main>"])
+def test_a_form_around_the_page(body):
+    page = f'<body><form id="page"><nav><a href="/">home</a></nav>{body}<input value="x"><button>go</button></form></body>'
+    assert sitetext.extract(page, set())[0] == "kept"
+
+
+def test_nested_forms_take_linear_time():
+    begin = time.time()
+    assert sitetext.extract("<form>" * 60_000 + "<article><p>kept</p></article>", set())[0] == "kept"
+    sitetext.extract("<form><p>x</p>" * 40_000, set())
+    assert time.time() - begin < 20

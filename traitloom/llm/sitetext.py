@@ -59,6 +59,12 @@ SIDE = set(
     "notification overlay pager pagination popup promo promoted recommended related respond responses replies sharing "
     "share sidebar signup skip social sponsor sponsored subscribe teaser toolbar topbar widget widgets".split()
 )
+# Words that stand beside those in such names
+FURNITURE = set(
+    "area bar block body bottom box button buttons center col column container content fixed form global group header icon icons "
+    "inner item items left link links list main outer page panel post posts primary right row secondary section site slot "
+    "sticky tabs title top unit wrap wrapper".split()
+)
 SIDE_ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MAIN_NAMES = set("article articlebody content entry main maincontent post postbody story text".split())
 
@@ -72,11 +78,12 @@ RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I) for
 
 
 class Element:
-    __slots__ = ("name", "attributes", "children", "parent", "hash", "shape", "chars", "linked", "links", "own")
+    __slots__ = ("name", "attributes", "children", "parent", "hash", "shape", "chars", "linked", "links", "own", "wraps")
 
     def __init__(self, name, attributes, parent):
         self.name, self.attributes, self.parent = name, attributes, parent
         self.children: list[Element | str] = []
+        self.wraps: bool | None = None
 
 
 class _Open:
@@ -170,8 +177,37 @@ def _names(element: Element) -> set[str]:
     return {x.lower() for key in ("class", "id") if key in element.attributes for x in NAME_PARTS.findall(element.attributes[key])} if element.attributes else set()
 
 
+def _named_side(element: Element, inside: bool) -> bool:
+    """Whether class or id name what is not the article. Headings and other prose never go by a name; inside an article a name
+    counts only if all its words are such (``share-buttons``, not ``market-share``)."""
+    if element.name in PROSE:
+        return False
+    if not inside:
+        return bool(_names(element) & SIDE)
+    words = [{x.lower() for x in NAME_PARTS.findall(t) if not x.isdigit()} for key in ("class", "id") for t in element.attributes.get(key, "").split()]
+    return any(w & (SIDE - {"header"}) and not w - SIDE - FURNITURE for w in words)
+
+
+def _wraps(form: Element) -> bool:
+    """Whether a form holds what would be the article, as pages of some servers stand in one form. Settled for all forms inside
+    it too, in one walk."""
+    if form.wraps is None:
+        holds: set[int] = set()
+        for e in _elements(form):
+            if e.name == "form":
+                e.wraps = id(e) in holds
+            marked = e.name in ("article", "main") or e.attributes.get("itemprop") == "articleBody" or e.attributes.get("role") == "main"
+            if marked or (e.name in ("div", "section", "td") and _names(e) & MAIN_NAMES):
+                holds.add(id(e))
+            if id(e) in holds:
+                holds.add(id(e.parent))
+    return form.wraps
+
+
 def is_side(element: Element, inside: bool) -> bool:
     """Whether the markup itself says that an element is not the article; ``inside``: within an article."""
+    if element.name == "form" and not inside and _wraps(element):
+        return False
     if element.name in NEVER or (element.name == "header" and not inside):
         return True
     attributes = element.attributes
@@ -181,13 +217,9 @@ def is_side(element: Element, inside: bool) -> bool:
         return True
     if element.name in ("html", "body", "main") or (element.name == "article" and "comment" not in _names(element)):
         return False
-    names = _names(element)
-    if names & {"has", "with"}:
-        names.discard("sidebar")  # a layout that has a sidebar is not one
-    if inside:
-        names.discard("header")  # an article's own
-    return bool(names & SIDE)
-
+    if _names(element) & {"has", "with"} and _names(element) & SIDE <= {"sidebar"}:
+        return False  # a layout that has a sidebar is not one
+    return _named_side(element, inside)
 
 
 def _text_parts(element: Element, inside: bool, out: list[list[str]]) -> int:
