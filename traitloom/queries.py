@@ -207,12 +207,12 @@ def effect_normalise(spark, sf):
     return out.select("sample", "population", "model", "marker", F.round("effect", 10).alias("effect"))
 
 
-@query(
-    """SELECT population, phenotype, 'ensemble' AS model, marker, round(sum(e) / any_value(models), 9) AS effect FROM (
+_ENSEMBLE = """SELECT population, phenotype, 'ensemble' AS model, marker, round(sum(e) / any_value(models), 9) AS effect FROM (
     SELECT population, phenotype, model, marker, abs(effect) / sum(abs(effect)) OVER (PARTITION BY population, phenotype, model) AS e FROM effects)
-    JOIN (SELECT population, phenotype, count(DISTINCT model) AS models FROM effects GROUP BY ALL) USING (population, phenotype) GROUP BY population, phenotype, marker""",
-    "effects",
-)
+    JOIN (SELECT population, phenotype, count(DISTINCT model) AS models FROM effects GROUP BY ALL) USING (population, phenotype) GROUP BY population, phenotype, marker"""
+
+
+@query(_ENSEMBLE, "effects")
 def ensemble_effect(spark, sf):
     return _rounded(metrics.ensemble_effect(fx.effects(spark, sf), ["population", "phenotype"]), "effect", places=9)
 
@@ -246,6 +246,20 @@ def effect_bands(spark, sf):
     return _bands(spark, sf).select(*BY, "marker", "effect", "level", "colour")
 
 
+@query(
+    f"""SELECT * FROM (WITH ens AS ({_ENSEMBLE}), m AS (SELECT population, phenotype, model, marker, round(avg(abs(effect)), 9) AS effect, CAST(grouping(population) AS TINYINT) AS overall
+        FROM ens GROUP BY GROUPING SETS ((phenotype, model, marker), (population, phenotype, model, marker))),
+      d AS (SELECT overall, population, quantile_cont(effect, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM m GROUP BY ALL)
+      SELECT m.*, CAST(1 + len(list_filter(q, lambda t: m.effect >= t)) AS INT) AS level, concat('red', 1 + len(list_filter(q, lambda t: m.effect >= t))) AS colour
+      FROM m JOIN d ON m.overall = d.overall AND m.population IS NOT DISTINCT FROM d.population)""",
+    "effects",
+)
+def effect_bands_ensemble(spark, sf):
+    """The ensemble's bands, which are red."""
+    means = _rounded(bands.mean_effects(ensemble_effect(spark, sf)), "effect", places=9)
+    return bands.colour(bands.band_levels(means, BY)).select(*BY, "marker", "effect", "level", "colour")
+
+
 @query("SELECT overall, population, phenotype, model, marker, 10 AS level FROM means", "means")
 def effect_bands_ties(spark, sf):
     same = _means(spark, sf).withColumn("effect", F.lit(0.25))
@@ -790,6 +804,20 @@ def source_regions(spark, sf):
     return read_regions(spark, _text_file(known, "genes.tsv") + "/*.tsv", "genes")
 
 
+@query("SELECT chromosome, start, \"end\", name, class, 'W1' AS population, 'QTL' AS gene_set FROM genes", "genes")
+def source_regions_qtl(spark, sf):
+    """The second header dialect, of one population by the file's name."""
+    known = fx.genes(spark, sf).select(F.col("chromosome").alias("Chromosome"), "start", "end", F.col("name").alias("Name"), F.col("class").alias("pheno"))
+    return read_regions(spark, _text_file(known, "QTL_W1.tsv") + "/*.tsv", "QTL")
+
+
+@query("SELECT chromosome, start, \"end\", name, class, CAST(NULL AS VARCHAR) AS population, 'branching' AS gene_set FROM genes", "genes")
+def source_regions_colour(spark, sf):
+    """The third header dialect, whose classes stand under the name of a colour."""
+    known = fx.genes(spark, sf).select(F.col("chromosome").alias("Chromosome"), "start", "end", F.col("name").alias("Name"), F.col("class").alias("colour"))
+    return read_regions(spark, _text_file(known, "branching.tsv") + "/*.tsv", "branching")
+
+
 # ---------------------------------------------------------------- sinks, read back
 
 
