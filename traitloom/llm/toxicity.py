@@ -1,11 +1,11 @@
 """Toxicity by weak supervision.
 
-Many weak voters, each a lexicon word or a word-beginning pattern, vote "toxic" where they find it and are silent
-elsewhere; the annotators of the labels are one voter more, which may err like the others. A generative label model
-estimates by expectation maximisation how often each voter speaks in toxic and in clean texts, so its voice and its
-silence both count as evidence, and how far voters move together inside a class, so repeated evidence counts once. All
-of it follows from how the voters agree: no accuracy is given. The posterior labels train a linear classifier, which
-scores every text.
+Many weak voters, each a lexicon word, a word beginning, or a beginning that fills a share of the text, vote "toxic" where
+they find it and abstain elsewhere; one voter more votes "clean" where none of them speaks. A generative label model
+estimates by expectation maximisation how often each voter speaks in toxic and in clean texts, and how far voters move
+together inside a class, so repeated evidence counts once. All of it follows from how the voters agree: no accuracy is
+given, and the labels are no voter. An abstaining voter is no evidence, since a lexicon of one language is silent in
+all others. The posterior labels train a linear classifier, which scores every text.
 
 Voters are found in labelled rows of the learning part only (crc32 of the id modulo ``FOLDS`` is not ``HELD_OUT``).
 """
@@ -13,6 +13,7 @@ Voters are found in labelled rows of the learning part only (crc32 of the id mod
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +29,10 @@ TOXIC_ROWS, CLEAN_ROWS = 2_500, 4_500
 #: Voters, and features of the classifier, at most: the strongest. On the 0.1 GB check tables 27 and 1,079 are used.
 VOTERS, FEATURES = 128, 1_536
 #: A voter speaks in this many labelled rows at least, of which this share is toxic at least; voters are added until
-#: this many speak in each toxic row.
-LEAST_ROWS, LEAST_SHARE, COVER = 4, 0.95, 5
+#: this many speak in each toxic row. More add words that stand in toxic texts by chance.
+LEAST_ROWS, LEAST_SHARE, COVER = 4, 0.9, 1
+#: A beginning fills a text if it has this many words there at least, and one word in so many.
+DENSE_WORDS, DENSE_IN = 2, 200
 #: Log-odds ratio of a feature over its standard error, at least.
 LEAST_STRENGTH = 2.5
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -45,8 +48,24 @@ def markers(word: str) -> list[str]:
     return ["=" + word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n)]
 
 
-def words(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
+def words(text: str | None) -> Counter[str]:
+    """Words and how often each occurs."""
+    return Counter(WORD.findall((text or "").lower()))
+
+
+def _fill(counts: Counter, total: int) -> list:
+    return [k for k, n in counts.items() if n >= DENSE_WORDS and n * DENSE_IN >= total]
+
+
+def text_markers(text: str | None) -> set[str]:
+    """Markers of a text: those of its words, and the beginnings that fill it (``beg+``)."""
+    counts, found, dense = words(text), set(), Counter()
+    for word, n in counts.items():
+        found.update(markers(word))
+        for k in BEGINNINGS:
+            if len(word) >= k:
+                dense[word[:k] + "+"] += n
+    return found.union(_fill(dense, counts.total()))
 
 
 class Lookup:
@@ -57,15 +76,18 @@ class Lookup:
         self.memory, self.seen = memory, {}
 
     def __call__(self, text: str | None) -> list[int]:
-        found: set[int] = set()
-        for word in words(text):
+        counts, found, dense = words(text), set(), Counter()
+        for word, n in counts.items():
             hit = self.seen.get(word)
             if hit is None:
                 if len(self.seen) >= self.memory:
                     self.seen.clear()
-                hit = self.seen[word] = tuple(self.numbers[m] for m in markers(word) if m in self.numbers)
-            found.update(hit)
-        return sorted(found)
+                begun = [word[:k] + "+" for k in BEGINNINGS if len(word) >= k]
+                hit = self.seen[word] = tuple(tuple(self.numbers[m] for m in ms if m in self.numbers) for ms in (markers(word), begun))
+            found.update(hit[0])
+            for k in hit[1]:
+                dense[k] += n
+        return sorted(found.union(_fill(dense, counts.total())))
 
 
 # ---------------------------------------------------------------- label model
@@ -100,9 +122,11 @@ class Labels:
     together: np.ndarray
 
 
-def label_model(fired: np.ndarray, start: np.ndarray | None = None, rounds: int = 300, smooth: float = 1.0) -> Labels:
-    """Estimate from agreement alone. ``fired``: rows by voters, true where a voter says toxic; the last voter is the
-    annotators, whose silence says clean from the start, while that of the others counts only once it is estimated.
+def label_model(fired: np.ndarray, start: np.ndarray | None = None, rounds: int = 300, smooth: float = 1.0, abstain: bool = False) -> Labels:
+    """Estimate from agreement alone. ``fired``: rows by voters, true where a voter says toxic; the last voter has two
+    opinions, so its silence says clean from the start, while that of the others counts only once it is estimated.
+    ``abstain``: silence of the others is no evidence at all, and the last voter is whether any of them speaks, which
+    tells nothing more where one does.
 
     Begins at the majority of the votes, or at ``start`` (a belief a row). A voter never speaks more in clean rows than
     in toxic ones, and toxic rows are not the majority: that tells the two classes apart. Evidence of a voter that
@@ -127,9 +151,12 @@ def label_model(fired: np.ndarray, start: np.ndarray | None = None, rounds: int
             together += cov / np.outer(scale, scale) * (p.sum() / n)
         together = np.clip(together, 0, 1)
         np.fill_diagonal(together, 0)
-        together[-1] = together[:, -1] = 0  # annotators read the text, not the voters
+        together[-1] = together[:, -1] = 0  # the last voter's evidence is its own
         voice = spoke / (1 + spoke @ together)
         silence = (1 - spoke) / (1 + together.sum(1))
+        if abstain:
+            voice[:, -1] = 0
+            silence[:, :-1] = 0
         logit = np.log(prior / (1 - prior)) + voice @ np.log(on / off) + silence @ np.log((1 - on) / (1 - off))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         moved = np.abs(new - q).max(initial=0)
@@ -192,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     @F.pandas_udf("array<string>")
     def marked(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted({m for w in words(t) for m in markers(w)}))
+        return texts.map(lambda t: sorted(text_markers(t)))
 
     counted = sample.select("toxic", F.explode(marked("text")).alias("marker")).groupBy("marker").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("rows"))
     sizes = sample.agg(F.sum("toxic"), F.count("*")).first()
@@ -217,9 +244,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     x, names = without_twins(x, names)
     toxic = np.array([r.toxic == 1 for r in taken])
     voters = choose_voters(x > 0, toxic)
-    told = label_model(np.column_stack([x[:, voters] > 0, toxic]))
+    votes = x[:, voters] > 0
+    told = label_model(np.column_stack([votes, votes.any(1)]), abstain=True)
     weights, bias = fit_linear(x, told.posterior)
-    return Model(names, weights, bias, list(zip([*(names[v] for v in voters), "annotators"], told.on.tolist(), told.off.tolist())))
+    return Model(names, weights, bias, list(zip([*(names[v] for v in voters), "any of these"], told.on.tolist(), told.off.tolist())))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
