@@ -136,3 +136,33 @@ def test_nested_forms_take_linear_time():
     assert sitetext.extract("<form>" * 60_000 + "<article><p>kept</p></article>", set())[0] == "kept"
     sitetext.extract("<form><p>x</p>" * 40_000, set())
     assert time.time() - begin < 20
+
+
+def test_counts_decide_the_text_on_the_tables(spark):
+    """Every host of these tables has templates: without them the menus, adverts and footers stay on nearly every page, and
+    with them the text is what the markup's names give where it is marked as well as here."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    templates = {r.host: set(r.templates) for r in sitetext.site_templates(pages).collect()}
+    rows = pages.select(sitetext.host(pages.url).alias("host"), "html").collect()
+    counted = [r for r in rows if templates.get(r.host)]
+    assert len(counted) > 0.9 * len(rows)
+    changed = 0
+    for r in counted:
+        text = sitetext.extract(r.html, templates[r.host])[0]
+        changed += text != sitetext.extract(r.html, set(), by_count=True)[0]
+        assert text == sitetext.extract(r.html, set())[0]
+    assert changed > 0.9 * len(counted)
+
+
+def test_places_are_counted_whatever_they_say(spark):
+    """An advert, a footer and comments that say something else on every page go by their place; a place on too few pages
+    of a counted host, and a name on no counted place, stay."""
+    def one(n):
+        odd = "<div class='promo'>once</div>" if n == 7 else ""
+        own = "".join(chr(97 + (n * 7 + k) % 26) for k in range(n + 3))
+        return f"<body><ul class=top><li>home</li><li>news</li></ul><div class='ad box-{n}'>buy {own}</div><p>{own} and much more of its own {own}</p>{odd}<div id=comments><p>{own} says hello</p></div><form><input> search</form><footer>{own}</footer></body>"
+
+    pages = spark.createDataFrame([page(n, "a.example", one(n)) for n in range(12)], "page_id long, url string, html string")
+    for r in sitetext.main_text(pages).collect():
+        own = "".join(chr(97 + (r.page_id * 7 + k) % 26) for k in range(r.page_id + 3))
+        assert r.text == f"{own} and much more of its own {own}" + ("\nonce" if r.page_id == 7 else "")

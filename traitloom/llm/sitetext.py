@@ -3,9 +3,11 @@
 Every page's elements are hashed with all they hold; link targets, numbers and the words of link lists are masked, so
 that a menu with another entry marked, a count or a date is still the same subtree. Spark counts the hashes per host.
 A subtree on many pages of a host belongs to the site and is deleted from all its pages, unless it is prose of an
-article: an article may quote the same passage as others. Of what is left, the parts that the markup itself names as
-menu, header, footer, sidebar, notice, advert, form or reader comment go as well: a site with few pages shows no
-templates. The rest of the article, or of the page if none is marked, is the text.
+article: an article may quote the same passage as others. Parts that the markup names as menu, header, footer, sidebar,
+notice, advert or reader comment may say something else on each page, so their places (path of names and classes) are
+counted as well, and a place on many pages is deleted whatever it says. On a host that shows templates the counts
+decide, and what is left is the text; only what no browser shows as text, and forms, go without a count. A host with few
+pages shows no templates: there the markup's names decide, and the article, or the page if none is marked, is the text.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ NEVER = set(
     "aside audio button canvas datalist dialog embed fieldset footer form head iframe input math menu nav noframes noscript "
     "object option script search select style svg template textarea title video".split()
 )
+# Of these, parts that show text and go by count where the host has templates
+LANDMARKS = set("aside dialog footer menu nav".split())
 #: An opening tag ends an open element of the named kinds.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -204,6 +208,13 @@ def _wraps(form: Element) -> bool:
     return form.wraps
 
 
+def is_unseen(element: Element, inside: bool) -> bool:
+    """Whether an element is hidden, a form, or nothing that shows as text."""
+    if element.name == "form":
+        return inside or not _wraps(element)
+    return element.name in NEVER and element.name not in LANDMARKS or "hidden" in element.attributes or element.attributes.get("aria-hidden") == "true"
+
+
 def is_side(element: Element, inside: bool) -> bool:
     """Whether the markup itself says that an element is not the article; ``inside``: within an article."""
     if element.name == "form" and not inside and _wraps(element):
@@ -222,9 +233,9 @@ def is_side(element: Element, inside: bool) -> bool:
     return _named_side(element, inside)
 
 
-def _text_parts(element: Element, inside: bool, out: list[list[str]]) -> int:
-    """Appends the text of an element in blocks and returns the characters of parts left out by their names; a loop with
-    its own stack, for pages nested very deep."""
+def _text_parts(element: Element, inside: bool, out: list[list[str]], left_out=is_side) -> int:
+    """Appends the text of an element in blocks and returns the characters of parts left out; a loop with its own stack,
+    for pages nested very deep."""
     stack: list[tuple] = [(element, inside, iter(element.children))]
     named = 0
     while stack:
@@ -238,7 +249,7 @@ def _text_parts(element: Element, inside: bool, out: list[list[str]]) -> int:
             out[-1].append(child)
         elif child.name == "br":
             out[-1].append(" ")
-        elif is_side(child, within):
+        elif left_out(child, within):
             named += sum(len(SPACE.sub(" ", t).strip()) for e in _elements(child) for t in e.children if isinstance(t, str) and child.name != "head")
         else:
             if child.name in BLOCK:
@@ -313,8 +324,8 @@ def measure(root: Element) -> Element | None:
 
 
 def _candidates(root: Element):
-    """(element, key of its content or None, key of its list of links or None) of what could be a template. A caller that
-    sends True back gets nothing from inside the element."""
+    """(element, key of its content or None, key of its list of links or None, key of its place or None) of what could be
+    a template. A caller that sends True back gets nothing from inside the element."""
     stack = [(root, False, 0)]
     while stack:
         node, inside, path = stack.pop()
@@ -323,11 +334,12 @@ def _candidates(root: Element):
                 continue
             whole = child.name in WHOLE and not is_side(child, inside)
             prose = inside and (child.name in PROSE or child.name in INLINE) and child.linked < child.chars
-            here = xxhash.xxh64_intdigest(f"{path}/{child.name} {child.attributes.get('class', '')}")
+            here = xxhash.xxh64_intdigest(f"{path}/{child.name} {NUMBER.sub('0', child.attributes.get('class', ''))}")
+            place = xxhash.xxh64_intdigest(f"{here}#") if not whole and child.name not in PROSE and is_side(child, inside) else None
             listed = None
             if not inside and child.links >= LIST_LINKS and child.linked >= LINK_SHARE * child.chars:
                 listed = xxhash.xxh64_intdigest(f"{here}:{child.shape}")
-            gone = (yield child, None if prose else child.hash, listed) if not whole else None
+            gone = (yield child, None if prose else child.hash, listed, place) if not whole else None
             if not gone:
                 stack.append((child, inside or (whole and child.name in ("article", "main")), here))
 
@@ -338,7 +350,7 @@ def _signed(key: int) -> int:
 
 def subtrees(html: str | None) -> tuple[int, list[int], list[int]]:
     """What a page adds to the count: a number that tells its content apart, and the keys of its distinct subtrees by
-    content and by their lists of links.
+    content or place and by their lists of links.
 
     The content is the block with the most words; what holds that block is no template of this page.
     """
@@ -349,9 +361,9 @@ def subtrees(html: str | None) -> tuple[int, list[int], list[int]]:
         holders.add(id(node))
         node = node.parent
     by_content, by_list = set(), set()
-    for child, key, listed in _candidates(root):
-        if key is not None and id(child) not in holders:
-            by_content.add(_signed(key))
+    for child, key, listed, place in _candidates(root):
+        if id(child) not in holders:
+            by_content.update(_signed(k) for k in (key, place) if k is not None)
         if listed is not None:
             by_list.add(_signed(listed))
     return (body.hash if body else 0) % CONTENT_BITS, sorted(by_content), sorted(by_list)
@@ -365,10 +377,10 @@ def prune(root: Element, templates: set[int]) -> int:
     answer = None
     while True:
         try:
-            child, key, listed = found.send(answer)
+            child, *keys = found.send(answer)
         except StopIteration:
             break
-        answer = key is not None and _signed(key) in templates or listed is not None and _signed(listed) in templates
+        answer = any(k is not None and _signed(k) in templates for k in keys)
         if answer:
             gone.add(id(child))
             deleted += child.chars
@@ -378,17 +390,21 @@ def prune(root: Element, templates: set[int]) -> int:
     return deleted
 
 
-def extract(html: str | None, templates: set[int]) -> tuple[str, int, int]:
-    """Text of a page without the given subtrees, and the characters that were deleted by counts and by names."""
+def extract(html: str | None, templates: set[int], by_count: bool | None = None) -> tuple[str, int, int]:
+    """Text of a page without the given subtrees, and the characters that were deleted by counts and otherwise (by names;
+    unseen). ``by_count``: counts decide, names do not; unset, they do if there are templates."""
     root = parse(html or "")
     measure(root)
     counted = prune(root, templates)
     blocks: list[list[str]] = [[]]
-    for holder in articles(root):
-        _text_parts(holder, holder.name in ("article", "main"), blocks)
-        blocks.append([])
-    named = _text_parts(root, False, [[]])
-    return "\n".join(x for x in (SPACE.sub(" ", "".join(b)).strip() for b in blocks) if x), counted, named
+    if templates if by_count is None else by_count:
+        other = _text_parts(root, False, blocks, is_unseen)
+    else:
+        for holder in articles(root):
+            _text_parts(holder, holder.name in ("article", "main"), blocks)
+            blocks.append([])
+        other = _text_parts(root, False, [[]])
+    return "\n".join(x for x in (SPACE.sub(" ", "".join(b)).strip() for b in blocks) if x), counted, other
 
 
 def host(url: Column) -> Column:
