@@ -136,7 +136,8 @@ def label_model(fired: np.ndarray, start: np.ndarray | None = None, rounds: int
     spoke = fired.astype(np.float64)
     rate = np.clip(spoke.mean(0), 1e-6, 1 - 1e-6)
     lead = spoke[:, :-1].sum(1) + np.where(fired[:, -1], 1, -1)
-    q = 1 / (1 + np.exp(-2.0 * lead)) if start is None else start
+    sure = 4.0 if abstain else 2.0  # few voters that abstain seldom agree, so the estimate stays near its start
+    q = 1 / (1 + np.exp(-sure * lead)) if start is None else start
     on = off = rate
     together = np.zeros((m, m))
     for _ in range(rounds):
@@ -245,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     toxic = np.array([r.toxic == 1 for r in taken])
     voters = choose_voters(x > 0, toxic)
     votes = x[:, voters] > 0
-    told = label_model(np.column_stack([votes, votes.any(1)]), abstain=True)
+    told = label_model(np.column_stack([votes, votes.any(1)]), smooth=0.01, abstain=True)
     weights, bias = fit_linear(x, told.posterior)
     return Model(names, weights, bias, list(zip([*(names[v] for v in voters), "any of these"], told.on.tolist(), told.off.tolist())))
 
