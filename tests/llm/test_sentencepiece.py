@@ -81,3 +81,45 @@ def test_every_text_is_verified(spark):
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts(300))], "doc_id long, text string, lang string, source string")
     assert {r._pieces.parity for r in sp.tokenise(docs).collect()} == {True}
     assert {r.parity for r in corpus_pipeline.tokenise(spark, docs, "").collect()} == {True}
+
+
+@pytest.mark.parametrize("unigram", [True, False])
+@pytest.mark.parametrize("remembered", [0, 1 << 20])
+def test_words_give_what_whole_texts_give(monkeypatch, unigram, remembered):
+    if not unigram and not MODEL.exists():
+        pytest.skip("no model file here")
+    monkeypatch.setattr(sp, "REMEMBERED", remembered)
+    data = unigram_model(False) if unigram else MODEL.read_bytes()
+    model = sp.Model(data)
+    words, other = sp.Words(model), library.SentencePieceProcessor(model_proto=data)
+    cases = ["", " ", "   a", "a  ", "▁", "b" * 3000, *texts(2000)]
+    for _ in range(2):
+        ids = [x.tolist() for x in sp.encode_texts(words, cases, chunk=200)]
+        assert ids == [x.tolist() for x in sp.encode_texts(sp.build(model), cases)] == other.encode(cases)
+    assert bool(words.ids) == bool(remembered)
+
+
+@pytest.mark.skipif(not MODEL.exists(), reason="no model file here")
+def test_a_worker_encodes_a_word_once():
+    ready, sent = sp._ready(MODEL.read_bytes(), 2), []
+    words = sp.Words(sp.Model(MODEL.read_bytes()))
+    words._learn = lambda new, keep=words._learn: (sent.extend(new), keep(new))
+    out = sp._pieces(["one two two", "two one", "", "one three"] * 50, (words, *ready[1:]))
+    assert isinstance(ready[0], sp.Words) and sorted(sent) == ["▁one", "▁three", "▁two"]
+    assert set(out.field("parity").to_pylist()) == {True} and out.field("decoded").to_pylist()[:4] == ["one two two", "two one", "", "one three"]
+
+
+def test_models_that_words_do_not_fit():
+    model = sp.Model(unigram_model(True))
+    assert not sp.Words.fit(model) and isinstance(sp._ready(unigram_model(True), 2)[0], type(sp.build(model)))
+    model = sp.Model(unigram_model(False))
+    assert sp.Words.fit(model)
+    model.pieces.append(("own", 0.0, sp.USER_DEFINED))
+    assert not sp.Words.fit(model)
+
+
+def test_a_model_without_the_marker_encodes_words_one_by_one():
+    model = sp.Model(unigram_model(False))
+    model.pieces = [(p.replace(sp.MARK, "_"), s, kind) for p, s, kind in model.pieces]
+    cases = ["a b", "ab ab  x", "hello ing"]
+    assert [x.tolist() for x in sp.encode_texts(sp.Words(model), cases)] == [x.tolist() for x in sp.encode_texts(sp.build(model), cases)]
