@@ -88,3 +88,14 @@ def test_shares_of_markers_and_empty_tables(spark):
     assert few.where("node = 0 AND left >= 0").select("feature").distinct().count() > 1
     assert grove.grow(rows.limit(0), 2).count() == 0
     assert grove.predict(rows.limit(0), few).count() == 0
+
+
+def test_few_rows_have_all_their_trees(spark):
+    """A bootstrap sample of one row or two may draw none; the tree is grown all the same."""
+    rows = spark.createDataFrame([("one", 1, "train", [1.0], 4.0, 0), ("two", 1, "train", [0.0], 1.0, 0), ("two", 2, "train", [1.0], 3.0, 0)], SCHEMA)
+    nodes = grove.grow(rows, 12, 3)
+    assert nodes.where("node = 0 AND cover > 0").groupBy("scenario_id").count().orderBy("scenario_id").collect() == [("one", 12), ("two", 12)]
+    assert {r.value for r in nodes.where("scenario_id = 'one'").collect()} == {4.0}
+    empty = {t for t in range(12) if not any(grove.drawn(np.array([r.h]), t, 1).sum() for r in rows.where("scenario_id = 'two'").select(F.xxhash64("scenario_id", "id").alias("h")).collect())}
+    roots = {r.tree: (r.cover, r.value) for r in nodes.where("scenario_id = 'two' AND node = 0").collect()}
+    assert all(roots[t] == (2.0, 2.0) for t in empty)

@@ -39,7 +39,8 @@ def thresholds(rows: DataFrame, most: int = THRESHOLDS) -> list[np.ndarray]:
             _, x = stacked(pdf["x"])
             held = [np.unique(np.append(held[k], x[:, k]) if held else x[:, k]) for k in range(x.shape[1])]
             held = [v if len(v) <= wide else v[np.linspace(0, len(v) - 1, wide).astype(int)] for v in held]
-        yield pd.DataFrame({"pos": np.arange(len(held), dtype=np.int32), "v": held})
+        if held:  # a task may have no rows
+            yield pd.DataFrame({"pos": np.arange(len(held), dtype=np.int32), "v": held})
 
     values = rows.select("x").mapInPandas(partial, "pos int, v array<double>")
     merged = values.groupBy("pos").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("v")))).alias("v"))
@@ -62,9 +63,11 @@ def drawn(hashes: np.ndarray, tree: int, seed: int) -> np.ndarray:
 
 
 class Tree:
-    """A growing tree. ``bins``: a row goes left if its marker's bin is not above; -1 in a leaf."""
+    """A growing tree. ``bins``: a row goes left if its marker's bin is not above; -1 in a leaf. ``sampled``: whether it sees a
+    bootstrap sample or each row once."""
 
-    def __init__(self):
+    def __init__(self, sampled: bool):
+        self.sampled = sampled
         self.left, self.right, self.feature, self.bin, self.gain, self.cover, self.value = [-1], [-1], [-1], [-1], [0.0], [0.0], [0.0]
         self.open, self.least = [0], 0.0
 
@@ -108,9 +111,9 @@ PARTIAL = "scenario_id string, tree int, node int, part int, w binary, s binary"
 BEST = "scenario_id string, tree int, node int, gain double, feature int, bin int, weight double, total double, left_weight double, left_total double"
 
 
-def _sums(binned: DataFrame, trees: dict, level: int, width: int, bins: int, bootstrap: bool, seed: int) -> DataFrame:
+def _sums(binned: DataFrame, trees: dict, level: int, width: int, bins: int, seed: int) -> DataFrame:
     """``PARTIAL``: weights and weighted targets of every open node, by marker and bin."""
-    shape = {k: (t.arrays(), t.open) for k, t in trees.items() if t.open}
+    shape = {k: (t.arrays(), t.open, t.sampled) for k, t in trees.items() if t.open}
     of: dict[str, list[int]] = {}
     for name, tree in shape:
         of.setdefault(name, []).append(tree)
@@ -132,8 +135,8 @@ def _sums(binned: DataFrame, trees: dict, level: int, width: int, bins: int, boo
                 codes = np.frombuffer(b"".join(part["codes"]), np.uint8).reshape(len(part), width)
                 y, hashes = part["y"].to_numpy(), part["h"].to_numpy()
                 for tree in held.value[1].get(name, ()):
-                    arrays, open_ = held.value[0][name, tree]
-                    weight = drawn(hashes, tree, seed) if bootstrap else np.ones(len(y))
+                    arrays, open_, sampled = held.value[0][name, tree]
+                    weight = drawn(hashes, tree, seed) if sampled else np.ones(len(y))
                     at = routed(codes, *arrays, level)
                     here = np.flatnonzero(np.isin(at, open_) & (weight > 0))
                     here = here[np.argsort(at[here], kind="stable")]
@@ -210,8 +213,8 @@ def grow(rows: DataFrame, trees: int, depth: int = 5, share: float = 1.0, bootst
     ``rows`` hold scenario_id, id, fold, x (array) and y, whatever else; rows with a null y, or with a null in or for x, are no
     rows of a fit; repeated rows count each and are drawn together. A tree sees a bootstrap sample (Poisson draws from a hash
     of scenario and id) or all rows, and a node ``share`` of the markers. Splits lie between a marker's values
-    (``thresholds``), a row goes left if its value is not above. A scenario without rows has no trees, nor is a tree kept
-    whose sample drew no row.
+    (``thresholds``), a row goes left if its value is not above. A scenario without rows has no trees. A tree whose sample drew
+    no row, which happens where a scenario has very few, sees each of its rows once.
     """
     spark = rows.sparkSession
     train = rows.where((F.col("fold") == "train") & whole("x") & F.col("y").isNotNull())
@@ -234,25 +237,30 @@ def grow(rows: DataFrame, trees: int, depth: int = 5, share: float = 1.0, bootst
     binned = materialise(train.select("scenario_id", "h", "y", coded("x").alias("codes")).repartition("scenario_id", F.pmod("h", F.lit(chunks))), "binned")
     every = [(name, t) for t in range(trees) for name in sorted(counts)]
     batch = max(1, OPEN // max(counts.values()))
-    for at in range(0, len(every), batch):
-        grown = {key: Tree() for key in every[at : at + batch]}
+
+    def grown_of(keys: list[tuple], sampled: bool) -> dict[tuple, Tree]:
+        grown = {key: Tree(sampled) for key in keys}
         for level in range(depth + 1):
             found: dict[tuple, dict] = {}
-            for r in best_splits(_sums(binned, grown, level, width, bins, bootstrap, seed), bins, share, seed).collect():
+            for r in best_splits(_sums(binned, grown, level, width, bins, seed), bins, share, seed).collect():
                 feature = r.feature if level < depth else -1
                 found.setdefault((r.scenario_id, r.tree), {})[r.node] = (feature, r.bin, r.gain, r.weight, r.total, r.left_weight, r.left_total)
             for key, tree in grown.items():
                 tree.grow(found.get(key, {}))
             if not any(t.open for t in grown.values()):
                 break
+        return grown
+
+    for at in range(0, len(every), batch):
+        grown = grown_of(every[at : at + batch], bootstrap)
+        if missed := [key for key, tree in grown.items() if not tree.cover[0]]:
+            grown |= grown_of(missed, False)
         table = []
         for (name, t), tree in grown.items():
             n = len(tree.left)
-            if not tree.cover[0]:  # its sample drew no row
-                continue
             limits = [float(cuts[f][b]) if f >= 0 else np.nan for f, b in zip(tree.feature, tree.bin)]
             table.append(pd.DataFrame({"scenario_id": name, "tree": t, "node": range(n), "left": tree.left, "right": tree.right, "feature": tree.feature, "threshold": limits, "gain": tree.gain, "cover": tree.cover, "value": tree.value}))
-        told = spark.createDataFrame(pd.concat(table, ignore_index=True) if table else [], NODES)
+        told = spark.createDataFrame(pd.concat(table, ignore_index=True), NODES)
         told.withColumn("threshold", F.nanvl("threshold", F.lit(None).cast("double"))).write.mode("append").parquet(path)
     return spark.read.schema(NODES).parquet(path)
 
