@@ -75,3 +75,14 @@ def test_sink_in_order_and_appended(spark, tmp_path):
     assert found == list(range(500))
     both = append(frame.select("id"), frame.limit(2).select("note", "id"))
     assert both.count() == 502 and both.where("note IS NULL").count() == 500 and both.columns == ["id", "note"]
+
+
+def test_a_constant_column_has_no_spread_in_any_partitions(spark):
+    """25 rows of 7, or 49 of 1, in each partition: merged, their means are off in the last place."""
+    told = spark.range(0, 100, 1, 4).select(F.lit("a").alias("model"), F.col("id").cast("double").alias("actual"), F.lit(7.0).alias("predicted"))
+    both = told.union(told.select(F.lit("b"), "predicted", "actual"))
+    assert {r.model: r.pearson for r in metrics.metrics(both, ["model"]).collect()} == {"a": None, "b": None}
+    ids = spark.range(0, 196, 1, 4)
+    geno = ids.select("id", F.lit("P").alias("population"), F.lit(0).alias("pos"), F.lit("m").alias("marker"), F.lit(1).alias("dosage"))
+    assert {r.z for r in matrices.standardise(geno, ["population"]).collect()} == {-1.0}
+    assert [r.gamma for r in matrices.gamma_scale(geno, ["population"]).collect()] == [None]
