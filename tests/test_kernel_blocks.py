@@ -1,5 +1,7 @@
 """The exact kernel regression in blocks against the one-task solver."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +58,42 @@ def test_pairs_of_blocks_are_bounded(spark):
     pairs = kernel.kernel_blocks(rows, {"s": 0.05}, {"s": n})
     told = pairs.agg(F.max(F.length("k")).alias("most"), F.sum(F.when(F.col("a") < F.col("b"), 2).otherwise(1) * F.length("k")).alias("all")).first()
     assert told.all == 8 * n * n and told.most < 8 * (1.5 * kernel.INDIVIDUALS) ** 2
+
+
+def solved(fits):
+    return {k: p.sort_values("id")["alpha"].to_numpy() for k, p in fits.toPandas().groupby("scenario_id")}
+
+
+def test_written_kernel_and_vectors_agree(spark, monkeypatch):
+    """Few markers: pairs of vectors, whose kernel each pass computes; many: pairs of kernels. Constant, equal, fractional and
+    negative markers, and more markers than individuals."""
+    rows = rows_of(spark, [60, 5]).withColumn("x", F.concat("x", F.array(F.lit(1.0), F.lit(1.0)), F.transform(F.slice("x", 1, 2), lambda v: v / 3 - 200)))
+    rows = rows.withColumn("x", F.when(F.size("x") == 12, F.col("x")))
+    gammas, penalties, found = {"s0": 0.1, "s1": 0.3}, {"s0": 1e-3, "s1": 2.0}, []
+    for individuals in (4, 9, 1000):
+        monkeypatch.setattr(kernel, "INDIVIDUALS", individuals)
+        found.append(solved(kernel.blup_in_blocks(rows, gammas, penalties)))
+    for name, lam in penalties.items():
+        mine = rows.where((F.col("scenario_id") == name) & (F.col("fold") == "train") & F.col("y").isNotNull()).toPandas().sort_values("id")
+        x, y = np.stack(mine["x"]), mine["y"].to_numpy()
+        k = np.exp(-gammas[name] * ((x[:, None] - x[None]) ** 2).sum(2))
+        for got in found:
+            np.testing.assert_allclose(k @ got[name] + lam * got[name], y - y.mean(), atol=1e-7)
+
+
+def test_no_kernel_is_written_of_narrow_vectors(spark, monkeypatch, tmp_path):
+    """3,000 individuals: half of their kernel is 36 MB."""
+    n, sizes, write = 3_000, {}, kernel.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name] = sum(f.stat().st_size for f in Path(out._traitloom_path.removeprefix("file:")).rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(kernel, "materialise", counted)
+    x = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.pmod(F.xxhash64(k, F.col("id")), F.lit(3)).cast("double"))
+    rows = spark.range(n).select(F.lit("s").alias("scenario_id"), "id", F.lit("train").alias("fold"), x.alias("x")).withColumn("y", F.get("x", F.lit(0)) * F.get("x", F.lit(1)))
+    weights = kernel.blup_in_blocks(rows, {"s": 0.05}, {"s": 1.0})
+    told = kernel.blup_predict(rows, weights, {"s": 0.05}).join(weights, "id").join(rows, "id")
+    assert told.agg(F.max(F.abs(F.col("predicted") + F.col("alpha") - F.col("y")))).first()[0] < 1e-6
+    assert sizes and sum(sizes.values()) < 2e6

@@ -3,24 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-
-from traitloom.session import forget, materialise, shared_dir, table
+from traitloom.session import bounded_batches, forget, materialise, shared_dir, table
 
 __all__ = ["bounded_batches", "forget", "materialise", "merge_labels", "shared_dir", "table"]
 
-#: Bytes of texts that reach a Python worker at once.
-BATCH_BYTES, BATCHES = "16m", "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """The same table, in a session whose Arrow batches hold ``BATCH_BYTES`` at most, so that a worker's memory does not
-    depend on how long the texts are. A session that sets the bound itself keeps its own."""
-    if BATCHES not in df.sparkSession.conf.getAll:
-        df.sparkSession.conf.set(BATCHES, BATCH_BYTES)
-    return df
-
-
 def merge_labels(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Smallest-index labels after joining the classes of ``u[i]`` and ``v[i]``; labels are roots on entry."""
     while True:
