@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from traitloom import queries
 from traitloom.operators import kernel
 
 
@@ -97,3 +98,41 @@ def test_no_kernel_is_written_of_narrow_vectors(spark, monkeypatch, tmp_path):
     told = kernel.blup_predict(rows, weights, {"s": 0.05}).join(weights, "id").join(rows, "id")
     assert told.agg(F.max(F.abs(F.col("predicted") + F.col("alpha") - F.col("y")))).first()[0] < 1e-6
     assert sizes and sum(sizes.values()) < 2e6
+
+
+def test_each_scenario_is_solved_by_its_size(spark, monkeypatch):
+    """The small one with the penalty of greatest restricted likelihood, as from its table of pairs; the large one by blocks."""
+    monkeypatch.setattr(kernel, "INDIVIDUALS", 7)
+    monkeypatch.setattr(kernel, "ONE_TASK", 30)
+    rows, gammas = rows_of(spark, [50, 33]), {"s0": 0.1, "s1": 0.3}
+    fits = kernel.blup(rows, gammas).toPandas()
+    assert set(fits["scenario_id"]) == {"s0", "s1"}
+    for name, part in fits.groupby("scenario_id"):
+        mine = rows.where((F.col("scenario_id") == name) & (F.col("fold") == "train") & F.col("y").isNotNull()).toPandas().sort_values("id")
+        x, y = np.stack(mine["x"]), mine["y"].to_numpy()
+        k = np.exp(-gammas[name] * ((x[:, None] - x[None]) ** 2).sum(2))
+        part = part.sort_values("id")
+        np.testing.assert_allclose(k @ part["alpha"] + part["penalty"] * part["alpha"], y - y.mean(), atol=1e-7)
+        if name == "s1":
+            ids = mine["id"].tolist()
+            pairs = [(name, a, b, float(k[i, j])) for i, a in enumerate(ids) for j, b in enumerate(ids) if a <= b]
+            train = spark.createDataFrame([(name, i, float(v)) for i, v in zip(ids, y)], "scenario_id string, id long, y double")
+            exact = kernel.kernel_blup(spark.createDataFrame(pairs, "scenario_id string, i long, j long, k double"), train).toPandas().sort_values("id")
+            np.testing.assert_allclose(part[["alpha", "penalty"]], exact[["alpha", "penalty"]], rtol=1e-4)
+    assert kernel.blup(rows.limit(0), gammas).count() == 0
+
+
+@pytest.mark.parametrize("name", ["kernel_blup_certificate", "kernel_blup_blocks_certificate"])
+def test_certificates_write_no_pairs(spark, monkeypatch, name):
+    """No written table has more rows than the split."""
+    counts, write = {}, kernel.materialise
+
+    def counted(df, table):
+        out = write(df, table)
+        counts[table] = out.count()
+        return out
+
+    for module in (kernel, queries):
+        monkeypatch.setattr(module, "materialise", counted)
+    assert {r.ok for r in queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()} == {True}
+    assert counts and max(counts.values()) <= queries._split(spark, "/root/testdata/sf0.001", queries.FITTED).count()
