@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from traitloom import queries
 from traitloom.operators import blocks, linear
+from traitloom.session import materialise
 
 
 def scenarios_rows(spark, shapes, seed=1):
@@ -82,3 +84,23 @@ def test_spike_slab_blocks_reach_the_fixed_point(spark, width):
 def test_no_rows(spark):
     held = blocks.Blocks(scenarios_rows(spark, [(10, 3)]).limit(0))
     assert blocks.ridge(held).count() == blocks.spike_slab(held).count() == 0
+
+
+def sent(plan):
+    """Rows of each broadcast of a plan that ran."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return sent(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return sent(plan.plan())
+    kids = plan.children()
+    own = [plan.metrics().apply("numOutputRows").value()] if name == "BroadcastExchange" else []
+    return own + [n for k in range(kids.size()) for n in sent(kids.apply(k))]
+
+
+def test_wide_certificates_broadcast_no_markers(spark):
+    """However small the files are: a row an individual or a scenario at most goes through the driver."""
+    rows = materialise(scenarios_rows(spark, [(10, 400), (8, 300)]), "rows")
+    cells = queries._centred_cells(rows, materialise(linear.ridge(rows), "fits"))
+    assert len(cells.collect()) == 700
+    assert max(sent(cells._jdf.queryExecution().executedPlan())) <= rows.count()

@@ -123,7 +123,7 @@ def ridge(blocks: Blocks, model: str = "rrBLUP", penalty: float | None = None, e
                     "penalty": row.penalty, "noise": row.noise, "part": row.mean * b,
                 })
 
-    told = blocks.table.join(solved, "scenario_id").mapInPandas(effects, "scenario_id string, pos int, effect double, penalty double, noise double, part double")
+    told = blocks.table.join(F.broadcast(solved), "scenario_id").mapInPandas(effects, "scenario_id string, pos int, effect double, penalty double, noise double, part double")
     return _with_intercepts(told.withColumn("inclusion", F.lit(1.0)), means, model)
 
 
@@ -131,8 +131,8 @@ def _with_intercepts(told: DataFrame, means: dict[str, float], model: str) -> Da
     """``linear.FIT`` from effects with each marker's share of the mean prediction (part)."""
     told = materialise(told, "effects")
     base = told.sparkSession.createDataFrame(list(means.items()), "scenario_id string, _y double")
-    shares = told.groupBy("scenario_id").agg(F.sum("part").alias("_part")).join(base, "scenario_id")
-    out = told.join(shares, "scenario_id").withColumn("intercept", F.col("_y") - F.col("_part"))
+    shares = told.groupBy("scenario_id").agg(F.sum("part").alias("_part")).join(F.broadcast(base), "scenario_id")
+    out = told.join(F.broadcast(shares), "scenario_id").withColumn("intercept", F.col("_y") - F.col("_part"))
     return out.withColumn("model", F.lit(model)).select(*(c.split()[0] for c in FIT.split(", ")))
 
 
@@ -178,8 +178,9 @@ def spike_slab(blocks: Blocks, model: str = "BayesB", inclusion: float = 0.1, ro
     steps = np.array([*STEPS, max(1 / least, LEAST_STEP)])
     residual, open_ = targets, set(hyper)
     fill = lambda v: F.transform("mean", lambda _: F.lit(v))
-    start_ = blocks.table.select("scenario_id", "block", *(fill(v).alias(n) for n, v in (("alpha", inclusion), ("b", 0.0), ("alpha_new", inclusion), ("b_new", 0.0))))
-    state, taken = materialise(start_, "state"), {}
+    # the first state is no table of its own: constants are so small a file that Spark would broadcast them
+    state, taken = None, {}
+    met = blocks.table.withColumns({n: fill(v) for n, v in (("alpha", inclusion), ("b", 0.0), ("alpha_new", inclusion), ("b_new", 0.0))})
     for _ in range(rounds if blocks.shape else 0):
         held = spark.sparkContext.broadcast((residual, hyper, open_, taken))
 
@@ -216,8 +217,8 @@ def spike_slab(blocks: Blocks, model: str = "BayesB", inclusion: float = 0.1, ro
                     out.append((row.scenario_id, row.block, alpha0, b0, alpha, b, left[row.scenario_id] - r, worst, terms))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
 
-        kept = state.select("scenario_id", "block", "alpha", "b", "alpha_new", "b_new")
-        before, state = state, materialise(blocks.table.join(kept, ["scenario_id", "block"]).mapInPandas(update, STATE), "state")
+        before, state = state, materialise(met.mapInPandas(update, STATE), "state")
+        met = blocks.table.join(state.select("scenario_id", "block", "alpha", "b", "alpha_new", "b_new"), ["scenario_id", "block"])
         told, taken = _summed(state), {}
         for name, (change, terms, worst) in told.items():
             noise = hyper[name][0]
@@ -226,16 +227,19 @@ def spike_slab(blocks: Blocks, model: str = "BayesB", inclusion: float = 0.1, ro
             residual[name] = residual[name] - taken[name] * change
             if worst < close:
                 open_.discard(name)
-        forget(before)
+        if before is not None:
+            forget(before)
         held.unpersist()
         if not open_:
             break
+    if state is None:
+        state = materialise(met.drop("first", "x", "mean"), "state")
     # the last round's step is left out where it was below what counts as a change
     known = spark.createDataFrame([(k, noise, slab) for k, (noise, slab) in hyper.items()], "scenario_id string, noise double, penalty double")
-    each = blocks.table.drop("x").join(state, ["scenario_id", "block"])
+    each = blocks.table.drop("x").join(state.hint("merge"), ["scenario_id", "block"])
     cells = each.select("scenario_id", F.posexplode(F.arrays_zip("alpha", "b", "mean")).alias("k", "m"), "first")
     told = cells.select("scenario_id", (F.col("first") + F.col("k")).alias("pos"), F.col("m.b").alias("effect"), F.col("m.alpha").alias("inclusion"), (F.col("m.b") * F.col("m.mean")).alias("part"))
-    return _with_intercepts(told.join(known, "scenario_id"), {k: m for k, (_, _, m) in blocks.shape.items()}, model)
+    return _with_intercepts(told.join(F.broadcast(known), "scenario_id"), {k: m for k, (_, _, m) in blocks.shape.items()}, model)
 
 
 def _summed(moved: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
